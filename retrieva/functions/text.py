@@ -64,8 +64,13 @@ def is_not_blank(text) -> Column:
 # --- T4..T8: tokenisers ----------------------------------------------------
 
 def retrieval_tokens(text) -> Column:
-    """T4: lower-cased word tokens of two or more word characters."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(f"({WORD_CLASS}{{2,}})"), 1)
+    """T4: lower-cased word tokens of two or more word characters.
+
+    Splitting on runs of non-word characters and keeping pieces of length >= 2
+    yields exactly the maximal word runs of length >= 2, about twice as fast
+    as extracting regex matches."""
+    pieces = F.split(F.lower(col(text)), r"[^\p{L}\p{N}_]+")
+    return F.filter(pieces, lambda x: F.length(x) >= 2)
 
 
 def eval_tokens(text) -> Column:
@@ -78,9 +83,17 @@ def whitespace_tokens(text) -> Column:
     return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\s+"), lambda x: x != "")
 
 
-def rouge_tokens(text) -> Column:
-    """ROUGE words: sentences on '.', words on whitespace; empties dropped."""
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"[.\s]+"), lambda x: x != "")
+def rouge_sentences(text) -> Column:
+    """ROUGE sentences: pieces between '.' that are not empty, with inner
+    whitespace collapsed to single spaces (a piece of only spaces becomes '')."""
+    pieces = F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\."), lambda s: F.length(s) > 0)
+    return F.transform(pieces, lambda s: F.array_join(F.filter(F.split(s, r"\s+"), lambda w: w != ""), " "))
+
+
+def rouge_words(text) -> Column:
+    """ROUGE words: each sentence split on single spaces, flattened. As in
+    the scoring package, a whitespace-only sentence contributes one '' word."""
+    return F.flatten(F.transform(rouge_sentences(text), lambda s: F.split(s, " ")))
 
 
 def clean_tokens(text) -> Column:
@@ -92,20 +105,6 @@ def clean_tokens(text) -> Column:
     return F.filter(trimmed, lambda x: x.rlike(r"^[\p{L}\p{N}]+$"))
 
 
-def ngrams_expr(tokens, n_min: int = 1, n_max: int = 3) -> Column:
-    """T5 as one SQL expression: all n-grams, n in [n_min, n_max], space-joined."""
-    t = col(tokens)
-    parts = []
-    for n in range(n_min, n_max + 1):
-        if n == 1:
-            parts.append(t)
-            continue
-        parts.append(F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                        lambda i, n=n: F.array_join(F.slice(t, i, n), " "))))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
 def remove_stop_words(df: DataFrame, in_col: str, out_col: str,
                       stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """Drop stop words from an array column with Spark's hash-set remover."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_not_blank, prefixed_content, title_of, word_count
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + P2-P5 over ``documents``: the file name is ``<source>_<doc_id>``.
 
     Output (doc_id, name, content, source, length, title)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     named = d.filter(is_not_blank("text")).withColumn(
         "name", F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string")))
     c = named.select("doc_id", "name", prefixed_content("name", "text").alias("content"), "source")
@@ -62,7 +63,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Output (conv_id, turn, reference, answer): reference = user text,
     answer (hypothesis) = assistant text."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("reference"))
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))

@@ -116,3 +116,139 @@ def flagship(spark, sf_dir) -> DataFrame:
     """Hybrid top-3 per question (the answering configuration)."""
     h = _hybrid(spark, sf_dir, 3, 0.5)
     return h.select("query_id", "doc_id", r6("combined_score"), "rank", "title")
+
+
+# --- evaluation ---------------------------------------------------------------------
+
+from ..operators import evaluate as EV  # noqa: E402
+
+PAIR_KEYS = ["conv_id", "turn"]
+
+
+@query("p8_valid_pairs", f"""WITH {S.PAIRS}
+SELECT conv_id, turn, CAST(len(h) AS BIGINT) AS h_tokens, CAST(len(r) AS BIGINT) AS r_tokens,
+       array_to_string(h, ' ') AS h_text FROM btok""")
+def p8_valid_pairs(spark, sf_dir):
+    """P7 + P8 + T6: valid pairs with their evaluation tokens."""
+    from ..functions.text import eval_tokens
+    v = EV.valid_pairs(B.pairs(spark, sf_dir))
+    return v.select("conv_id", "turn", F.size(eval_tokens("answer")).cast("bigint").alias("h_tokens"),
+                    F.size(eval_tokens("reference")).cast("bigint").alias("r_tokens"),
+                    F.array_join(eval_tokens("answer"), " ").alias("h_text"))
+
+
+@query("a12_pair_count", f"WITH {S.PAIRS} SELECT count(*) AS pairs FROM valid")
+def a12_pair_count(spark, sf_dir):
+    return EV.pair_count(B.pairs(spark, sf_dir))
+
+
+@query("t7_rouge_words", f"""WITH {S.ROUGE}
+SELECT conv_id, turn, CAST(len(hs) AS BIGINT) AS h_sentences, CAST(len(hw) AS BIGINT) AS h_words,
+       array_to_string(hw, '|') AS h_text, array_to_string(rw, '|') AS r_text FROM rp""")
+def t7_rouge_words(spark, sf_dir):
+    t = EV.rouge_pairs(B.pairs(spark, sf_dir))
+    return t.select("conv_id", "turn", F.size("hs").cast("bigint").alias("h_sentences"),
+                    F.size("hw").cast("bigint").alias("h_words"),
+                    F.array_join("hw", "|").alias("h_text"), F.array_join("rw", "|").alias("r_text"))
+
+
+@query("e1_corpus_bleu", f"""WITH {S.PAIRS},
+ng AS (SELECT conv_id, turn, 'h' AS side, n, unnest(list_transform(range(1, len(h) - n + 2),
+           lambda i: array_to_string(h[i:i + n - 1], ' '))) AS gram FROM bp, range(1, 5) t(n)
+       UNION ALL
+       SELECT conv_id, turn, 'r' AS side, n, unnest(list_transform(range(1, len(r) - n + 2),
+           lambda i: array_to_string(r[i:i + n - 1], ' '))) AS gram FROM bp, range(1, 5) t(n)),
+hc AS (SELECT conv_id, turn, n, gram, count(*) AS c FROM ng WHERE side = 'h' GROUP BY ALL),
+rc AS (SELECT conv_id, turn, n, gram, count(*) AS c FROM ng WHERE side = 'r' GROUP BY ALL),
+clip AS (SELECT hc.n, least(hc.c, rc.c) AS clip FROM hc JOIN rc USING (conv_id, turn, n, gram)),
+nums AS (SELECT coalesce(sum(clip) FILTER (WHERE n = 1), 0) AS n1, coalesce(sum(clip) FILTER (WHERE n = 2), 0) AS n2,
+                coalesce(sum(clip) FILTER (WHERE n = 3), 0) AS n3, coalesce(sum(clip) FILTER (WHERE n = 4), 0) AS n4 FROM clip),
+dens AS (SELECT sum(greatest(1, len(h))) AS d1, sum(greatest(1, len(h) - 1)) AS d2, sum(greatest(1, len(h) - 2)) AS d3,
+                sum(greatest(1, len(h) - 3)) AS d4, sum(len(h)) AS hl, sum(len(r)) AS rl, count(*) AS np FROM bp),
+p AS (SELECT *, CASE WHEN n1 > 0 THEN n1 / d1 ELSE 0.1 / d1 END AS p1, CASE WHEN n2 > 0 THEN n2 / d2 ELSE 0.1 / d2 END AS p2,
+             CASE WHEN n3 > 0 THEN n3 / d3 ELSE 0.1 / d3 END AS p3, CASE WHEN n4 > 0 THEN n4 / d4 ELSE 0.1 / d4 END AS p4
+      FROM nums, dens)
+SELECT round(CASE WHEN n1 = 0 THEN 0.0 ELSE (CASE WHEN hl > rl THEN 1.0 ELSE exp(1 - rl / hl) END)
+                  * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) END, 6) AS bleu,
+       CAST(np AS BIGINT) AS pairs, CAST(hl AS BIGINT) AS hyp_len, CAST(rl AS BIGINT) AS ref_len,
+       round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4 FROM p""")
+def e1_corpus_bleu(spark, sf_dir):
+    b = EV.corpus_bleu(B.pairs(spark, sf_dir), PAIR_KEYS)
+    return b.select(r6("bleu"), "pairs", "hyp_len", "ref_len", r6("p1"), r6("p2"), r6("p3"), r6("p4"))
+
+
+def _prf_sql(ov: str, nh: str, nr: str, name: str) -> str:
+    p = f"(CASE WHEN {nh} > 0 THEN {ov} / {nh} ELSE 0.0 END)"
+    r = f"(CASE WHEN {nr} > 0 THEN {ov} / {nr} ELSE 0.0 END)"
+    return f"{r} AS {name}_r, {p} AS {name}_p, 2.0 * (({p} * {r}) / ({p} + {r} + 1e-8)) AS {name}_f"
+
+
+@query("e2_rouge_n", f"""WITH {S.ROUGE},
+sets AS (SELECT list_distinct(hw) AS h1, list_distinct(rw) AS r1,
+                list_distinct({S.bigrams('hw')}) AS h2, list_distinct({S.bigrams('rw')}) AS r2 FROM rp),
+ov AS (SELECT *, len(list_filter(h1, lambda x: list_contains(r1, x))) AS o1,
+              len(list_filter(h2, lambda x: list_contains(r2, x))) AS o2 FROM sets),
+s AS (SELECT {_prf_sql('o1', 'len(h1)', 'len(r1)', 'rouge1')}, {_prf_sql('o2', 'len(h2)', 'len(r2)', 'rouge2')} FROM ov)
+SELECT round(avg(rouge1_r), 6) AS rouge1_r, round(avg(rouge1_p), 6) AS rouge1_p, round(avg(rouge1_f), 6) AS rouge1_f,
+       round(avg(rouge2_r), 6) AS rouge2_r, round(avg(rouge2_p), 6) AS rouge2_p, round(avg(rouge2_f), 6) AS rouge2_f,
+       count(*) AS pairs FROM s""")
+def e2_rouge_n(spark, sf_dir):
+    s = EV.rouge_n(B.pairs(spark, sf_dir), PAIR_KEYS)
+    return s.select(*[r6(f"rouge{n}_{m}") for n in (1, 2) for m in "rpf"], "pairs")
+
+
+@query("e4_rouge_l_lcs", f"""WITH {S.ROUGE},
+l AS (SELECT hw, rw, {S.lcs_len('hw', 'rw')} AS lcs FROM rp),
+s AS (SELECT {_prf_sql('lcs', 'len(hw)', 'len(rw)', 'lcs')} FROM l)
+SELECT round(avg(lcs_r), 6) AS lcs_r, round(avg(lcs_p), 6) AS lcs_p, round(avg(lcs_f), 6) AS lcs_f,
+       count(*) AS pairs FROM s""")
+def e4_rouge_l_lcs(spark, sf_dir):
+    s = EV.rouge_l_lcs(B.pairs(spark, sf_dir), PAIR_KEYS)
+    return s.select(r6("lcs_r"), r6("lcs_p"), r6("lcs_f"), "pairs")
+
+
+@query("e3_rouge_l_summary")
+def e3_rouge_l_summary(spark, sf_dir):
+    """Summary-level ROUGE-L (union LCS with trace-back): no SQL form; checked
+    against a brute-force golden in pytest."""
+    s = EV.rouge_l_summary(B.pairs(spark, sf_dir), PAIR_KEYS)
+    return s.select(r6("rougeL_r"), r6("rougeL_p"), r6("rougeL_f"), "pairs")
+
+
+@query("e5_greedy_match", f"""WITH {S.PAIRS},
+nv AS (SELECT count(*) AS n FROM embeddings),
+tk AS (SELECT conv_id, turn, 'h' AS side, pos, h[pos] AS tok FROM (SELECT conv_id, turn, h, unnest(range(1, len(h) + 1)) AS pos FROM bp)
+       UNION ALL
+       SELECT conv_id, turn, 'r' AS side, pos, r[pos] AS tok FROM (SELECT conv_id, turn, r, unnest(range(1, len(r) + 1)) AS pos FROM bp)),
+tv AS (SELECT tk.*, CAST(e.embedding AS DOUBLE[]) AS v FROM tk
+       JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(tk.tok), 1, 8))::BIGINT % (SELECT n FROM nv)),
+sim AS (SELECT h.conv_id, h.turn, h.pos AS hpos, r.pos AS rpos, list_dot_product(h.v, r.v) AS s
+        FROM tv h JOIN tv r ON h.conv_id = r.conv_id AND h.turn = r.turn AND h.side = 'h' AND r.side = 'r'),
+hp AS (SELECT conv_id, turn, avg(m) AS P FROM (SELECT conv_id, turn, hpos, max(s) AS m FROM sim GROUP BY ALL) GROUP BY ALL),
+rr AS (SELECT conv_id, turn, avg(m) AS R FROM (SELECT conv_id, turn, rpos, max(s) AS m FROM sim GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT P, R, CASE WHEN P + R <> 0 THEN 2 * P * R / (P + R) ELSE 0.0 END AS F FROM hp JOIN rr USING (conv_id, turn))
+SELECT round(avg(P), 6) AS precision, round(avg(R), 6) AS recall, round(avg(F), 6) AS f1, count(*) AS pairs FROM f""")
+def e5_greedy_match(spark, sf_dir):
+    vecs = B.embeddings(spark, sf_dir)
+    n = vecs.count()
+    s = EV.greedy_match(B.pairs(spark, sf_dir), PAIR_KEYS, vecs, n)
+    return s.select(r6("precision"), r6("recall"), r6("f1"), "pairs")
+
+
+@query("j5_merge_answers", """WITH ans AS (
+  SELECT u.text AS query, a.text AS answer FROM conversations u JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'),
+refs AS (SELECT u.text AS query, s.text AS reference FROM conversations u JOIN conversations s
+    ON s.conv_id = u.conv_id AND u.role = 'user' AND s.role = 'system')
+SELECT ans.query, ans.answer, refs.reference FROM ans LEFT JOIN refs ON ans.query IS NOT DISTINCT FROM refs.query""")
+def j5_merge_answers(spark, sf_dir):
+    """Answers (user text -> next assistant text) left-joined to references
+    (user text -> the conversation's system text): every answer stays, a
+    question without reference gets null, repeated questions fan out."""
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = B.pairs(spark, sf_dir)
+    answers = pairs.select(F.col("reference").alias("query"), "answer")
+    u = c.filter(F.col("role") == "user").select("conv_id", F.col("text").alias("query"))
+    s = c.filter(F.col("role") == "system").select("conv_id", F.col("text").alias("reference"))
+    refs = u.join(s, "conv_id").select("query", "reference")
+    return EV.merge_answers(answers, refs, "query").select("query", "answer", "reference")

@@ -70,3 +70,39 @@ fused AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.doc_id
           FROM dense d FULL OUTER JOIN sn s ON d.query_id = s.query_id AND d.doc_id = s.doc_id),
 hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined_score, 6) DESC, doc_id) AS rank
         FROM fused) WHERE rank <= {k})"""
+
+PAIRS = r"""pu AS (SELECT conv_id, turn, text AS reference FROM conversations WHERE role = 'user'),
+pa AS (SELECT conv_id, turn - 1 AS turn, text AS answer FROM conversations WHERE role = 'assistant'),
+pairs AS (SELECT conv_id, turn, reference, answer FROM pu JOIN pa USING (conv_id, turn)),
+valid AS (SELECT * FROM pairs WHERE answer IS NOT NULL AND reference IS NOT NULL
+          AND regexp_matches(answer, '\S') AND regexp_matches(reference, '\S')),
+btok AS (SELECT conv_id, turn, answer, reference,
+                list_filter(string_split_regex(answer, '[.!?\s]+'), lambda x: x <> '') AS h,
+                list_filter(string_split_regex(reference, '[.!?\s]+'), lambda x: x <> '') AS r FROM valid),
+bp AS (SELECT * FROM btok WHERE len(h) > 0 AND len(r) > 0)"""
+
+
+def rouge_sents(x: str) -> str:
+    return (f"list_transform(list_filter(string_split({x}, '.'), lambda s: length(s) > 0), "
+            f"lambda s: array_to_string(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> ''), ' '))")
+
+
+def rouge_words(sents: str) -> str:
+    return f"flatten(list_transform({sents}, lambda s: string_split(s, ' ')))"
+
+
+ROUGE = PAIRS + r""",
+rs0 AS (SELECT conv_id, turn, """ + rouge_sents("answer") + r""" AS hs, """ + rouge_sents("reference") + r""" AS rs FROM valid),
+rp AS (SELECT conv_id, turn, hs, rs, """ + rouge_words("hs") + r""" AS hw, """ + rouge_words("rs") + r""" AS rw
+       FROM rs0 WHERE len(hs) > 0 AND len(rs) > 0)"""
+
+
+def bigrams(w: str) -> str:
+    return f"list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
+
+
+def lcs_len(a: str, b: str) -> str:
+    """LCS length by a row-by-row dynamic program (nested list_reduce)."""
+    return (f"list_reduce({a}, lambda prev, x: list_reduce(range(1, len({b}) + 1), lambda acc, j: "
+            f"list_append(acc, CASE WHEN x = {b}[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[j]) END), [0]), "
+            f"list_transform(range(0, len({b}) + 1), lambda z: 0))[len({b}) + 1]")
