@@ -25,9 +25,9 @@ def col(c) -> Column:
 def path_stem(path) -> Column:
     """File name without directory and without its last suffix."""
     base = F.regexp_extract(col(path), r"([^/]*)$", 1)
-    stem = F.regexp_extract(base, r"^(.*)\.[^.]*$", 1)
-    # a leading dot alone ('.bashrc') is not a suffix, as for pathlib's stem
-    return F.when((stem == "") | ~base.contains("."), base).otherwise(stem)
+    # leading dots belong to the name ('.bashrc' has no suffix)
+    stem = F.regexp_extract(base, r"^(\.*[^.].*)\.[^.]*$", 1)
+    return F.when(stem == "", base).otherwise(stem)
 
 
 def humanise(name) -> Column:

@@ -80,7 +80,7 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted table rows: one table per customer from ``orders``.
 
     Output (doc_id, page_no, row_no, cells ARRAY<STRING>). Page 0 holds the
-    header row (row_no 0), data rows follow in order-key order. Cells of
+    header row (row_no 0), data rows follow (row_no = order key + 1). Cells of
     orders in status 'P' (pending) are blank: an all-null row for the
     table operators to drop."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -90,7 +90,7 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(blank, F.lit(None)).otherwise(F.col("o_orderstatus")),
         F.when(blank, F.lit(None)).otherwise(F.col("o_orderpriority")))
     data = o.select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("doc_id"),
-                    F.lit(0).alias("page_no"), F.col("o_orderkey").alias("row_no"), cells.alias("cells"))
+                    F.lit(0).alias("page_no"), (F.col("o_orderkey") + 1).alias("row_no"), cells.alias("cells"))
     header = (o.select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("doc_id")).distinct()
                .select("doc_id", F.lit(0).alias("page_no"), F.lit(0).cast("bigint").alias("row_no"),
                        F.array(F.lit("orderkey"), F.lit("status"), F.lit("priority")).alias("cells")))
@@ -100,3 +100,18 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source paths: ``pages.url``."""
     return table(spark, sf_dir, "pages").select("page_id", "url")
+
+
+def customers_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that own the tables: one per customer, id ``cust<key>``, text = name."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return c.select(F.concat(F.lit("cust"), F.col("c_custkey").cast("string")).alias("doc_id"),
+                    F.col("c_name").alias("text"))
+
+
+def fallback_texts(spark: SparkSession, sf_dir: str, prefix: str = "cust") -> DataFrame:
+    """Fallback (OCR-like) text per document: the page's HTML with tags blanked,
+    page_id bound to the document id ``<prefix><page_id>``."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    return p.select(F.concat(F.lit(prefix), F.col("page_id").cast("string")).alias("doc_id"),
+                    F.regexp_replace("html", "<[^>]*>", " ").alias("text"))

@@ -252,3 +252,162 @@ def j5_merge_answers(spark, sf_dir):
     s = c.filter(F.col("role") == "system").select("conv_id", F.col("text").alias("reference"))
     refs = u.join(s, "conv_id").select("query", "reference")
     return EV.merge_answers(answers, refs, "query").select("query", "answer", "reference")
+
+
+# --- corpus preparation ------------------------------------------------------------
+
+from ..functions.text import path_stem  # noqa: E402
+from ..operators import corpus as CO  # noqa: E402
+from ..operators import tables as TB  # noqa: E402
+
+
+@query("p1_path_stem", r"""SELECT page_id,
+  CASE WHEN regexp_extract(b, '^(\.*[^.].*)\.[^.]*$', 1) = '' THEN b
+       ELSE regexp_extract(b, '^(\.*[^.].*)\.[^.]*$', 1) END AS stem
+FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS b FROM pages)""")
+def p1_path_stem(spark, sf_dir):
+    return B.source_paths(spark, sf_dir).select("page_id", path_stem("url").alias("stem"))
+
+
+@query("p5_corpus_scan", f"""WITH {S.DOCS}
+SELECT doc_id, name, source, length, title, md5(content) AS content_md5 FROM docs""")
+def p5_corpus_scan(spark, sf_dir):
+    """S1 + P2-P5: prefixed content, title, word count; blank texts skipped."""
+    c = B.corpus(spark, sf_dir)
+    return c.select("doc_id", "name", "source", F.col("length").cast("bigint").alias("length"), "title",
+                    F.md5("content").alias("content_md5"))
+
+
+@query("t1_clean_text", f"""WITH src AS (SELECT doc_id, text FROM documents), {S.cleaned('src')}
+SELECT doc_id, cleaned FROM cleaned""")
+def t1_clean_text(spark, sf_dir):
+    """Tokens, stop words removed, noun lemmas against the corpus lexicon."""
+    return CO.clean_text(B.documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
+
+
+@query("t3_lemma_map", f"""WITH src AS (SELECT doc_id, text FROM documents), {S.cleaned('src')}
+SELECT tok, lemma FROM lem2""")
+def t3_lemma_map(spark, sf_dir):
+    from ..functions.text import clean_tokens
+    d = B.documents(spark, sf_dir).select("doc_id", F.explode(clean_tokens("text")).alias("tok"))
+    from ..functions.stopwords import ENGLISH_STOP_WORDS
+    d = d.filter(~F.col("tok").isin(list(ENGLISH_STOP_WORDS)))
+    return CO.lemma_map(d)
+
+
+PAGES_JOINED = """pj AS (SELECT conv_id AS doc_id,
+  coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn), '') AS t_concat,
+  coalesce(string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn), '') AS t_lines,
+  coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE coalesce(text, '') <> ''), '') AS t_nonempty
+  FROM conversations GROUP BY conv_id)"""
+
+
+@query("a13_join_pages", f"""WITH {PAGES_JOINED}
+SELECT doc_id, md5(t_concat) AS concat_md5, md5(t_lines) AS lines_md5, md5(t_nonempty) AS nonempty_md5,
+       CAST(length(t_concat) AS BIGINT) AS n_chars FROM pj""")
+def a13_join_pages(spark, sf_dir):
+    pages = B.pages_of_documents(spark, sf_dir)
+    a = CO.join_pages(pages, "concat").withColumnRenamed("text", "c")
+    b = CO.join_pages(pages, "line_after").withColumnRenamed("text", "l")
+    c = CO.join_pages(pages, "between_nonempty").withColumnRenamed("text", "n")
+    j = a.join(b, "doc_id").join(c, "doc_id")
+    return j.select("doc_id", F.md5("c").alias("concat_md5"), F.md5("l").alias("lines_md5"),
+                    F.md5("n").alias("nonempty_md5"), F.length("c").cast("bigint").alias("n_chars"))
+
+
+@query("a11_mean_words", f"""WITH {PAGES_JOINED}
+SELECT round(avg(len(list_filter(string_split_regex(t_nonempty, '\\s+'), lambda x: x <> ''))), 6) AS avg_words,
+       count(*) AS documents FROM pj""")
+def a11_mean_words(spark, sf_dir):
+    docs = CO.join_pages(B.pages_of_documents(spark, sf_dir), "between_nonempty")
+    return CO.mean_words(docs).select(r6("avg_words"), "documents")
+
+
+@query("a14_dedupe_exact", """SELECT md5(text) AS content_key, min(doc_id) AS doc_id, count(*) AS copies
+FROM documents GROUP BY md5(text)""")
+def a14_dedupe_exact(spark, sf_dir):
+    return CO.dedupe_exact(B.documents(spark, sf_dir), "doc_id", "text")
+
+
+@query("p10_fallback_text", f"""WITH src AS (SELECT 'cust' || CAST(conv_id AS VARCHAR) AS doc_id,
+    string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+{S.cleaned('src')},
+fb AS (SELECT 'cust' || CAST(page_id AS VARCHAR) AS doc_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages)
+SELECT c.doc_id, CASE WHEN regexp_matches(c.cleaned, '\\S') THEN 'primary' ELSE 'fallback' END AS text_origin,
+       md5(CASE WHEN regexp_matches(c.cleaned, '\\S') THEN c.cleaned ELSE coalesce(fb.text, '') END) AS text_md5
+FROM cleaned c LEFT JOIN fb USING (doc_id)""")
+def p10_fallback_text(spark, sf_dir):
+    """A13 -> T1 -> P10: page text cleaned; blank results take the fallback text."""
+    pages = B.pages_of_documents(spark, sf_dir).withColumn(
+        "doc_id", F.concat(F.lit("cust"), F.col("doc_id").cast("string")))
+    cl = CO.clean_text(CO.join_pages(pages, "concat"), "doc_id", "text").withColumnRenamed("cleaned", "text")
+    fb = CO.with_fallback(cl, B.fallback_texts(spark, sf_dir), "doc_id", "text")
+    return fb.select("doc_id", "text_origin", F.md5("text").alias("text_md5"))
+
+
+@query("p6_drop_blank_rows", f"""WITH {S.TABLE_ROWS}
+SELECT doc_id, page_no, row_no FROM urows""")
+def p6_drop_blank_rows(spark, sf_dir):
+    return TB.drop_blank_rows(B.table_rows(spark, sf_dir)).select("doc_id", "page_no", "row_no")
+
+
+@query("a16_keep_tables", f"""WITH {S.TABLE_ROWS}
+SELECT doc_id, page_no, count(*) AS usable_rows FROM kept GROUP BY ALL""")
+def a16_keep_tables(spark, sf_dir):
+    k = TB.keep_tables(B.table_rows(spark, sf_dir), header_counts=False)
+    return k.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("usable_rows"))
+
+
+@query("t12_render_tables", f"""WITH {S.TABLE_ROWS}
+SELECT doc_id, page_no, table_text FROM rendered""")
+def t12_render_tables(spark, sf_dir):
+    return TB.render_tables(TB.keep_tables(B.table_rows(spark, sf_dir)))
+
+
+@query("t13_merge_tables", f"""WITH {S.TABLE_ROWS},
+per_doc AS (SELECT doc_id, string_agg('Extracted Table:' || chr(10) || table_text || chr(10) || chr(10), '' ORDER BY page_no) AS t
+            FROM rendered GROUP BY doc_id),
+d AS (SELECT 'cust' || CAST(c_custkey AS VARCHAR) AS doc_id, c_name AS text FROM customer)
+SELECT d.doc_id, coalesce(d.text, '') || chr(10) || chr(10) || coalesce(per_doc.t, '') AS content
+FROM d LEFT JOIN per_doc USING (doc_id)""")
+def t13_merge_tables(spark, sf_dir):
+    rendered = TB.render_tables(TB.keep_tables(B.table_rows(spark, sf_dir)))
+    return TB.merge_text_and_tables(B.customers_as_documents(spark, sf_dir), rendered, "doc_id", "text")
+
+
+@query("o1_union_corpus", f"""WITH {S.DOCS}, {S.TABLE_ROWS},
+td AS (SELECT doc_id || '_table' || CAST(page_no AS VARCHAR) AS id, table_text FROM rendered),
+tdocs AS (SELECT id AS doc_id, translate(id, '_-', '  ') || chr(10) || chr(10) || table_text AS content FROM td),
+u AS (SELECT name AS doc_id, content FROM docs UNION ALL SELECT doc_id, content FROM tdocs)
+SELECT doc_id, CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS BIGINT) AS length,
+       CASE WHEN content = '' THEN 'Untitled' ELSE split_part(content, chr(10), 1) END AS title,
+       md5(content) AS content_md5 FROM u""")
+def o1_union_corpus(spark, sf_dir):
+    text_docs = B.corpus(spark, sf_dir).select(F.col("name").alias("doc_id"), "content", "source", "length", "title")
+    table_docs = TB.table_documents(TB.render_tables(TB.keep_tables(B.table_rows(spark, sf_dir))))
+    u = CO.union_corpus(text_docs, table_docs)
+    return u.select("doc_id", F.col("length").cast("bigint").alias("length"), "title",
+                    F.md5("content").alias("content_md5"))
+
+
+@query("u5_prepare_documents", f"""WITH src AS (SELECT 'cust' || CAST(conv_id AS VARCHAR) AS doc_id,
+    string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+{S.cleaned('src')}, {S.TABLE_ROWS},
+fb AS (SELECT 'cust' || CAST(page_id AS VARCHAR) AS doc_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages),
+chosen AS (SELECT c.doc_id, CASE WHEN regexp_matches(c.cleaned, '\\S') THEN c.cleaned ELSE coalesce(fb.text, '') END AS text,
+                  CASE WHEN regexp_matches(c.cleaned, '\\S') THEN 'primary' ELSE 'fallback' END AS text_origin
+           FROM cleaned c LEFT JOIN fb USING (doc_id)),
+per_doc AS (SELECT doc_id, string_agg('Extracted Table:' || chr(10) || table_text || chr(10) || chr(10), '' ORDER BY page_no) AS t
+            FROM rendered GROUP BY doc_id)
+SELECT chosen.doc_id, text_origin, md5(chosen.text || chr(10) || chr(10) || coalesce(per_doc.t, '')) AS content_md5
+FROM chosen LEFT JOIN per_doc USING (doc_id)""")
+def u5_prepare_documents(spark, sf_dir):
+    """Pages -> text -> clean -> fallback -> tables -> merged content."""
+    pages = B.pages_of_documents(spark, sf_dir).withColumn(
+        "doc_id", F.concat(F.lit("cust"), F.col("doc_id").cast("string")))
+    cl = CO.clean_text(CO.join_pages(pages, "concat"), "doc_id", "text").withColumnRenamed("cleaned", "text")
+    fb = CO.with_fallback(cl, B.fallback_texts(spark, sf_dir), "doc_id", "text")
+    rendered = TB.render_tables(TB.keep_tables(B.table_rows(spark, sf_dir)))
+    merged = TB.merge_text_and_tables(fb, rendered, "doc_id", "text")
+    return merged.join(fb.select("doc_id", "text_origin"), "doc_id").select(
+        "doc_id", "text_origin", F.md5("content").alias("content_md5"))

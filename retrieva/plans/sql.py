@@ -106,3 +106,43 @@ def lcs_len(a: str, b: str) -> str:
     return (f"list_reduce({a}, lambda prev, x: list_reduce(range(1, len({b}) + 1), lambda acc, j: "
             f"list_append(acc, CASE WHEN x = {b}[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[j]) END), [0]), "
             f"list_transform(range(0, len({b}) + 1), lambda z: 0))[len({b}) + 1]")
+
+TABLE_ROWS = r"""trows AS (
+  SELECT DISTINCT 'cust' || CAST(o_custkey AS VARCHAR) AS doc_id, 0 AS page_no, CAST(0 AS BIGINT) AS row_no,
+         ['orderkey', 'status', 'priority'] AS cells FROM orders
+  UNION ALL
+  SELECT 'cust' || CAST(o_custkey AS VARCHAR), 0, o_orderkey + 1,
+         CASE WHEN o_orderstatus = 'P' THEN CAST([NULL, NULL, NULL] AS VARCHAR[])
+              ELSE [CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority] END FROM orders),
+urows AS (SELECT * FROM trows WHERE len(list_filter(cells, lambda c: c IS NOT NULL AND trim(c) <> '')) > 0),
+keep AS (SELECT doc_id, page_no FROM urows WHERE row_no <> 0 GROUP BY ALL HAVING count(*) > 1),
+kept AS (SELECT * FROM urows WHERE (doc_id, page_no) IN (SELECT (doc_id, page_no) FROM keep)),
+ncol AS (SELECT doc_id, page_no, max(len(cells)) AS nc FROM kept GROUP BY ALL),
+kj AS (SELECT k.*, j FROM kept k JOIN ncol USING (doc_id, page_no), unnest(range(1, ncol.nc + 1)) AS u(j)),
+cw AS (SELECT doc_id, page_no, j, max(length(coalesce(cells[j], 'NaN'))) AS w FROM kj GROUP BY ALL),
+lines AS (SELECT doc_id, page_no, row_no, string_agg(lpad(coalesce(cells[j], 'NaN'), CAST(w AS INTEGER), ' '), ' ' ORDER BY j) AS line
+          FROM kj JOIN cw USING (doc_id, page_no, j) GROUP BY ALL),
+rendered AS (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY row_no) AS table_text FROM lines GROUP BY ALL)"""
+
+
+def clean_tokens(x: str) -> str:
+    return (f"list_filter(list_transform(string_split_regex({x}, '\\s+'), "
+            f"lambda w: regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), "
+            f"lambda w: regexp_matches(w, '^[\\p{{L}}\\p{{N}}]+$'))")
+
+
+def cleaned(src: str) -> str:
+    """T1 over a CTE ``src(doc_id, text)``: CTEs occ, lex, cand, lem, cleaned."""
+    return f"""ct AS (SELECT doc_id, {clean_tokens('text')} AS t FROM {src}),
+occ AS (SELECT doc_id, pos, t[pos] AS tok FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS pos FROM ct)
+        WHERE NOT list_contains({STOP}, t[pos])),
+lex AS (SELECT DISTINCT tok FROM occ),
+rules AS (SELECT * FROM (VALUES (1, 's', ''), (2, 'ses', 's'), (3, 'ves', 'f'), (4, 'xes', 'x'), (5, 'zes', 'z'),
+          (6, 'ches', 'ch'), (7, 'shes', 'sh'), (8, 'men', 'man'), (9, 'ies', 'y')) r(o, suf, rep)),
+cand AS (SELECT lex.tok, o, left(lex.tok, length(lex.tok) - length(suf)) || rep AS c FROM lex, rules
+         WHERE ends_with(lex.tok, suf)),
+lem AS (SELECT tok, first(c ORDER BY length(c), o) AS lemma FROM cand WHERE c IN (SELECT tok FROM lex) GROUP BY tok),
+lem2 AS (SELECT * FROM lem WHERE length(lemma) < length(tok)),
+cl AS (SELECT doc_id, string_agg(coalesce(lem2.lemma, occ.tok), ' ' ORDER BY pos) AS cleaned
+       FROM occ LEFT JOIN lem2 USING (tok) GROUP BY doc_id),
+cleaned AS (SELECT s.doc_id, coalesce(cl.cleaned, '') AS cleaned FROM {src} s LEFT JOIN cl USING (doc_id))"""
