@@ -411,3 +411,140 @@ def u5_prepare_documents(spark, sf_dir):
     merged = TB.merge_text_and_tables(fb, rendered, "doc_id", "text")
     return merged.join(fb.select("doc_id", "text_origin"), "doc_id").select(
         "doc_id", "text_origin", F.md5("content").alias("content_md5"))
+
+
+# --- answering, variant 1 ------------------------------------------------------------
+
+from ..operators import answer as AN  # noqa: E402
+from ..operators import context as CX  # noqa: E402
+
+
+def _contexts_v1(spark, sf_dir, k: int = 3, alpha: float = 0.5) -> DataFrame:
+    """W3 -> S7 -> W7 -> T14: (query_id, question, context, prompt)."""
+    hits = _hybrid(spark, sf_dir, k, alpha)
+    src = B.documents(spark, sf_dir).select("doc_id", "text")
+    ctx = CX.titled_context(CX.attach_sources(hits, src))
+    q = B.questions(spark, sf_dir).withColumnRenamed("text", "question")
+    return CX.with_prompt(q.join(ctx, "query_id"), "context", "question", variant=1)
+
+
+HYB3 = f"{S.TFIDF}, {S.VECTORS}, {S.dense_topk(3)}, {S.hybrid(3, 0.5)}"
+CTX1 = f"""ctx AS (SELECT h.query_id,
+    string_agg(chr(10) || chr(10) || d.title || ':' || chr(10) || coalesce(src.text, '[Could not load document]'), '' ORDER BY h.rank) AS context
+  FROM hyb h JOIN docs d USING (doc_id) LEFT JOIN documents src ON src.doc_id = h.doc_id GROUP BY h.query_id),
+pr AS (SELECT ctx.query_id, ctx.context, {S.prompt_sql(S.PROMPT1_HEAD, 'ctx.context', 'b.text')} AS prompt
+       FROM ctx JOIN benchmark b ON b.item_id = ctx.query_id)"""
+
+
+@query("w7_context_prompt", f"""WITH {HYB3}, {CTX1}
+SELECT query_id, md5(context) AS context_md5, CAST(length(context) AS BIGINT) AS n_chars, md5(prompt) AS prompt_md5 FROM pr""")
+def w7_context_prompt(spark, sf_dir):
+    p = _contexts_v1(spark, sf_dir)
+    return p.select("query_id", F.md5("context").alias("context_md5"),
+                    F.length("context").cast("bigint").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("t15_chat_request", f"""WITH {HYB3}, {CTX1}
+SELECT query_id, 'mistralai/Mistral-7B-Instruct-v0.1' AS model, 'You are a helpful assistant for academic research.' AS system,
+       md5(prompt) AS user_md5, CAST(512 AS BIGINT) AS max_tokens FROM pr""")
+def t15_chat_request(spark, sf_dir):
+    r = CX.with_request(_contexts_v1(spark, sf_dir))
+    return r.select("query_id", F.get_json_object("request", "$.model").alias("model"),
+                    F.get_json_object("request", "$.messages[0].content").alias("system"),
+                    F.md5(F.get_json_object("request", "$.messages[1].content")).alias("user_md5"),
+                    F.get_json_object("request", "$.max_tokens").cast("bigint").alias("max_tokens"))
+
+
+@query("u3_batch_answer")
+def u3_batch_answer(spark, sf_dir):
+    """Questions -> hybrid top-3 -> context -> prompt -> generator (stub)."""
+    p = _contexts_v1(spark, sf_dir)
+    return AN.generate(p.select("query_id", "question", "prompt"), AN.extractive_generator,
+                       keep=["query_id", "question"])
+
+
+# --- answering, variant 2 ------------------------------------------------------------
+
+def _bm25(spark, sf_dir):
+    docs = CO.plain_corpus(B.documents(spark, sf_dir), "doc_id", "text")
+    return sparse.build_bm25_index(docs, "doc_id", "content", materialize_to=materialize)
+
+
+@query("a10_bm25_search", f"WITH {S.BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
+def a10_bm25_search(spark, sf_dir):
+    hits = sparse.bm25_search(_bm25(spark, sf_dir), B.questions(spark, sf_dir))
+    return hits.select("query_id", "doc_id", r6("score"))
+
+
+@query("w4_bm25_topk", f"WITH {S.BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm4")
+def w4_bm25_topk(spark, sf_dir):
+    hits = sparse.bm25_top(sparse.bm25_search(_bm25(spark, sf_dir), B.questions(spark, sf_dir)), 4)
+    return hits.select("query_id", "doc_id", r6("score"), "rank")
+
+
+def _doc_vectors_all(spark, sf_dir):
+    docs = B.documents(spark, sf_dir).select("doc_id")
+    e = B.embeddings(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dvec"))
+    return e.join(docs, "doc_id", "left_semi")
+
+
+@query("v5_dense_l2_topk", f"WITH {S.DENSE_L2} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM l2top")
+def v5_dense_l2_topk(spark, sf_dir):
+    hits = dense.knn(B.query_vectors(spark, sf_dir), _doc_vectors_all(spark, sf_dir), k=5, metric="l2")
+    return hits.select("query_id", "doc_id", r6("score"), "rank")
+
+
+def _fused_v2(spark, sf_dir, alpha: float = 0.5, order: str = "desc"):
+    dn = dense.knn(B.query_vectors(spark, sf_dir), _doc_vectors_all(spark, sf_dir), k=5, metric="l2")
+    bm = sparse.bm25_top(sparse.bm25_search(_bm25(spark, sf_dir), B.questions(spark, sf_dir)), 4)
+    docs = B.documents(spark, sf_dir).select("doc_id", "text")
+    fused = hybrid.fuse_by_content(dn, bm, docs, alpha, "text")
+    return hybrid.order_fused(fused, order).join(docs, "doc_id")
+
+
+@query("a8_fuse_by_content", f"""WITH {S.BM25}, {S.DENSE_L2}, {S.FUSE2}
+SELECT query_id, doc_id, content_key, round(fused_score, 6) AS fused_score, rank FROM ranked2""")
+def a8_fuse_by_content(spark, sf_dir):
+    f = _fused_v2(spark, sf_dir)
+    return f.select("query_id", "doc_id", "content_key", r6("fused_score"), "rank")
+
+
+@query("w6_pack_context", f"""WITH {S.BM25}, {S.DENSE_L2}, {S.FUSE2}
+SELECT query_id, CAST(n_docs AS BIGINT) AS n_docs, CAST(length(context) AS BIGINT) AS n_chars, md5(context) AS context_md5 FROM ctx2""")
+def w6_pack_context(spark, sf_dir):
+    packed = CX.pack_context(_fused_v2(spark, sf_dir), "text", "rank", 3000)
+    return packed.select("query_id", F.col("n_docs").cast("bigint").alias("n_docs"),
+                         F.length("context").cast("bigint").alias("n_chars"), F.md5("context").alias("context_md5"))
+
+
+@query("u4_prompt_v2", f"""WITH {S.BM25}, {S.DENSE_L2}, {S.FUSE2}
+SELECT c.query_id, md5({S.prompt_sql(S.PROMPT2_HEAD, 'c.context', 'b.text')}) AS prompt_md5
+FROM ctx2 c JOIN benchmark b ON b.item_id = c.query_id""")
+def u4_prompt_v2(spark, sf_dir):
+    packed = CX.pack_context(_fused_v2(spark, sf_dir), "text", "rank", 3000)
+    q = B.questions(spark, sf_dir).withColumnRenamed("text", "question")
+    p = CX.with_prompt(q.join(packed, "query_id"), "context", "question", variant=2)
+    return p.select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("u4_batch_answer")
+def u4_batch_answer(spark, sf_dir):
+    """U4: dense L2 top-5 + BM25 top-4 -> fuse by content -> pack -> prompt -> generator (stub)."""
+    packed = CX.pack_context(_fused_v2(spark, sf_dir), "text", "rank", 3000)
+    q = B.questions(spark, sf_dir).withColumnRenamed("text", "question")
+    p = CX.with_prompt(q.join(packed, "query_id"), "context", "question", variant=2)
+    return AN.generate(p.select("query_id", "question", "prompt"), AN.extractive_generator,
+                       keep=["query_id", "question"], failure="")
+
+
+# --- U1 encoder ------------------------------------------------------------------------
+
+@query("u1_hashed_embeddings", r"""WITH tk AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 2)) AS tok FROM documents),
+c AS (SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket,
+             sum(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v FROM tk GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY doc_id)
+SELECT doc_id, bucket, round(v / norm, 6) AS weight FROM c JOIN n USING (doc_id) WHERE v <> 0""")
+def u1_hashed_embeddings(spark, sf_dir):
+    emb = AN.hashed_embeddings(B.documents(spark, sf_dir), "doc_id", "text", dim=64)
+    long = emb.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return long.filter(F.col("weight") != 0).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))

@@ -146,3 +146,49 @@ lem2 AS (SELECT * FROM lem WHERE length(lemma) < length(tok)),
 cl AS (SELECT doc_id, string_agg(coalesce(lem2.lemma, occ.tok), ' ' ORDER BY pos) AS cleaned
        FROM occ LEFT JOIN lem2 USING (tok) GROUP BY doc_id),
 cleaned AS (SELECT s.doc_id, coalesce(cl.cleaned, '') AS cleaned FROM {src} s LEFT JOIN cl USING (doc_id))"""
+
+PROMPT1_HEAD = "'Use the following context to answer the question concisely and clearly.' || chr(10) || chr(10) || 'Context:' || chr(10)"
+PROMPT2_HEAD = "'Use the following context to answer the question as concisely and clearly as possible.' || chr(10) || chr(10) || 'Context:' || chr(10)"
+
+
+def prompt_sql(head: str, context: str, question: str) -> str:
+    return f"({head} || {context} || chr(10) || chr(10) || 'Question:' || chr(10) || {question} || chr(10))"
+
+
+BM25 = r"""bd AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS t FROM documents),
+bn AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM bd),
+btf AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM bd) GROUP BY ALL),
+bdf AS (SELECT term, count(*) AS df FROM btf GROUP BY term),
+braw AS (SELECT term, ln((SELECT n FROM bn) - df + 0.5) - ln(df + 0.5) AS raw FROM bdf),
+bidf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM braw) ELSE raw END AS idf FROM braw),
+bq AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id,
+         unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (SELECT avgdl FROM bn)))) AS score
+       FROM bq JOIN bidf USING (term) JOIN btf USING (term) GROUP BY ALL),
+bm4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
+        FROM bm WHERE score > 0) WHERE rank <= 4)"""
+
+DENSE_L2 = r"""dv2 AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE vec_id IN (SELECT doc_id FROM documents)),
+qv2 AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+l2all AS (SELECT qv2.query_id, dv2.doc_id,
+                 list_sum(list_transform(range(1, len(qv2.v) + 1), lambda i: (qv2.v[i] - dv2.v[i]) * (qv2.v[i] - dv2.v[i]))) AS score
+          FROM qv2, dv2),
+l2top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) ASC, doc_id) AS rank
+          FROM l2all) WHERE rank <= 5)"""
+
+FUSE2 = r"""keyed AS (SELECT doc_id, md5(text) AS content_key, text FROM documents),
+fd AS (SELECT query_id, content_key, min(0.5 * (1.0 / (1.0 + score))) AS d, min(doc_id) AS d_id
+       FROM l2top JOIN keyed USING (doc_id) GROUP BY ALL),
+fs AS (SELECT query_id, content_key, count(*) * 0.5 AS s, min(doc_id) AS s_id FROM bm4 JOIN keyed USING (doc_id) GROUP BY ALL),
+fused2 AS (SELECT coalesce(fd.query_id, fs.query_id) AS query_id, coalesce(fd.content_key, fs.content_key) AS content_key,
+                  least(fd.d_id, fs.s_id) AS doc_id, coalesce(fd.d, 0) + coalesce(fs.s, 0) AS fused_score
+           FROM fd FULL OUTER JOIN fs ON fd.query_id = fs.query_id AND fd.content_key = fs.content_key),
+ranked2 AS (SELECT f.*, k.text, row_number() OVER (PARTITION BY f.query_id ORDER BY round(f.fused_score, 6) DESC, f.doc_id) AS rank
+            FROM fused2 f JOIN keyed k ON k.doc_id = f.doc_id),
+packed AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY query_id ORDER BY rank
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM ranked2),
+ctx2 AS (SELECT q.query_id, coalesce(string_agg(p.text || chr(10) || chr(10), '' ORDER BY p.rank), '') AS context,
+                count(p.rank) AS n_docs
+         FROM (SELECT DISTINCT query_id FROM ranked2) q LEFT JOIN packed p ON p.query_id = q.query_id AND p.pre + length(p.text) < 3000
+         GROUP BY q.query_id)"""
