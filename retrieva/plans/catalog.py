@@ -548,3 +548,48 @@ def u1_hashed_embeddings(spark, sf_dir):
     emb = AN.hashed_embeddings(B.documents(spark, sf_dir), "doc_id", "text", dim=64)
     long = emb.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
     return long.filter(F.col("weight") != 0).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+# --- IVF -----------------------------------------------------------------------------
+
+def _ivf_parts(spark, sf_dir):
+    vecs = B.doc_vectors(spark, sf_dir)
+    n = vecs.count()
+    cents = dense.fixed_centroids(vecs, dense.nlist_for(n), "doc_id", "dvec")
+    assigned = dense.assign_cells(vecs, cents, "doc_id", "dvec")
+    return vecs, cents, assigned
+
+
+@query("v3_assign_cells", f"WITH {S.IVF} SELECT doc_id, cell_id FROM asg")
+def v3_assign_cells(spark, sf_dir):
+    """V2 (test form: lowest-id vectors as centroids) + V3 nearest-cell assignment."""
+    _, _, assigned = _ivf_parts(spark, sf_dir)
+    return assigned.select("doc_id", "cell_id")
+
+
+@query("v4_ivf_search", f"WITH {S.VECTORS}, {S.IVF} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ivf")
+def v4_ivf_search(spark, sf_dir):
+    """Probe the best cell of each question, exact top-5 inside it."""
+    _, cents, assigned = _ivf_parts(spark, sf_dir)
+    hits = dense.ivf_search(B.query_vectors(spark, sf_dir), assigned, cents, k=5, nprobe=1)
+    return hits.select("query_id", "doc_id", r6("score"), "rank")
+
+
+@query("v4_ivf_recall", f"""WITH {S.VECTORS}, {S.dense_topk(5)}, {S.IVF}
+SELECT round(count(ivf.doc_id) / count(*), 6) AS recall FROM dense LEFT JOIN ivf USING (query_id, doc_id)""")
+def v4_ivf_recall(spark, sf_dir):
+    """Recall@5 of single-cell probing against exact search."""
+    _, cents, assigned = _ivf_parts(spark, sf_dir)
+    qv = B.query_vectors(spark, sf_dir)
+    approx = dense.ivf_search(qv, assigned, cents, k=5, nprobe=1)
+    exact = dense.knn(qv, B.doc_vectors(spark, sf_dir), k=5)
+    return dense.recall_at_k(approx, exact).select(r6("recall"))
+
+
+@query("v2_train_cells")
+def v2_train_cells(spark, sf_dir):
+    """V2: k-means cells (Spark ML), vectors assigned by inner product; cell sizes."""
+    vecs = B.doc_vectors(spark, sf_dir)
+    cents = dense.train_centroids(vecs, dense.nlist_for(vecs.count()), "dvec", seed=7)
+    assigned = dense.assign_cells(vecs, cents, "doc_id", "dvec")
+    return assigned.groupBy("cell_id").agg(F.count(F.lit(1)).alias("vectors"))

@@ -192,3 +192,19 @@ ctx2 AS (SELECT q.query_id, coalesce(string_agg(p.text || chr(10) || chr(10), ''
                 count(p.rank) AS n_docs
          FROM (SELECT DISTINCT query_id FROM ranked2) q LEFT JOIN packed p ON p.query_id = q.query_id AND p.pre + length(p.text) < 3000
          GROUP BY q.query_id)"""
+
+IVF = r"""iv AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE vec_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '\S'))),
+nl AS (SELECT greatest(1, least(count(*) // 10, 100)) AS nlist FROM iv),
+cent AS (SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS cell_id, v AS c FROM iv
+         ORDER BY doc_id LIMIT (SELECT nlist FROM nl)),
+asg AS (SELECT doc_id, v, cell_id FROM (SELECT iv.doc_id, iv.v, cent.cell_id,
+          row_number() OVER (PARTITION BY iv.doc_id ORDER BY round(list_dot_product(iv.v, cent.c), 6) DESC, cent.cell_id) AS rn
+        FROM iv, cent) WHERE rn = 1),
+iq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+probe AS (SELECT query_id, cell_id FROM (SELECT iq.query_id, cent.cell_id,
+            row_number() OVER (PARTITION BY iq.query_id ORDER BY round(list_dot_product(iq.v, cent.c), 6) DESC, cent.cell_id) AS rn
+          FROM iq, cent) WHERE rn <= 1),
+ivf AS (SELECT * FROM (SELECT p.query_id, a.doc_id, list_dot_product(iq.v, a.v) AS score,
+          row_number() OVER (PARTITION BY p.query_id ORDER BY round(list_dot_product(iq.v, a.v), 6) DESC, a.doc_id) AS rank
+        FROM probe p JOIN iq USING (query_id) JOIN asg a ON a.cell_id = p.cell_id) WHERE rank <= 5)"""
