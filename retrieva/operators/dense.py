@@ -80,28 +80,36 @@ def knn_candidates(queries: DataFrame, docs: DataFrame, k: int, metric: str = "i
 
     With ``cell`` set, a query row only meets documents of the same cell (IVF
     probing: queries arrive exploded over their probed cells)."""
-    if cell is None:
-        queries = queries.withColumn("__cell", F.lit(0))
-        docs = docs.withColumn("__cell", F.lit(0))
-        cell = "__cell"
     qtype = queries.schema[qid].dataType
     dtype = docs.schema[did].dataType
     out_schema = T.StructType([T.StructField("query_id", qtype), T.StructField("doc_id", dtype),
                                T.StructField("score", T.DoubleType())])
-    dstats = (docs.groupBy(cell).agg(F.count(F.lit(1)).alias("__nd"))
-                  .select(cell, F.greatest(F.lit(1), F.ceil(F.col("__nd") / doc_block)).cast("int").alias("__ndb")))
-    qstats = (queries.groupBy(cell).agg(F.count(F.lit(1)).alias("__nq"))
-                     .select(cell, F.greatest(F.lit(1), F.ceil(F.col("__nq") / query_block)).cast("int").alias("__nqb")))
-    # one row per cell: bounded by the number of cells, so safe to broadcast
-    stats = F.broadcast(dstats.join(qstats, cell))
-    d = (docs.select(cell, did, dvec).join(stats, cell)
-             .withColumn("__db", F.pmod(F.xxhash64(did), F.col("__ndb")).cast("int"))
-             .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.col("__nqb") - 1)))
-             .select(cell, "__qb", "__db", did, dvec))
-    q = (queries.select(cell, qid, qvec).join(stats, cell)
-                .withColumn("__qb", F.pmod(F.xxhash64(qid), F.col("__nqb")).cast("int"))
-                .withColumn("__db", F.explode(F.sequence(F.lit(0), F.col("__ndb") - 1)))
-                .select(cell, "__qb", "__db", qid, qvec))
+    if cell is None:
+        # one cell: block counts are two scalars, so no join is needed at all
+        ndb = max(1, math.ceil(docs.count() / doc_block))
+        nqb = max(1, math.ceil(queries.count() / query_block))
+        cell = "__cell"
+        d = (docs.select(F.lit(0).alias(cell), did, dvec)
+                 .withColumn("__db", F.pmod(F.xxhash64(did), F.lit(ndb)).cast("int"))
+                 .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
+        q = (queries.select(F.lit(0).alias(cell), qid, qvec)
+                    .withColumn("__qb", F.pmod(F.xxhash64(qid), F.lit(nqb)).cast("int"))
+                    .withColumn("__db", F.explode(F.sequence(F.lit(0), F.lit(ndb - 1)))))
+    else:
+        dstats = (docs.groupBy(cell).agg(F.count(F.lit(1)).alias("__nd"))
+                      .select(cell, F.greatest(F.lit(1), F.ceil(F.col("__nd") / doc_block)).cast("int").alias("__ndb")))
+        qstats = (queries.groupBy(cell).agg(F.count(F.lit(1)).alias("__nq"))
+                         .select(cell, F.greatest(F.lit(1), F.ceil(F.col("__nq") / query_block)).cast("int").alias("__nqb")))
+        # one row per cell: bounded by the number of cells, so safe to broadcast
+        stats = F.broadcast(dstats.join(qstats, cell))
+        d = (docs.select(cell, did, dvec).join(stats, cell)
+                 .withColumn("__db", F.pmod(F.xxhash64(did), F.col("__ndb")).cast("int"))
+                 .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.col("__nqb") - 1))))
+        q = (queries.select(cell, qid, qvec).join(stats, cell)
+                    .withColumn("__qb", F.pmod(F.xxhash64(qid), F.col("__nqb")).cast("int"))
+                    .withColumn("__db", F.explode(F.sequence(F.lit(0), F.col("__ndb") - 1))))
+    d = d.select(cell, "__qb", "__db", did, dvec)
+    q = q.select(cell, "__qb", "__db", qid, qvec)
     fn = _make_block_fn(k, metric, qid, did, qvec, dvec, out_schema)
     return (q.groupBy(cell, "__qb", "__db").cogroup(d.groupBy(cell, "__qb", "__db"))
              .applyInPandas(fn, schema=out_schema))
