@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import retrieval_tokens
+from ..session import ship_package
 
 ERROR_ANSWER = "[ERROR]"
 
@@ -51,6 +52,7 @@ def model_embeddings(df: DataFrame, id_col: str, text_col: str,
                      encode: Callable[[list[str]], "list[list[float]]"], batch_size: int = 32) -> DataFrame:
     """U1 with a real encoder: ``encode(texts) -> vectors`` runs per Arrow batch
     on the executors (the model loads once per task)."""
+    ship_package(df.sparkSession)
     id_type = df.schema[id_col].dataType
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,6 +84,7 @@ def generate(df: DataFrame, generator: Callable[[str], str] = extractive_generat
     ``retries`` further attempts after a failure, ``retry_wait`` seconds apart;
     after the last failure the answer is ``failure`` and ``error`` is true.
     ``spacing`` seconds pass after every request inside a task."""
+    ship_package(df.sparkSession)
     keep = keep or [c for c in df.columns if c != prompt_col]
     if max_requests_per_minute:
         partitions = partitions or 1

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
+from ..session import ship_package
 from .topk import ranked_score, top_k
 
 DOC_BLOCK = 20_000      # vectors per document block (x dim x 8 bytes in memory)
@@ -80,6 +81,7 @@ def knn_candidates(queries: DataFrame, docs: DataFrame, k: int, metric: str = "i
 
     With ``cell`` set, a query row only meets documents of the same cell (IVF
     probing: queries arrive exploded over their probed cells)."""
+    ship_package(queries.sparkSession)
     qtype = queries.schema[qid].dataType
     dtype = docs.schema[did].dataType
     out_schema = T.StructType([T.StructField("query_id", qtype), T.StructField("doc_id", dtype),

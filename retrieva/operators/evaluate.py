@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import eval_tokens, rouge_sentences, rouge_words
+from ..session import ship_package
 
 # --- P7-P9, A12: pair validity ------------------------------------------------
 
@@ -235,6 +236,7 @@ def union_lcs_count(hyp_sents: pd.Series, ref_sents: pd.Series) -> pd.Series:
 
 def rouge_l_lcs_scores(df: DataFrame, keys: list[str]) -> DataFrame:
     """E4 per pair: plain LCS of the word lists; r = lcs/|ref|, p = lcs/|hyp|."""
+    ship_package(df.sparkSession)
     t = rouge_pairs(df).select(*keys, "hw", "rw").withColumn("lcs", lcs_length("hw", "rw"))
     r, p, f = _prf(F.col("lcs").cast("double"), F.size("hw"), F.size("rw"))
     return t.select(*keys, "lcs", r.alias("lcs_r"), p.alias("lcs_p"), f.alias("lcs_f"))
@@ -249,6 +251,7 @@ def rouge_l_lcs(df: DataFrame, keys: list[str]) -> DataFrame:
 def rouge_l_summary_scores(df: DataFrame, keys: list[str]) -> DataFrame:
     """E3 per pair: summary-level ROUGE-L; r = union-LCS / distinct reference
     words, p = union-LCS / distinct hypothesis words."""
+    ship_package(df.sparkSession)
     t = rouge_pairs(df).select(*keys, "hs", "rs", "hw", "rw").withColumn("ulcs", union_lcs_count("hs", "rs"))
     m = F.size(F.array_distinct("rw"))
     n = F.size(F.array_distinct("hw"))
@@ -289,6 +292,7 @@ def greedy_match_scores(df: DataFrame, keys: list[str], token_vectors: DataFrame
 
     token_vectors: (vec_id, embedding) unit vectors; a token's vector is the
     one at ``token_bucket``."""
+    ship_package(df.sparkSession)
     pairs = bleu_pairs(df).select(*keys, "answer", "reference")
     toks = (pairs.select(*keys, F.lit("h").alias("side"), F.posexplode(eval_tokens("answer")).alias("pos", "tok"))
             .unionByName(pairs.select(*keys, F.lit("r").alias("side"),

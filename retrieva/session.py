@@ -77,7 +77,36 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A large input arrives in many file splits and is left alone; an input that
     scans as fewer splits than the cluster has cores (one big row group) is
     spread round-robin first."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the plan as is
+        return df
+    if splits < target:
         return df.repartition(target)
     return df
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in executor Python workers (pandas UDFs
+    pickle functions by module reference): zip it once per SparkContext and
+    register it with ``addPyFile``, Spark's own distribution mechanism."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="retrieva-pyfiles-"), "retrieva.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
