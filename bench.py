@@ -1,7 +1,10 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Each query runs its whole plan (index builds included) and is executed with
-the ``noop`` sink, so nothing is collected to the driver. Prints one JSON line.
+Each query runs its whole plan and is executed with the ``noop`` sink, so
+nothing is collected to the driver. An index (TF-IDF, BM25) is built by the
+first query that needs it (``a5_inverted_index``, ``a10_bm25_search``: build
+time included) and reused by later searches, as a saved index would be.
+Prints one JSON line.
 """
 
 from __future__ import annotations
