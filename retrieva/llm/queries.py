@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import bpe, mixing, simhash, urls, winnow
 from .common import n_words, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(d, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decode(bpe.encode(d, v), v)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages(page_id, url) with ``good``: the labels of the document whose id is the number in the url's path."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    p = p.withColumn("_doc", F.expr("try_cast(regexp_extract(url, '://[^?#]*?/([0-9]+)', 1) AS bigint)"))
+    good = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.min(F.col("quality") * (1 - F.col("toxic"))).cast("long").alias("good"))
+    return p.join(good, "_doc", "left").drop("_doc")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(labelled_pages(spark, sf_dir))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
     return mixing.mix(d).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op9_mixing": op9_mixing}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = winnow.against_next(table(spark, sf_dir, "documents"))
+    return f.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnow.digest("fp").alias("fingerprint"),
+                    winnow.digest("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op5_bpe": op5_bpe, "op8_url_filters": op8_url_filters, "op9_mixing": op9_mixing,
+           "op10_fingerprints": op10_fingerprints}
 ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
