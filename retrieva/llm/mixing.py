@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from retrieva.session import materialize
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, n_words
 
 #: The hash has 60 bits (15 hex digits of MD5), read in levels of 12: 4,096 buckets for a source at a level.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -78,21 +78,35 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return done
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Decide how often each document is taken. sized: (doc_id, source, size and more columns).
-
-    Adds source_size, target (of the source), times (0, 1, 2, ...), taken (= times * size).
-    """
-    sized = materialize(sized.withColumn("hash", id_hash("doc_id")), "mix-sized")
-    plan = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
+def plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """sized(source, size, hash), written -> one row for each source: (_s, source_size, target, passes, below)."""
+    p = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("passes", whole).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
-    below = thresholds(sized.select("source", "size", "hash"), plan.select("source", "budget"))
-    plan = materialize(plan.join(below.select(F.col("source").alias("_b"), "below"), F.col("source").eqNullSafe(F.col("_b")), "left")
+    p = p.withColumn("passes", whole).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
+    below = thresholds(sized.select("source", "size", "hash"), p.select("source", "budget"))
+    return materialize(p.join(below.select(F.col("source").alias("_b"), "below"), F.col("source").eqNullSafe(F.col("_b")), "left")
                        .select(F.col("source").alias("_s"), "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below")), "mix-plan")
-    out = sized.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_s")))
-    times = F.col("passes") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return out.withColumn("times", times).withColumn("taken", F.col("times") * F.col("size")).drop("_s", "passes", "below", "hash")
+
+
+def times(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``docs`` with _times (0, 1, 2, ...), source_size and target: one join to the few rows of the plan, documents don't move."""
+    out = docs.join(broadcast_if_small(planned), F.col(source_col).eqNullSafe(F.col("_s")))
+    again = F.when(id_hash(id_col) < F.col("below"), 1).otherwise(0)
+    return out.withColumn("_times", F.col("passes") + again).drop("_s", "passes", "below")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs(doc_id, source, text) -> (doc_id, size, source_size, target, taken): how many words the mix takes of each document."""
+    sized = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), id_hash("doc_id").alias("hash")), "mix-sized")
+    out = times(sized, plan(sized, weights, share, most))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("_times") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: rows of ``docs`` (doc_id, source, text and any more columns), each as often as it is taken."""
+    sized = materialize(docs.select("source", n_words("text").alias("size"), id_hash("doc_id").alias("hash")), "mix-sized")
+    columns = docs.columns
+    return times(docs, plan(sized, weights, share, most)).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*columns)
 
 
 #: DuckDB: the same targets and thresholds by running sums over all documents in hash order.

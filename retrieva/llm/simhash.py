@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from retrieva.session import materialize, ship_package
 
-from .common import shuffle_partitions, small_batches
+from .common import broadcast_if_small, shuffle_partitions, small_batches
 from .graph import components
 
 #: Contract of op1, also used by the pipeline.
@@ -191,7 +191,7 @@ def _joined(nodes: DataFrame, max_bits: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, fp, component_id) for every row: its SimHash and the smallest id reachable over links of at most ``max_bits`` bits.
+    """(id, text_hash, fp, component_id) for every row: xxhash64 of its text, its SimHash and the smallest id reachable over links of at most ``max_bits`` bits.
 
     Cases: null and empty texts, and texts of white space, have fingerprint 0 and link with each other like any other;
     fewer words than a shingle give one shingle of all words; repeated rows each return a row; a null id returns a row
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship_package(spark)
     small_batches(spark)
-    prints = materialize(docs.select(F.col(id_col), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
+    prints = materialize(docs.select(F.col(id_col), F.xxhash64(text_col).alias("text_hash"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-nodes")
     chained = components(_sorted_neighbours(nodes, max_bits), "simhash-chains")
     nodes = materialize(nodes.join(chained.withColumnRenamed("node", "fp"), "fp", "left")
@@ -212,7 +212,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "first", F.coalesce("component", "group").alias("root"))
     roots = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = nodes.join(roots, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    return prints.join(named, "fp").select(id_col, "text_hash", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is that of their component in ``found`` (of near_duplicates), repeated rows once.
+
+    Rows in a component without any id stay, as nothing tells them apart.
+    """
+    found = materialize(found.select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_t"), F.coalesce(~F.col(id_col).eqNullSafe(F.col("component_id")) & F.col(
+        "component_id").isNotNull(), F.lit(False)).alias("_gone")), "simhash-found")
+    gone = materialize(found.filter("_gone").select("_i", "_t").distinct(), "simhash-gone")
+    out = docs.withColumn("_h", F.xxhash64(text_col)).join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left_anti")
+    if not found.filter("NOT _gone").groupBy("_i", "_t").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "_h"])
+    return out.drop("_h")
 
 
 def hex16(fp: Column) -> Column:
