@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .stopwords import ENGLISH_STOP_WORDS
 
-WORD_CLASS = r"[\p{L}\p{N}_]"
+# White space as in Python's str.split(): Unicode separators and the ASCII controls; the same text works in Java and RE2.
+SPACE = r"\p{Z}\x09-\x0d\x1c-\x1f\x{85}"
 
 
 def col(c) -> Column:
@@ -36,8 +37,8 @@ def humanise(name) -> Column:
 
 
 def strip_ws(text) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace (Spark ``trim`` strips spaces only)."""
-    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` (Spark ``trim`` strips spaces only)."""
+    return F.regexp_replace(col(text), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def prefixed_content(name, text) -> Column:
@@ -53,12 +54,12 @@ def title_of(content) -> Column:
 
 def word_count(text) -> Column:
     """Number of whitespace-separated words (Python ``len(s.split())``)."""
-    return F.size(F.filter(F.split(col(text), r"\s+"), lambda x: x != ""))
+    return F.size(F.filter(F.split(col(text), f"[{SPACE}]+"), lambda x: x != ""))
 
 
 def is_not_blank(text) -> Column:
     """P5: true when the text holds a non-whitespace character."""
-    return col(text).rlike(r"\S")
+    return col(text).rlike(f"[^{SPACE}]")
 
 
 # --- T4..T8: tokenisers ----------------------------------------------------
@@ -75,19 +76,19 @@ def retrieval_tokens(text) -> Column:
 
 def eval_tokens(text) -> Column:
     """Evaluation tokens: sentences split on .!? then words on whitespace, flattened."""
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"[.!?\s]+"), lambda x: x != "")
+    return F.filter(F.split(F.coalesce(col(text), F.lit("")), f"[.!?{SPACE}]+"), lambda x: x != "")
 
 
 def whitespace_tokens(text) -> Column:
     """Case-sensitive whitespace tokens."""
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(F.coalesce(col(text), F.lit("")), f"[{SPACE}]+"), lambda x: x != "")
 
 
 def rouge_sentences(text) -> Column:
     """ROUGE sentences: pieces between '.' that are not empty, with inner
     whitespace collapsed to single spaces (a piece of only spaces becomes '')."""
     pieces = F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\."), lambda s: F.length(s) > 0)
-    return F.transform(pieces, lambda s: F.array_join(F.filter(F.split(s, r"\s+"), lambda w: w != ""), " "))
+    return F.transform(pieces, lambda s: F.array_join(F.filter(F.split(s, f"[{SPACE}]+"), lambda w: w != ""), " "))
 
 
 def rouge_words(text) -> Column:
@@ -100,7 +101,7 @@ def clean_tokens(text) -> Column:
     """T1 (first half): whitespace tokens, lower-cased, edge punctuation trimmed,
     kept only when purely letters/digits (tokens with inner punctuation drop)."""
     trimmed = F.transform(
-        F.split(F.coalesce(col(text), F.lit("")), r"\s+"),
+        F.split(F.coalesce(col(text), F.lit("")), f"[{SPACE}]+"),
         lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     return F.filter(trimmed, lambda x: x.rlike(r"^[\p{L}\p{N}]+$"))
 
@@ -129,6 +130,7 @@ def add_ngrams(df: DataFrame, tokens: str, out_col: str, n_min: int = 1, n_max:
 
 # --- T14/T15: prompts and chat requests --------------------------------------
 
+# Prompt wordings, system message and request limits, as text.
 PROMPT_V1 = ("Use the following context to answer the question concisely and clearly.\n\n"
              "Context:\n{context}\n\nQuestion:\n{question}\n")
 PROMPT_V2 = ("Use the following context to answer the question as concisely and clearly as possible.\n\n"

@@ -1,4 +1,4 @@
-"""Vector column expressions (T9-T11). Arithmetic is in DOUBLE."""
+"""Vector column expressions (T9, T11; T10 is in the block scorer of ``operators.dense``). Arithmetic is in DOUBLE."""
 
 from __future__ import annotations
 
@@ -22,18 +22,6 @@ def l2_normalize(v) -> Column:
     return F.transform(as_double(v), lambda x: F.coalesce(x / F.nullif(n, F.lit(0.0)), F.lit(0.0)))
 
 
-def dot(a, b) -> Column:
-    """Inner product."""
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y),
-                       F.lit(0.0), lambda s, x: s + x)
-
-
-def squared_l2(a, b) -> Column:
-    """Squared Euclidean distance."""
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0), lambda s, x: s + x)
-
-
 def inverse_distance(d) -> Column:
     """Distance -> similarity 1/(1+d)."""
     return F.lit(1.0) / (F.lit(1.0) + col(d))

@@ -69,10 +69,9 @@ def model_embeddings(df: DataFrame, id_col: str, text_col: str,
 # --- U2: generator ------------------------------------------------------------------
 
 def extractive_generator(prompt_text: str) -> str:
-    """Deterministic stand-in generator: the first line of context after its title."""
-    body = prompt_text.split("Context:\n", 1)[-1].split("\n\nQuestion:\n", 1)[0]
-    lines = [ln for ln in body.split("\n") if ln.strip() and not ln.endswith(":")]
-    return " " + (lines[0][:300] if lines else "")
+    """Deterministic stand-in generator: every retrieved passage, whole, as it stands in the prompt."""
+    body = prompt_text.split("Context:\n", 1)[-1].rsplit("\n\nQuestion:\n", 1)[0]
+    return " " + body.strip("\n")
 
 
 def generate(df: DataFrame, generator: Callable[[str], str] = extractive_generator,
@@ -83,11 +82,13 @@ def generate(df: DataFrame, generator: Callable[[str], str] = extractive_generat
 
     ``retries`` further attempts after a failure, ``retry_wait`` seconds apart;
     after the last failure the answer is ``failure`` and ``error`` is true.
-    ``spacing`` seconds pass after every request inside a task."""
+    ``spacing`` seconds pass after every request inside a task. With
+    ``max_requests_per_minute`` the prompts are dealt over ``partitions`` tasks
+    (the cluster's task slots unless given), each of which keeps its share of the rate."""
     ship_package(df.sparkSession)
     keep = keep or [c for c in df.columns if c != prompt_col]
     if max_requests_per_minute:
-        partitions = partitions or 1
+        partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
         spacing = max(spacing, 60.0 * partitions / max_requests_per_minute)
     src = df.select(*keep, prompt_col)
     if partitions:

@@ -40,15 +40,11 @@ def pack_context(ranked: DataFrame, text_col: str = "text", rank_col: str = "ran
     loop's ``break``. Output (query_id, context, n_docs)."""
     w = Window.partitionBy("query_id").orderBy(rank_col).rowsBetween(Window.unboundedPreceding, -1)
     pre = F.coalesce(F.sum(F.length(text_col) + len(sep)).over(w), F.lit(0))
-    kept = ranked.withColumn("__pre", pre).filter(F.col("__pre") + F.length(text_col) < limit)
-    ctx = kept.groupBy("query_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(rank_col).alias("r"),
-                                                                       F.col(text_col).alias("t")))),
-                                 lambda x: F.concat(x["t"], F.lit(sep))), "").alias("context"),
-        F.count(F.lit(1)).alias("n_docs"))
-    return ranked.select("query_id").distinct().join(ctx, "query_id", "left").select(
-        "query_id", F.coalesce("context", F.lit("")).alias("context"),
-        F.coalesce("n_docs", F.lit(0).cast("bigint")).alias("n_docs"))
+    fits = F.col("__pre") + F.length(text_col) < limit
+    piece = F.when(fits, F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t")))  # null: not collected
+    return ranked.withColumn("__pre", pre).groupBy("query_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: F.concat(x["t"], F.lit(sep))), "").alias("context"),
+        F.count_if(fits).alias("n_docs"))
 
 
 def with_prompt(df: DataFrame, context_col: str = "context", question_col: str = "question",

@@ -7,11 +7,12 @@ bounded by one document's size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH_STOP_WORDS
-from ..functions.text import clean_tokens, is_not_blank, prefixed_content, strip_ws, title_of, word_count
+from ..functions.text import clean_tokens, is_not_blank, prefixed_content, remove_stop_words, title_of, word_count
+from ..session import materialize, spread
 
 # Noun suffix rules (suffix, replacement) in rule order.
 NOUN_SUFFIX_RULES = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
@@ -20,24 +21,31 @@ NOUN_SUFFIX_RULES = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes"
 JOINERS = ("concat", "line_after", "between_nonempty")
 
 
-def join_pages(pages: DataFrame, joiner: str = "concat", doc_col: str = "doc_id",
-               page_col: str = "page_no", text_col: str = "text") -> DataFrame:
-    """Page texts -> one document text in page order.
+def page_lists(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text") -> DataFrame:
+    """A13, first half: (doc, __texts), each document's page texts in page order."""
+    agg = pages.groupBy(doc_col).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(page_col).alias("p"), F.col(text_col).alias("t")))).alias("__pg"))
+    return agg.select(doc_col, F.transform("__pg", lambda x: F.coalesce(x["t"], F.lit(""))).alias("__texts"))
+
+
+def joined(joiner: str) -> F.Column:
+    """A13, second half: the page texts of ``page_lists`` as one text.
 
     ``concat``: pages glued; ``line_after``: a newline after every page (OCR);
     ``between_nonempty``: newline between pages that have text."""
-    agg = pages.groupBy(doc_col).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(page_col).alias("p"), F.col(text_col).alias("t")))).alias("__pg"))
-    texts = F.transform("__pg", lambda x: F.coalesce(x["t"], F.lit("")))
     if joiner == "concat":
-        out = F.array_join(texts, "")
-    elif joiner == "line_after":
-        out = F.array_join(F.transform(texts, lambda t: F.concat(t, F.lit("\n"))), "")
-    elif joiner == "between_nonempty":
-        out = F.array_join(F.filter(texts, lambda t: t != ""), "\n")
-    else:
-        raise ValueError(f"joiner must be one of {JOINERS}")
-    return agg.select(doc_col, out.alias(text_col))
+        return F.array_join("__texts", "")
+    if joiner == "line_after":
+        return F.array_join(F.transform("__texts", lambda t: F.concat(t, F.lit("\n"))), "")
+    if joiner == "between_nonempty":
+        return F.array_join(F.filter("__texts", lambda t: t != ""), "\n")
+    raise ValueError(f"joiner must be one of {JOINERS}")
+
+
+def join_pages(pages: DataFrame, joiner: str = "concat", doc_col: str = "doc_id",
+               page_col: str = "page_no", text_col: str = "text") -> DataFrame:
+    """Page texts -> one document text in page order."""
+    return page_lists(pages, doc_col, page_col, text_col).select(doc_col, joined(joiner).alias(text_col))
 
 
 def mean_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,45 +63,44 @@ def dedupe_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def lemma_map(tokens: DataFrame, tok_col: str = "tok") -> DataFrame:
-    """Token -> lemma, for tokens whose lemma differs.
+    """Token -> lemma, for tokens that a noun rule rewrites to a corpus token (the lexicon).
 
-    Candidates are the token and its noun-suffix rewrites; a rewrite counts
-    only if it is itself a corpus token (the lexicon); the shortest candidate
-    wins (first in rule order on equal length)."""
+    Of several such rewrites the shortest wins, then the first in rule order ("women" -> "woman": as long, still its lemma)."""
     lex = tokens.select(F.col(tok_col).alias("tok")).distinct()
-    cands = [F.struct(F.lit(0).alias("o"), F.col("tok").alias("c"))]
-    for i, (suf, rep) in enumerate(NOUN_SUFFIX_RULES, start=1):
-        cands.append(F.when(F.col("tok").endswith(suf), F.struct(
-            F.lit(i).alias("o"),
-            F.concat(F.expr(f"substring(tok, 1, length(tok) - {len(suf)})"), F.lit(rep)).alias("c"))))
+    cands = [F.when(F.col("tok").endswith(suf), F.struct(
+        F.lit(i).alias("o"), F.concat(F.expr(f"substring(tok, 1, length(tok) - {len(suf)})"), F.lit(rep)).alias("c")))
+        for i, (suf, rep) in enumerate(NOUN_SUFFIX_RULES, start=1)]
     ex = (lex.select("tok", F.explode(F.filter(F.array(*cands), lambda x: x.isNotNull())).alias("x"))
-             .select("tok", F.col("x.o").alias("o"), F.col("x.c").alias("c"))
-             .filter(F.col("o") > 0))
+             .select("tok", F.col("x.o").alias("o"), F.col("x.c").alias("c")))
     valid = ex.join(lex.select(F.col("tok").alias("c")), "c", "left_semi")
-    best = (valid.groupBy("tok")
-                 .agg(F.min(F.struct(F.length("c").alias("l"), F.col("o"), F.col("c"))).alias("b"))
-                 .select("tok", F.col("b.c").alias("lemma"), F.col("b.l").alias("l")))
-    return best.filter(F.col("l") < F.length("tok")).select("tok", "lemma")
+    return (valid.groupBy("tok").agg(F.min(F.struct(F.length("c").alias("l"), F.col("o"), F.col("c"))).alias("b"))
+                 .select("tok", F.col("b.c").alias("lemma")))
+
+
+def content_tokens(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    """(id, __toks): the tokens of T1 without stop words, one row per document."""
+    t = spread(docs.select(id_col, text_col)).select(id_col, clean_tokens(text_col).alias("__all"))
+    if not stop_words:
+        return t.withColumnRenamed("__all", "__toks")
+    return remove_stop_words(t, "__all", "__toks", stop_words).drop("__all")
 
 
 def clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                stop_words=ENGLISH_STOP_WORDS, lemmatize: bool = True) -> DataFrame:
     """Tokens (T1 rule) -> drop stop words (J8) -> lemmas (T3) -> joined by spaces.
 
-    Output (id, cleaned); a document without tokens gets ''."""
-    occ = docs.select(id_col, F.posexplode(clean_tokens(text_col)).alias("pos", "tok"))
-    if stop_words:
-        stop = docs.sparkSession.createDataFrame([(w,) for w in stop_words], "tok string")
-        # anti-join against a fixed-size list (bounded: broadcast is safe)
-        occ = occ.join(F.broadcast(stop), "tok", "left_anti")
-    if lemmatize:
-        lm = lemma_map(occ)
-        occ = occ.join(lm, "tok", "left").withColumn("tok", F.coalesce("lemma", "tok")).drop("lemma")
-    per_doc = occ.groupBy(id_col).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ")
-         .alias("cleaned"))
-    return (docs.select(id_col).join(per_doc, id_col, "left")
-                .select(id_col, F.coalesce("cleaned", F.lit("")).alias("cleaned")))
+    Output (id, cleaned); a document without tokens gets ''. Occurrences stay in their document's row: only
+    distinct tokens of each document meet the lemmas, and the few that have one come back as a map.
+    Tokens with inner punctuation ("cat's") are dropped whole."""
+    toks = content_tokens(docs, id_col, text_col, stop_words)
+    if not lemmatize:
+        return toks.select(id_col, F.array_join("__toks", " ").alias("cleaned"))
+    toks = materialize(toks, "clean-tokens")
+    each = toks.select(id_col, F.explode(F.array_distinct("__toks")).alias("tok"))
+    found = each.join(lemma_map(each), "tok").groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("tok", "lemma"))).alias("__m"))
+    j = toks.join(found, id_col, "left")
+    return j.select(id_col, F.array_join(F.transform("__toks", lambda t: F.coalesce(F.col("__m")[t], t)), " ").alias("cleaned"))
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, id_col: str = "doc_id",
@@ -129,7 +136,3 @@ def union_corpus(text_docs: DataFrame, table_docs: DataFrame) -> DataFrame:
 def plain_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Text as it is, no prefix and no blank filter."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"))
-
-
-def strip_text(text_col: str = "text"):
-    return strip_ws(text_col)

@@ -3,7 +3,7 @@
 No cross join and no all-pairs rows. Both sides are cut into blocks of bounded
 size; a block of queries meets a block of documents through an equi-join on a
 replicated block key (``cogroup``), one task multiplies the two blocks with
-numpy and emits only per-query top-k candidates; a ``row_number`` window then
+numpy and emits exactly the first k of each query; a ``row_number`` window then
 keeps the global top-k (planned as WindowGroupLimit, partial before the
 shuffle). Block counts come from per-cell row counts, so a cell that holds a
 third of all vectors is split into as many blocks as its size needs.
@@ -13,29 +13,41 @@ Scores are DOUBLE; ranking uses the score rounded to 6 decimals, ties by id.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import l2_normalize
-from ..session import ship_package
-from .topk import ranked_score, top_k
-
-DOC_BLOCK = 20_000      # vectors per document block (x dim x 8 bytes in memory)
-QUERY_BLOCK = 2_048     # queries per query block
-MAX_CELLS = 1 << 16     # cell tables above this are not broadcast
-_SLACK = 1e-6
-
-
-def _block_scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "ip":
-        return q @ d.T
-    # squared L2 via the expansion; candidates are re-scored exactly below
-    return (q * q).sum(1)[:, None] + (d * d).sum(1)[None, :] - 2.0 * (q @ d.T)
+from ..functions.vectors import inverse_distance, l2_normalize
+from ..session import materialize, ship_package
+from .topk import SCORE_DIGITS, ranked_score, top_k
+
+DOC_BLOCK = 4_096       # vectors per document block
+QUERY_BLOCK = 512       # queries per query block: a block pair's scores are 16 MB
+MAX_CELLS = 1 << 16     # centroids sent to the tasks; more is an error
+
+
+def _best(q: np.ndarray, d: np.ndarray, dids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, document row, score) of exactly the first min(k, n) documents of each query by (rounded score, id)."""
+    s = q @ d.T
+    if metric == "l2":
+        s = (q * q).sum(1)[:, None] + (d * d).sum(1)[None, :] - 2.0 * s
+    key = s if metric == "ip" else -s      # larger key = better
+    n, rows, cols, scores = d.shape[0], [], [], []
+    for i in range(q.shape[0]):
+        idx = np.arange(n)
+        if n > k:
+            kth = np.partition(key[i], n - k)[n - k]
+            # rounding decides among scores near the k-th: rank those by their exact rounded score and id
+            idx = np.nonzero(key[i] >= kth - 2 * 10.0 ** -SCORE_DIGITS * max(1.0, abs(kth)))[0]
+        exact = s[i, idx] if metric == "ip" else ((d[idx] - q[i]) ** 2).sum(1)
+        rounded = np.round(exact, SCORE_DIGITS)
+        order = np.lexsort((dids[idx], -rounded if metric == "ip" else rounded))[:k]
+        rows.append(np.full(len(order), i))
+        cols.append(idx[order])
+        scores.append(exact[order])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
 def _make_block_fn(k: int, metric: str, qid: str, did: str, qvec: str, dvec: str, schema):
@@ -44,32 +56,10 @@ def _make_block_fn(k: int, metric: str, qid: str, did: str, qvec: str, dvec: str
             return pd.DataFrame({c: [] for c in schema.fieldNames()})
         q = np.stack(qpdf[qvec].to_numpy()).astype(np.float64)
         d = np.stack(dpdf[dvec].to_numpy()).astype(np.float64)
-        s = _block_scores(q, d, metric)
-        key = s if metric == "ip" else -s      # larger key = better
-        nd = d.shape[0]
-        out_q, out_d, out_s = [], [], []
-        qids = qpdf[qid].to_numpy()
         dids = dpdf[did].to_numpy()
-        for i in range(q.shape[0]):
-            row = key[i]
-            if nd > k:
-                kth = np.partition(row, nd - k)[nd - k]
-                # keep everything within the rounding slack of the k-th score so
-                # that ties and 6-decimal rounding are decided by the global rank
-                idx = np.nonzero(row >= kth - _SLACK * max(1.0, abs(kth)))[0]
-            else:
-                idx = np.arange(nd)
-            if metric == "ip":
-                sc = s[i, idx]
-            else:
-                diff = d[idx] - q[i]
-                sc = (diff * diff).sum(1)
-            out_q.append(np.full(idx.shape[0], qids[i], dtype=qids.dtype))
-            out_d.append(dids[idx])
-            out_s.append(sc)
-        return pd.DataFrame({schema.fieldNames()[0]: np.concatenate(out_q),
-                             schema.fieldNames()[1]: np.concatenate(out_d),
-                             schema.fieldNames()[2]: np.concatenate(out_s)})
+        rows, cols, scores = _best(q, d, dids, k, metric)
+        return pd.DataFrame({schema.fieldNames()[0]: qpdf[qid].to_numpy()[rows], schema.fieldNames()[1]: dids[cols],
+                             schema.fieldNames()[2]: scores})
     return fn
 
 
@@ -77,43 +67,35 @@ def knn_candidates(queries: DataFrame, docs: DataFrame, k: int, metric: str = "i
                    qid: str = "query_id", did: str = "doc_id", qvec: str = "qvec", dvec: str = "dvec",
                    cell: str | None = None, doc_block: int = DOC_BLOCK,
                    query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Per-block top-k candidates (a superset of each query's global top-k).
+    """Top-k of each (query, document block): at most k rows for each, also when all scores are equal.
 
     With ``cell`` set, a query row only meets documents of the same cell (IVF
-    probing: queries arrive exploded over their probed cells)."""
+    probing: queries arrive exploded over their probed cells). Block numbers come
+    from one row of counts for each cell."""
     ship_package(queries.sparkSession)
     qtype = queries.schema[qid].dataType
     dtype = docs.schema[did].dataType
     out_schema = T.StructType([T.StructField("query_id", qtype), T.StructField("doc_id", dtype),
                                T.StructField("score", T.DoubleType())])
     if cell is None:
-        # one cell: block counts are two scalars, so no join is needed at all
-        ndb = max(1, math.ceil(docs.count() / doc_block))
-        nqb = max(1, math.ceil(queries.count() / query_block))
-        cell = "__cell"
-        d = (docs.select(F.lit(0).alias(cell), did, dvec)
-                 .withColumn("__db", F.pmod(F.xxhash64(did), F.lit(ndb)).cast("int"))
-                 .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
-        q = (queries.select(F.lit(0).alias(cell), qid, qvec)
-                    .withColumn("__qb", F.pmod(F.xxhash64(qid), F.lit(nqb)).cast("int"))
-                    .withColumn("__db", F.explode(F.sequence(F.lit(0), F.lit(ndb - 1)))))
+        # one cell: its block numbers are two counts, so no join is needed
+        ndb = F.lit(max(1, -(-docs.count() // doc_block)))
+        nqb = F.lit(max(1, -(-queries.count() // query_block)))
+        d, q = docs.withColumn("__cell", F.lit(0)), queries.withColumn("__cell", F.lit(0))
     else:
-        dstats = (docs.groupBy(cell).agg(F.count(F.lit(1)).alias("__nd"))
-                      .select(cell, F.greatest(F.lit(1), F.ceil(F.col("__nd") / doc_block)).cast("int").alias("__ndb")))
-        qstats = (queries.groupBy(cell).agg(F.count(F.lit(1)).alias("__nq"))
-                         .select(cell, F.greatest(F.lit(1), F.ceil(F.col("__nq") / query_block)).cast("int").alias("__nqb")))
-        # one row per cell: bounded by the number of cells, so safe to broadcast
-        stats = F.broadcast(dstats.join(qstats, cell))
-        d = (docs.select(cell, did, dvec).join(stats, cell)
-                 .withColumn("__db", F.pmod(F.xxhash64(did), F.col("__ndb")).cast("int"))
-                 .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.col("__nqb") - 1))))
-        q = (queries.select(cell, qid, qvec).join(stats, cell)
-                    .withColumn("__qb", F.pmod(F.xxhash64(qid), F.col("__nqb")).cast("int"))
-                    .withColumn("__db", F.explode(F.sequence(F.lit(0), F.col("__ndb") - 1))))
-    d = d.select(cell, "__qb", "__db", did, dvec)
-    q = q.select(cell, "__qb", "__db", qid, qvec)
+        dstats = docs.groupBy(cell).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / doc_block)).cast("int").alias("__ndb"))
+        qstats = queries.groupBy(cell).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / query_block)).cast("int").alias("__nqb"))
+        stats = dstats.join(qstats, cell).withColumnRenamed(cell, "__cell")
+        d, q = (x.withColumn("__cell", F.col(cell)).join(stats, "__cell") for x in (docs, queries))
+        ndb, nqb = F.col("__ndb"), F.col("__nqb")
+    d = (d.withColumn("__db", F.pmod(F.xxhash64(did), ndb).cast("int"))
+          .withColumn("__qb", F.explode(F.sequence(F.lit(0), nqb.cast("int") - 1))))
+    q = (q.withColumn("__qb", F.pmod(F.xxhash64(qid), nqb).cast("int"))
+          .withColumn("__db", F.explode(F.sequence(F.lit(0), ndb.cast("int") - 1))))
+    d = d.select("__cell", "__qb", "__db", did, dvec)
+    q = q.select("__cell", "__qb", "__db", qid, qvec)
     fn = _make_block_fn(k, metric, qid, did, qvec, dvec, out_schema)
-    return (q.groupBy(cell, "__qb", "__db").cogroup(d.groupBy(cell, "__qb", "__db"))
+    return (q.groupBy("__cell", "__qb", "__db").cogroup(d.groupBy("__cell", "__qb", "__db"))
              .applyInPandas(fn, schema=out_schema))
 
 
@@ -139,7 +121,8 @@ def train_centroids(vectors: DataFrame, nlist: int, vec: str = "dvec", seed: int
     """V2: k-means cells with Spark ML. Output (cell_id INT, centroid ARRAY<DOUBLE>)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    assert nlist <= MAX_CELLS
+    if nlist > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells")
     feats = vectors.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
     spark = vectors.sparkSession
@@ -150,36 +133,65 @@ def train_centroids(vectors: DataFrame, nlist: int, vec: str = "dvec", seed: int
 def fixed_centroids(vectors: DataFrame, nlist: int, id_col: str = "doc_id", vec: str = "dvec") -> DataFrame:
     """V2 test form: the ``nlist`` lowest-id vectors serve as centroids."""
     return (vectors.orderBy(id_col).limit(nlist)
-                   .select((F.row_number().over(Window.orderBy(id_col)) - 1)
+                   .select((F.row_number().over(Window.orderBy(id_col)) - 1)  # nlist rows: at most MAX_CELLS
                            .cast("int").alias("cell_id"),
                            F.col(vec).cast("array<double>").alias("centroid")))
 
 
+def _nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, vec: str) -> DataFrame:
+    """``vectors`` with ``cell_id``, one row for each of the ``n`` best cells by inner product (ties: lowest cell_id).
+
+    Map-only: the centroids, whose number is checked, go to the tasks, and vectors stay where they are read."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    rows = centroids.select("cell_id", F.col("centroid").cast("array<double>").alias("c")).limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells")
+    rows.sort(key=lambda r: r["cell_id"])
+    sent = spark.sparkContext.broadcast((np.array([r["cell_id"] for r in rows], dtype=np.int32), np.array([r["c"] for r in rows], dtype=np.float64)))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def cells(vs: pd.Series) -> pd.Series:
+        ids, c = sent.value
+        if not len(ids):
+            return pd.Series([[] for _ in vs])
+        out = []
+        for at in range(0, len(vs), 1024):
+            x = np.stack(vs.iloc[at:at + 1024].to_numpy()).astype(np.float64)
+            s = np.round(x @ c.T, SCORE_DIGITS)
+            out += [ids[np.lexsort((ids, -row))[:n]] for row in s]
+        return pd.Series(out, dtype=object)
+
+    return vectors.withColumn("cell_id", F.explode(cells(F.col(vec))))
+
+
 def assign_cells(vectors: DataFrame, centroids: DataFrame, id_col: str = "doc_id",
                  vec: str = "dvec") -> DataFrame:
     """V3: nearest cell by inner product (ties: lowest cell_id). Adds ``cell_id``."""
-    top = knn(vectors.select(F.col(id_col).alias("__vid"), F.col(vec).alias("qvec")),
-              centroids.select(F.col("cell_id"), F.col("centroid").alias("dvec")),
-              k=1, metric="ip", qid="__vid", did="cell_id")
-    cells = top.select(F.col("query_id").alias(id_col), F.col("doc_id").alias("cell_id"))
-    return vectors.join(cells, id_col)
+    return _nearest_cells(vectors, centroids, 1, vec)
 
 
 def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int = 5,
                nprobe: int = 1, metric: str = "ip", qid: str = "query_id", did: str = "doc_id",
                qvec: str = "qvec", dvec: str = "dvec") -> DataFrame:
-    """Probe the ``nprobe`` best cells of each query, exact top-k inside them."""
-    probe = knn(queries.select(qid, qvec),
-                centroids.select("cell_id", F.col("centroid").alias("dvec")),
-                k=nprobe, metric="ip", qid=qid, did="cell_id", qvec=qvec, dvec="dvec")
-    q = (probe.select(F.col("query_id").alias(qid), F.col("doc_id").alias("cell_id"))
-              .join(queries.select(qid, qvec), qid))
-    cand = knn_candidates(q, assigned.select(did, dvec, "cell_id"), k, metric, qid=qid, did=did,
-                          qvec=qvec, dvec=dvec, cell="cell_id")
+    """Probe the ``nprobe`` best cells of each query, exact top-k inside them.
+
+    Only the probed cells (at most MAX_CELLS numbers) are read: of vectors saved by cell, no other folder is opened."""
+    q = materialize(_nearest_cells(queries.select(qid, qvec), centroids, nprobe, qvec), "probes")
+    probed = [r[0] for r in q.select("cell_id").distinct().collect()]
+    near = assigned.select(did, dvec, "cell_id").filter(F.col("cell_id").isin(probed) if probed else F.lit(False))
+    cand = knn_candidates(q, near, k, metric, qid=qid, did=did, qvec=qvec, dvec=dvec, cell="cell_id")
     order = F.desc(ranked_score("score")) if metric == "ip" else F.asc(ranked_score("score"))
     return top_k(cand, "query_id", [order, F.asc("doc_id")], k)
 
 
+def to_similarity(hits: DataFrame, how: str = "neg") -> DataFrame:
+    """Squared L2 distances as "higher is better" scores: ``neg`` (-d) or ``inverse`` (1 / (1 + d))."""
+    if how not in ("neg", "inverse"):
+        raise ValueError("how must be 'neg' or 'inverse'")
+    return hits.withColumn("score", -F.col("score") if how == "neg" else inverse_distance("score"))
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact top-k hits that the approximate search also returns."""
     hit = exact.join(approx.select("query_id", "doc_id", F.lit(1).alias("__h")), ["query_id", "doc_id"], "left")

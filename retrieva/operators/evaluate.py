@@ -3,9 +3,8 @@
 Input: a pairs DataFrame with key columns, ``answer`` (hypothesis) and
 ``reference``. Every metric is an aggregate over that table:
 
-* E1 corpus BLEU-4 (smoothing method 1): n-gram counts per pair and side come
-  from one grouped aggregation each; their equi-join on (pair, n, gram) gives
-  clipped counts; a single global aggregate then holds every sum.
+* E1 corpus BLEU-4 (smoothing method 1): clipped n-gram counts inside each
+  pair's row (Arrow batches); a single global aggregate then holds every sum.
 * E2 ROUGE-1/2 as sets: row-local ``array_intersect`` sizes, then ``avg``.
 * E3/E4 ROUGE-L: longest common subsequences need a dynamic program; an
   Arrow-batched pandas UDF runs it (numpy row updates) per pair.
@@ -15,14 +14,17 @@ Input: a pairs DataFrame with key columns, ``answer`` (hypothesis) and
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import eval_tokens, rouge_sentences, rouge_words
-from ..session import ship_package
+from ..functions.text import eval_tokens, is_not_blank, rouge_sentences, rouge_words
+from ..session import materialize, ship_package
+from .topk import rank_all
 
 # --- P7-P9, A12: pair validity ------------------------------------------------
 
@@ -35,13 +37,20 @@ def check_columns(df: DataFrame, required=("answer", "reference")) -> DataFrame:
     return df
 
 
+def check_input(df: DataFrame, required=("answer", "reference")) -> DataFrame:
+    """The column check, and a clear error when no row has both an answer and a reference."""
+    if drop_missing(check_columns(df, required)).isEmpty():
+        raise ValueError("nothing to evaluate: no row has both an answer and a reference")
+    return df
+
+
 def drop_missing(df: DataFrame) -> DataFrame:
     """Rows with a null answer or reference cannot be scored."""
     return df.na.drop(subset=["answer", "reference"])
 
 
 def _nonblank(c: str):
-    return F.col(c).isNotNull() & F.col(c).rlike(r"\S")
+    return F.col(c).isNotNull() & is_not_blank(c)
 
 
 def valid_pairs(df: DataFrame, exclude_errors: bool = False) -> DataFrame:
@@ -73,38 +82,37 @@ def merge_answers(answers: DataFrame, references: DataFrame, on: str = "query")
 
 # --- E1: corpus BLEU -------------------------------------------------------------
 
-def _grams(df: DataFrame, keys: list[str], tok: str, max_n: int) -> DataFrame:
-    """(keys, n, gram, c): count of each n-gram, n = 1..max_n, per pair."""
-    from pyspark.ml.feature import NGram
-    parts = [df.select(*keys, F.lit(1).alias("n"), F.explode(tok).alias("gram"))]
-    for n in range(2, max_n + 1):
-        t = NGram(n=n, inputCol=tok, outputCol="__g").transform(df.select(*keys, tok))
-        parts.append(t.select(*keys, F.lit(n).alias("n"), F.explode("__g").alias("gram")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+def _clipped(max_n: int):
+    """Per pair: clipped n-gram matches for n = 1..max_n, counted in the pair's own row."""
+    schema = T.ArrayType(T.LongType())
+
+    @F.pandas_udf(schema)
+    def clipped(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        out = []
+        for h, r in zip(hyp, ref, strict=True):
+            h, r, row = list(h), list(r), []
+            for n in range(1, max_n + 1):
+                have = Counter(zip(*(h[i:] for i in range(n))))
+                want = Counter(zip(*(r[i:] for i in range(n))))
+                row.append(sum((have & want).values()))
+            out.append(row)
+        return pd.Series(out)
+
+    return clipped
 
 
 def corpus_bleu(df: DataFrame, keys: list[str], max_n: int = 4, epsilon: float = 0.1) -> DataFrame:
-    """One row (bleu, pairs, hyp_len, ref_len, p1..p4)."""
-    pairs = bleu_pairs(df).select(*keys, "h", "r")
-    hg = _grams(pairs, keys, "h", max_n)
-    rg = _grams(pairs, keys, "r", max_n).withColumnRenamed("c", "rc")
-    clip = hg.join(rg, keys + ["n", "gram"]).select("n", F.least("c", "rc").alias("clip"))
-    zero = F.lit(0).cast("bigint")
-    clip_rows = clip.select(
-        *[F.when(F.col("n") == i, F.col("clip")).otherwise(zero).alias(f"num{i}") for i in range(1, max_n + 1)],
-        *[zero.alias(f"den{i}") for i in range(1, max_n + 1)],
-        zero.alias("hl"), zero.alias("rl"), zero.alias("np"))
+    """One row (bleu, pairs, hyp_len, ref_len, p1..p4).
+
+    Both texts of a pair are in one row, so n-grams are counted there (Arrow batches) and only one row of
+    sums for each task is shuffled."""
+    ship_package(df.sparkSession)
+    pairs = bleu_pairs(df).select("h", "r").withColumn("num", _clipped(max_n)("h", "r"))
     hl = F.size("h").cast("bigint")
-    pair_rows = pairs.select(
-        *[zero.alias(f"num{i}") for i in range(1, max_n + 1)],
-        *[F.greatest(F.lit(1).cast("bigint"), hl - i + 1).alias(f"den{i}") for i in range(1, max_n + 1)],
-        hl.alias("hl"), F.size("r").cast("bigint").alias("rl"), F.lit(1).cast("bigint").alias("np"))
-    sums = clip_rows.unionByName(pair_rows).agg(
-        *[F.sum(c).alias(c) for c in [f"num{i}" for i in range(1, max_n + 1)]
-          + [f"den{i}" for i in range(1, max_n + 1)] + ["hl", "rl", "np"]])
+    sums = pairs.agg(
+        *[F.sum(F.col("num")[i - 1]).alias(f"num{i}") for i in range(1, max_n + 1)],
+        *[F.sum(F.greatest(F.lit(1).cast("bigint"), hl - i + 1)).alias(f"den{i}") for i in range(1, max_n + 1)],
+        F.sum(hl).alias("hl"), F.sum(F.size("r")).alias("rl"), F.count(F.lit(1)).alias("np"))
     p = [F.when(F.col(f"num{i}") > 0, F.col(f"num{i}") / F.col(f"den{i}"))
           .otherwise(F.lit(epsilon) / F.col(f"den{i}")) for i in range(1, max_n + 1)]
     log_mean = sum((F.log(x) for x in p), F.lit(0.0)) / max_n
@@ -190,22 +198,26 @@ def _lcs_len(a: list, b: list) -> int:
 
 def _lcs_words(x: list, y: list) -> list:
     """Words of one LCS of x and y, traced back as the scoring package does
-    (on a mismatch go up when the upper cell is strictly larger, else left)."""
+    (on a mismatch go up when the upper cell is strictly larger, else left).
+
+    Two rows hold the lengths; of the table only that comparison is kept, one
+    bit for each cell (20,000 x 20,000 words: 50 MB)."""
     n, m = len(x), len(y)
     codes = {w: i for i, w in enumerate(set(x) | set(y))}
     yc = np.fromiter((codes[w] for w in y), dtype=np.int64, count=m)
-    t = np.zeros((n + 1, m + 1), dtype=np.int32)
-    for i in range(1, n + 1):
-        # row update: t[i, j] = max(t[i, j-1], t[i-1, j], t[i-1, j-1] + match)
-        cand = np.maximum(t[i - 1, 1:], t[i - 1, :-1] + (yc == codes[x[i - 1]]))
-        t[i, 1:] = np.maximum.accumulate(cand)
+    prev, up = np.zeros(m + 1, dtype=np.int32), []
+    for w in x:
+        # row update: row[j] = max(row[j-1], prev[j], prev[j-1] + match)
+        row = np.concatenate(([0], np.maximum.accumulate(np.maximum(prev[1:], prev[:-1] + (yc == codes[w]))))).astype(np.int32)
+        up.append(np.packbits(prev[1:] > row[:-1]))
+        prev = row
     out = []
     i, j = n, m
     while i > 0 and j > 0:
         if x[i - 1] == y[j - 1]:
             out.append(x[i - 1])
             i, j = i - 1, j - 1
-        elif t[i - 1, j] > t[i, j - 1]:
+        elif up[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1:
             i -= 1
         else:
             j -= 1
@@ -290,15 +302,20 @@ def greedy_match_scores(df: DataFrame, keys: list[str], token_vectors: DataFrame
     """E5 per pair: P = mean over answer tokens of the best cosine with a
     reference token, R the other way, F = 2PR/(P+R).
 
-    token_vectors: (vec_id, embedding) unit vectors; a token's vector is the
-    one at ``token_bucket``."""
+    token_vectors: (vec_id, embedding) unit vectors, ``n_vectors`` of them; the
+    vector of a token is the one at position ``token_bucket`` when they are
+    ordered by vec_id (from 0), whatever gaps the ids have. Fewer vectors than
+    ``n_vectors``, or one without values, is an error, not a lost token."""
     ship_package(df.sparkSession)
     pairs = bleu_pairs(df).select(*keys, "answer", "reference")
     toks = (pairs.select(*keys, F.lit("h").alias("side"), F.posexplode(eval_tokens("answer")).alias("pos", "tok"))
             .unionByName(pairs.select(*keys, F.lit("r").alias("side"),
                                       F.posexplode(eval_tokens("reference")).alias("pos", "tok"))))
-    tv = token_vectors.select(F.col("vec_id").alias("__b"), F.col("embedding").alias("v"))
-    tv_rows = toks.withColumn("__b", token_bucket("tok", n_vectors)).join(tv, "__b")
+    ranked = rank_all(token_vectors.select("vec_id", F.col("embedding").alias("v"), F.lit(0).alias("__one")), "__one", [F.asc("vec_id")])
+    tv = ranked.select((F.col("rank") - 1).alias("__b"), "v")
+    tv_rows = toks.withColumn("__b", token_bucket("tok", n_vectors)).join(tv, "__b", "left")
+    missing = F.raise_error(F.concat(F.lit("no token vector at position "), F.col("__b").cast("string")))
+    tv_rows = tv_rows.withColumn("v", F.when(F.col("v").isNull(), missing.cast(tv.schema["v"].dataType)).otherwise(F.col("v")))
     renamed = tv_rows.select(*[F.col(k).alias(f"k_{k}") for k in keys], "side", "pos", "v")
     schema = T.StructType([T.StructField(f"k_{k}", df.schema[k].dataType) for k in keys]
                           + [T.StructField(x, T.DoubleType()) for x in ("P", "R", "F")])
@@ -314,21 +331,57 @@ def greedy_match(df: DataFrame, keys: list[str], token_vectors: DataFrame, n_vec
 
 # --- E6: combined report ----------------------------------------------------------------
 
+PRF = "struct<r:double,p:double,f:double>"
+REPORT = (f"bleu double, rouge struct<`rouge-1`:{PRF},`rouge-2`:{PRF},`rouge-l`:{PRF}>, "
+          "bertscore struct<precision:double,recall:double,f1:double>, pairs bigint")
+
+
 def report(df: DataFrame, keys: list[str], token_vectors: DataFrame | None = None,
-           n_vectors: int | None = None) -> dict:
-    """The nested result record (bleu, rouge-1/2/l r/p/f, bertscore-style P/R/F1).
-
-    Each metric is an independent one-row aggregate; their single rows are
-    assembled into the nested record."""
-    b = corpus_bleu(df, keys).first()
-    rn = rouge_n(df, keys).first()
-    rl = rouge_l_summary(df, keys).first()
-    out = {"bleu": None if b is None else b["bleu"],
-           "rouge": {"rouge-1": {"r": rn["rouge1_r"], "p": rn["rouge1_p"], "f": rn["rouge1_f"]},
-                     "rouge-2": {"r": rn["rouge2_r"], "p": rn["rouge2_p"], "f": rn["rouge2_f"]},
-                     "rouge-l": {"r": rl["rougeL_r"], "p": rl["rougeL_p"], "f": rl["rougeL_f"]}},
-           "bertscore": None}
-    if token_vectors is not None:
-        g = greedy_match(df, keys, token_vectors, n_vectors).first()
-        out["bertscore"] = {"precision": g["precision"], "recall": g["recall"], "f1": g["f1"]}
-    return out
+           n_vectors: int | None = None) -> DataFrame:
+    """The nested result as one row (bleu, rouge, bertscore, pairs).
+
+    Every metric is a one-row aggregate of its own, written before it is used;
+    if one fails, its part of the row is null and the others stand. The pairs
+    are written once and read by every metric."""
+    spark = df.sparkSession
+    pairs = materialize(check_input(df).select(*keys, "answer", "reference"), "pairs")
+
+    def prf(name: str) -> F.Column:
+        return F.struct(*[F.col(f"{name}_{x}").alias(x) for x in "rpf"])
+
+    metrics = {
+        "bleu": lambda: corpus_bleu(pairs, keys).select("bleu"),
+        "rouge": lambda: _rouge_rows(pairs, keys, prf),
+        "bertscore": lambda: greedy_match(pairs, keys, token_vectors, n_vectors).select(F.struct("precision", "recall", "f1").alias("bertscore")),
+        "pairs": lambda: pair_count(pairs),
+    }
+
+    if token_vectors is None:
+        del metrics["bertscore"]
+    schema = T.DataType.fromDDL(REPORT)
+    rows = None
+    for name, make in metrics.items():
+        try:
+            one = materialize(make().select(F.col(name).cast(schema[name].dataType).alias(name)), f"metric-{name}")
+        except Exception as e:  # noqa: BLE001 - a metric's failure must not lose the others
+            print(f"metric {name} failed: {str(e).splitlines()[0]}")
+            continue
+        one = one.select(*[F.col(f.name) if f.name == name else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    return rows.agg(*[F.first(f.name, ignorenulls=True).alias(f.name) for f in schema])
+
+
+def _rouge_rows(pairs: DataFrame, keys: list[str], prf) -> DataFrame:
+    """rouge-1, rouge-2 and rouge-l as one struct: two one-row aggregates, put together by a grouped maximum."""
+    n = rouge_n(pairs, keys).select(prf("rouge1").alias("a"), prf("rouge2").alias("b"), F.lit(None).cast(PRF).alias("c"))
+    lcs = rouge_l_summary(pairs, keys).select(F.lit(None).cast(PRF).alias("a"), F.lit(None).cast(PRF).alias("b"), prf("rougeL").alias("c"))
+    both = n.unionByName(lcs).agg(*[F.first(x, ignorenulls=True).alias(x) for x in "abc"])
+    return both.select(F.struct(F.col("a").alias("rouge-1"), F.col("b").alias("rouge-2"), F.col("c").alias("rouge-l")).alias("rouge"))
+
+
+def evaluate_answers(answers: DataFrame, references: DataFrame, on: str = "query", token_vectors: DataFrame | None = None,
+                     n_vectors: int | None = None) -> DataFrame:
+    """The whole batch evaluation as one job: merge answers with references (J5), checks (P7-P9), metrics (E1-E5), report."""
+    return report(merge_answers(answers, references, on), [on], token_vectors, n_vectors)

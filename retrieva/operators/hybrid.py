@@ -22,10 +22,12 @@ def fuse_scores(dense: DataFrame, sparse: DataFrame, alpha: float = 0.5) -> Data
     """A7 + J3: (query_id, doc_id, combined_score, dense_score, sparse_score).
 
     The per-query sparse maximum is a grouped aggregate (one row per query,
-    partial aggregation before the shuffle), joined back on query_id."""
-    mx = sparse.groupBy("query_id").agg(F.max("score").alias("__max"))
-    s = (sparse.join(mx, "query_id")
-               .select("query_id", "doc_id", F.col("score").alias("sparse_score"),
+    partial aggregation before the shuffle), joined back on query_id; hits that
+    went through ``cut_sparse`` bring it along as ``__max``."""
+    if "__max" not in sparse.columns:
+        mx = sparse.groupBy("query_id").agg(F.max("score").alias("__max"))
+        sparse = sparse.join(mx, "query_id")
+    s = (sparse.select("query_id", "doc_id", F.col("score").alias("sparse_score"),
                        (F.col("score") / F.coalesce(F.nullif(F.col("__max"), F.lit(0.0)), F.lit(1.0))).alias("__sn")))
     d = dense.select("query_id", "doc_id", F.col("score").alias("dense_score"))
     j = d.join(s, ["query_id", "doc_id"], "full_outer")
@@ -34,10 +36,26 @@ def fuse_scores(dense: DataFrame, sparse: DataFrame, alpha: float = 0.5) -> Data
     return j.select("query_id", "doc_id", comb.alias("combined_score"), "dense_score", "sparse_score")
 
 
+def cut_sparse(dense_topk: DataFrame, sparse_hits: DataFrame, k: int, alpha: float) -> DataFrame:
+    """The sparse hits that can matter for the fused top-k; the result stays exact.
+
+    A document outside the dense top-k is ranked by its sparse score alone, so of these only the first k under the
+    final ordering can get in; those in the dense top-k all stay, and with them each query's maximum, for the scaling.
+    The cut is a limit in each window, applied before the shuffle, so the hits of all documents aren't sorted or joined."""
+    mx = sparse_hits.groupBy("query_id").agg(F.max("score").alias("__max"))
+    d = dense_topk.select("query_id", "doc_id", F.lit(True).alias("__dense"))
+    s = sparse_hits.join(mx, "query_id").join(d, ["query_id", "doc_id"], "left")
+    final = F.lit(1.0 - alpha) * (F.col("score") / F.coalesce(F.nullif(F.col("__max"), F.lit(0.0)), F.lit(1.0)))
+    s = s.withColumn("__key", ranked_score(final)).withColumn("__dense", F.coalesce("__dense", F.lit(False)))
+    w = Window.partitionBy("query_id", "__dense").orderBy(F.desc("__key"), F.asc("doc_id"))
+    s = s.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k)
+    return s.select("query_id", "doc_id", "score", "__max")
+
+
 def hybrid_top_k(dense_topk: DataFrame, sparse_hits: DataFrame, k: int = 5, alpha: float = 0.5,
                  docs: DataFrame | None = None) -> DataFrame:
     """W3 (+ J4): fused top-k with ties by doc_id; metadata attached after the cut."""
-    fused = fuse_scores(dense_topk, sparse_hits, alpha)
+    fused = fuse_scores(dense_topk, cut_sparse(dense_topk, sparse_hits, k, alpha), alpha)
     ranked = top_k(fused, "query_id", [F.desc(ranked_score("combined_score")), F.asc("doc_id")], k)
     if docs is not None:
         ranked = ranked.join(docs, "doc_id")

@@ -6,29 +6,30 @@ Shapes (long tables, keyed by ids, never by position):
   postings (term, doc_id, score DOUBLE)     -- L2-normalised tf*idf
 
 Plan notes for scale:
-* Terms are produced inside each document row (regex tokens, stop words and
-  n-grams are JVM expressions / transformers), then one ``groupBy(doc_id, term)``
-  with map-side partial aggregation builds ``tf``.
-* The vocabulary is capped (``max_features``); only a capped vocabulary is
-  broadcast. Without a cap the join to ``tf`` is a shuffle join.
+* Tokens and stop words are JVM expressions. The index counts n-grams inside each
+  document's row, in two passes: the first sums counts by term and caps the
+  vocabulary, the second weighs the terms that are in it. Only term counts move.
+* A1 as a table of its own is one ``groupBy(doc_id, term)`` with partial aggregation.
 * Query terms meet postings in an equi-join on ``term``; Spark's AQE chooses a
   broadcast of the query side from its measured size and splits skewed terms.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stopwords import ENGLISH_STOP_WORDS
 from ..functions.text import add_ngrams, remove_stop_words, retrieval_tokens, whitespace_tokens
+from ..session import ship_package, spread
 from .topk import ranked_score, top_k
 
-MAX_BROADCAST_VOCAB = 2_000_000
-
-
 def analyze(df: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS,
             ngram_range=(1, 3)) -> DataFrame:
     """T4 -> T2 -> T5: one row per (id, term occurrence)."""
@@ -48,21 +49,17 @@ def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "c
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def build_vocab(tf: DataFrame, n_docs: int, max_features: int | None = 10000,
-                id_col: str = "doc_id") -> DataFrame:
+def build_vocab(tf: DataFrame, n_docs: int, max_features: int | None = 10000) -> DataFrame:
     """A2 + A3: document frequency, corpus count, smooth idf; cap by corpus count
     (ties: term ascending)."""
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("ctf"))
     if max_features is not None:
         stats = stats.orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
-    return stats.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
+    return with_idf(stats, n_docs)
 
 
-def _vocab_side(vocab: DataFrame, max_features: int | None) -> DataFrame:
-    # broadcast only a vocabulary whose size is bounded by its cap
-    if max_features is not None and max_features <= MAX_BROADCAST_VOCAB:
-        return F.broadcast(vocab)
-    return vocab
+def with_idf(stats: DataFrame, n_docs: int) -> DataFrame:
+    return stats.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
 @dataclass
@@ -73,6 +70,68 @@ class TfidfIndex:
     max_features: int | None
     stop_words: tuple
     ngram_range: tuple
+    term_buckets: int | None = None  # set when postings carry ``term_bucket`` (a saved index)
+
+
+def _kept_tokens(docs: DataFrame, id_col: str, text_col: str, stop_words) -> DataFrame:
+    """(id, __kept): retrieval tokens without stop words, one row per document."""
+    t = docs.select(F.col(id_col), retrieval_tokens(text_col).alias("__tok"))
+    if not stop_words:
+        return t.withColumnRenamed("__tok", "__kept")
+    return remove_stop_words(t, "__tok", "__kept", stop_words).drop("__tok")
+
+
+def _terms_of(tokens, n_min: int, n_max: int) -> Counter:
+    tokens = list(tokens)
+    out = Counter()
+    for n in range(n_min, n_max + 1):
+        out.update(tokens if n == 1 else map(" ".join, zip(*(tokens[i:] for i in range(n)))))
+    return out
+
+
+def corpus_counts(kept: DataFrame, ngram_range=(1, 3)) -> DataFrame:
+    """(term, df, ctf) of rows (id, __kept): counted inside each Arrow batch of documents, then summed.
+
+    One row for each batch and distinct term is shuffled, not one for each occurrence."""
+    n_min, n_max = ngram_range
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            df, ctf = Counter(), Counter()
+            for tokens in pdf["__kept"]:
+                if tokens is not None:
+                    terms = _terms_of(tokens, n_min, n_max)
+                    ctf.update(terms)
+                    df.update(terms.keys())
+            yield pd.DataFrame({"term": list(df), "df": list(df.values()), "ctf": [ctf[t] for t in df]})
+
+    rows = kept.select("__kept").mapInPandas(count, "term string, df long, ctf long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+
+
+def weighted_postings(kept: DataFrame, vocab: DataFrame, id_col: str, ngram_range=(1, 3)) -> DataFrame:
+    """A4: (term, doc_id, score) of L2-normalised tf-idf weights, made inside each document's row.
+
+    The vocabulary is capped by its parameter, and its rows are sent to the tasks; documents don't move."""
+    n_min, n_max = ngram_range
+    spark = kept.sparkSession
+    idf = spark.sparkContext.broadcast({r["term"]: r["idf"] for r in vocab.select("term", "idf").collect()})
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", kept.schema[id_col].dataType),
+                        T.StructField("score", T.DoubleType())])
+
+    def weigh(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = idf.value
+        for pdf in it:
+            rows = []
+            for key, tokens in zip(pdf[id_col], pdf["__kept"], strict=True):
+                if tokens is None:
+                    continue
+                w = {t: n * known[t] for t, n in _terms_of(tokens, n_min, n_max).items() if t in known}
+                norm = sum(x * x for x in w.values()) ** 0.5
+                rows += [(t, key, x / norm) for t, x in w.items()]
+            yield pd.DataFrame(rows, columns=["term", "doc_id", "score"])
+
+    return kept.select(id_col, "__kept").mapInPandas(weigh, out)
 
 
 def build_tfidf_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
@@ -80,24 +139,27 @@ def build_tfidf_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       ngram_range=(1, 3), materialize_to=None) -> TfidfIndex:
     """A5: inverted index of L2-normalised tf-idf weights (A4).
 
+    Pass 1 counts terms and caps the vocabulary; pass 2 reads the documents again and weighs, inside each
+    document's row, the terms that are in the vocabulary: no occurrence and no document is shuffled. Without a cap
+    (``max_features=None``) the vocabulary has no bound, and the weights come from shuffle joins instead.
+
     ``materialize_to`` is a callable (df, name) -> df that writes a table to
-    shared storage and returns the re-read table; ``tf`` is read by both the
-    vocabulary and the postings, so it is written once rather than recomputed.
+    shared storage and returns the re-read table.
     """
+    ship_package(docs.sparkSession)
+    keep = materialize_to or (lambda df, _: df)
     n_docs = docs.count()
-    tf = term_frequencies(docs, id_col, text_col, stop_words, ngram_range)
-    if materialize_to is not None:
-        tf = materialize_to(tf, "tf")
-    vocab = build_vocab(tf, n_docs, max_features, id_col)
-    if materialize_to is not None:
-        vocab = materialize_to(vocab, "vocab")
-    w = (tf.join(_vocab_side(vocab.select("term", "idf"), max_features), "term")
-           .withColumn("w", F.col("tf") * F.col("idf")))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    postings = (w.join(norms, id_col)
-                 .select("term", F.col(id_col).alias("doc_id"), (F.col("w") / F.col("norm")).alias("score")))
-    if materialize_to is not None:
-        postings = materialize_to(postings, "postings")
+    kept = _kept_tokens(docs, id_col, text_col, stop_words)
+    if max_features is not None:
+        stats = corpus_counts(kept, ngram_range).orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
+        vocab = keep(with_idf(stats, n_docs), "vocab")
+        postings = keep(weighted_postings(kept, vocab, id_col, ngram_range), "postings")
+    else:
+        tf = keep(term_frequencies(docs, id_col, text_col, stop_words, ngram_range), "tf")
+        vocab = keep(build_vocab(tf, n_docs, None), "vocab")
+        w = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+        norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        postings = keep(w.join(norms, id_col).select("term", F.col(id_col).alias("doc_id"), (F.col("w") / F.col("norm")).alias("score")), "postings")
     return TfidfIndex(vocab, postings, n_docs, max_features, tuple(stop_words or ()), tuple(ngram_range))
 
 
@@ -105,14 +167,27 @@ def query_terms(index: TfidfIndex, queries: DataFrame, qid_col: str = "query_id"
                 text_col: str = "text") -> DataFrame:
     """Distinct in-vocabulary terms of each query."""
     qt = analyze(queries, qid_col, text_col, index.stop_words, index.ngram_range).distinct()
-    return qt.join(_vocab_side(index.vocab.select("term"), index.max_features), "term", "left_semi")
+    return qt.join(index.vocab.select("term"), "term", "left_semi")
+
+
+def term_bucket(term, buckets: int):
+    """Folder number of a term in a saved index."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def pruned(postings: DataFrame, terms: DataFrame, buckets: int | None) -> DataFrame:
+    """Postings of a saved index, restricted to the folders that hold any of ``terms`` (at most ``buckets`` numbers are collected)."""
+    if not buckets:
+        return postings
+    wanted = [r[0] for r in terms.select(term_bucket("term", buckets).alias("b")).distinct().collect()]
+    return postings.filter(F.col("term_bucket").isin(wanted) if wanted else F.lit(False)).drop("term_bucket")
 
 
 def sparse_search(index: TfidfIndex, queries: DataFrame, qid_col: str = "query_id",
                   text_col: str = "text") -> DataFrame:
     """J1 + A6: score = sum of the document weights over the distinct query terms."""
     qt = query_terms(index, queries, qid_col, text_col)
-    return (qt.join(index.postings, "term")
+    return (qt.join(pruned(index.postings, qt, index.term_buckets), "term")
               .groupBy(F.col(qid_col).alias("query_id"), "doc_id")
               .agg(F.sum("score").alias("score")))
 
@@ -132,6 +207,7 @@ class Bm25Index:
     avgdl: float
     k1: float
     b: float
+    term_buckets: int | None = None
 
 
 def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
@@ -142,6 +218,7 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "c
     idf = ln(N - df + 0.5) - ln(df + 0.5); a negative idf is replaced by
     ``epsilon * mean(idf)`` (mean over all terms).
     """
+    docs = spread(docs.select(id_col, text_col))
     toks = docs.select(F.col(id_col).alias("doc_id"), whitespace_tokens(text_col).alias("tok"))
     # the document length travels with each posting (computed in the document's
     # own row), so scoring needs no join back to a per-document table
@@ -170,13 +247,15 @@ def bm25_search(index: Bm25Index, queries: DataFrame, qid_col: str = "query_id",
     qtok = (queries.select(F.col(qid_col).alias("query_id"), F.explode(whitespace_tokens(text_col)).alias("term"))
                    .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     k1, b, avgdl = index.k1, index.b, index.avgdl
-    j = qtok.join(index.idf, "term").join(index.postings, "term")
+    j = qtok.join(index.idf, "term").join(pruned(index.postings, qtok, index.term_buckets), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)))
     return j.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("qtf")).alias("score"))
 
 
-def bm25_top(hits: DataFrame, k: int = 4) -> DataFrame:
-    """Top-n BM25 documents per query (positive scores only)."""
-    return top_k(hits.filter(F.col("score") > 0), "query_id",
+def bm25_top(hits: DataFrame, k: int = 4, positive_only: bool = True) -> DataFrame:
+    """Top-n BM25 documents per query among those that share a token with it.
+
+    ``positive_only=False`` also ranks scores of zero and below (terms in more than half of the documents)."""
+    return top_k(hits.filter(F.col("score") > 0) if positive_only else hits, "query_id",
                  [F.desc(ranked_score("score")), F.asc("doc_id")], k)

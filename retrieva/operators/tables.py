@@ -66,13 +66,14 @@ def merge_text_and_tables(docs: DataFrame, rendered: DataFrame, id_col: str = "d
                           text_col: str = "text") -> DataFrame:
     """A15 + T13: text + blank line, then per table in page order
     'Extracted Table:' + table + blank line. Documents without tables keep
-    their text plus the blank line (left join)."""
+    their text plus the blank line (left join). Other columns of ``docs`` stay."""
     per_doc = rendered.groupBy("doc_id").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("page_no", "table_text"))),
         lambda x: F.concat(F.lit("Extracted Table:\n"), x["table_text"], F.lit("\n\n"))), "").alias("__tables"))
     j = docs.join(per_doc.withColumnRenamed("doc_id", id_col), id_col, "left")
-    return j.select(id_col, F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n\n"),
-                                     F.coalesce("__tables", F.lit(""))).alias("content"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    return j.select(id_col, *others, F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n\n"),
+                                              F.coalesce("__tables", F.lit(""))).alias("content"))
 
 
 def table_documents(rendered: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SCORE_DIGITS = 6
 
 
@@ -36,13 +38,14 @@ def rank_all(df: DataFrame, group_col: str, order: list[Column], rank_col: str =
 
     A range shuffle on (group, order) spreads a large group over several
     partitions; each partition numbers its rows locally, and a small table of
-    per-(partition, group) counts gives each partition its offset.
+    per-(partition, group) counts gives each partition its offset. The ranged
+    rows are written once, so the counts and the rows can't disagree.
     """
     sort_cols = [F.col(group_col)] + list(order)
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    s = (df.repartitionByRange(int(n), *sort_cols).sortWithinPartitions(*sort_cols)
-           .withColumn("__pid", F.spark_partition_id())
-           .withColumn("__mid", F.monotonically_increasing_id()))
+    s = materialize(df.repartitionByRange(int(n), *sort_cols).sortWithinPartitions(*sort_cols)
+                    .withColumn("__pid", F.spark_partition_id())
+                    .withColumn("__mid", F.monotonically_increasing_id()), "ranked")
     stats = s.groupBy("__pid", group_col).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
     before = Window.partitionBy(group_col).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,27 +72,28 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages: ``conversations`` with conv_id = document and turn = page number."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
 
 
-def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted table rows: one table per customer from ``orders``.
+def table_rows(spark: SparkSession, sf_dir: str, pages: int = 1) -> DataFrame:
+    """Extracted table rows: one table per customer and page from ``orders`` (dealt over ``pages`` by order key).
 
-    Output (doc_id, page_no, row_no, cells ARRAY<STRING>). Page 0 holds the
+    Output (doc_id, page_no, row_no, cells ARRAY<STRING>). Each page holds the
     header row (row_no 0), data rows follow (row_no = order key + 1). Cells of
     orders in status 'P' (pending) are blank: an all-null row for the
     table operators to drop."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     blank = F.col("o_orderstatus") == "P"
+    page = (F.col("o_orderkey") % pages).cast("int")
     cells = F.array(
         F.when(blank, F.lit(None)).otherwise(F.col("o_orderkey").cast("string")),
         F.when(blank, F.lit(None)).otherwise(F.col("o_orderstatus")),
         F.when(blank, F.lit(None)).otherwise(F.col("o_orderpriority")))
     data = o.select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("doc_id"),
-                    F.lit(0).alias("page_no"), (F.col("o_orderkey") + 1).alias("row_no"), cells.alias("cells"))
-    header = (o.select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("doc_id")).distinct()
-               .select("doc_id", F.lit(0).alias("page_no"), F.lit(0).cast("bigint").alias("row_no"),
+                    page.alias("page_no"), (F.col("o_orderkey") + 1).alias("row_no"), cells.alias("cells"))
+    header = (o.select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("doc_id"), page.alias("page_no")).distinct()
+               .select("doc_id", "page_no", F.lit(0).cast("bigint").alias("row_no"),
                        F.array(F.lit("orderkey"), F.lit("status"), F.lit("priority")).alias("cells")))
     return header.unionByName(data)
 

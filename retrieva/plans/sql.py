@@ -7,6 +7,14 @@ from ..functions.stopwords import sql_list
 
 STOP = "[" + sql_list() + "]"
 
+# White space as in Python's str.split(), for both engines (RE2's own class is ASCII only).
+SPACE = r"\p{Z}\x09-\x0d\x1c-\x1f\x{85}"
+
+
+def unicode_space(sql: str) -> str:
+    """The short classes of the SQL below, spelled out."""
+    return sql.replace(r"[.!?\s]", f"[.!?{SPACE}]").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+
 # corpus: documents with a non-blank text, name = source_docid, content prefixed
 DOCS = r"""docs0 AS (
   SELECT doc_id, source, source || '_' || CAST(doc_id AS VARCHAR) AS name,
@@ -97,6 +105,24 @@ rp AS (SELECT conv_id, turn, hs, rs, """ + rouge_words("hs") + r""" AS hw, """ +
        FROM rs0 WHERE len(hs) > 0 AND len(rs) > 0)"""
 
 
+# One LCS of each sentence pair by table and trace-back (up when the upper cell is strictly larger, else left),
+# the distinct words of all of them for each pair.
+ROUGE_L = ROUGE + r""",
+sp AS (SELECT conv_id, turn, string_split(r, ' ') AS a, string_split(h, ' ') AS b
+       FROM (SELECT conv_id, turn, r, unnest(hs) AS h FROM (SELECT conv_id, turn, hs, unnest(rs) AS r FROM rp))),
+tb AS (SELECT conv_id, turn, a, b, list_reduce(a, lambda tab, x: list_append(tab,
+         list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, CASE WHEN x = b[j] THEN tab[len(tab)][j] + 1
+           ELSE greatest(tab[len(tab)][j + 1], acc[j]) END), [0])), [list_transform(range(0, len(b) + 1), lambda z: 0)]) AS t FROM sp),
+wd AS (SELECT conv_id, turn, list_reduce(range(0, len(a) + len(b)), lambda st, k:
+         CASE WHEN st.i = 0 OR st.j = 0 THEN st
+              WHEN a[st.i] = b[st.j] THEN {'i': st.i - 1, 'j': st.j - 1, 'w': list_append(st.w, a[st.i])}
+              WHEN t[st.i][st.j + 1] > t[st.i + 1][st.j] THEN {'i': st.i - 1, 'j': st.j, 'w': st.w}
+              ELSE {'i': st.i, 'j': st.j - 1, 'w': st.w} END,
+         {'i': CAST(len(a) AS BIGINT), 'j': CAST(len(b) AS BIGINT), 'w': CAST([] AS VARCHAR[])}).w AS w FROM tb),
+ul AS (SELECT conv_id, turn, count(DISTINCT x) AS ulcs FROM (SELECT conv_id, turn, unnest(w) AS x FROM wd) GROUP BY ALL),
+rl AS (SELECT len(list_distinct(hw)) AS n, len(list_distinct(rw)) AS m, coalesce(ulcs, 0) AS u FROM rp LEFT JOIN ul USING (conv_id, turn))"""
+
+
 def bigrams(w: str) -> str:
     return f"list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
 
@@ -107,11 +133,11 @@ def lcs_len(a: str, b: str) -> str:
             f"list_append(acc, CASE WHEN x = {b}[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[j]) END), [0]), "
             f"list_transform(range(0, len({b}) + 1), lambda z: 0))[len({b}) + 1]")
 
-TABLE_ROWS = r"""trows AS (
-  SELECT DISTINCT 'cust' || CAST(o_custkey AS VARCHAR) AS doc_id, 0 AS page_no, CAST(0 AS BIGINT) AS row_no,
+TABLE_ROWS_SQL = r"""trows AS (
+  SELECT DISTINCT 'cust' || CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey % PAGES AS INTEGER) AS page_no, CAST(0 AS BIGINT) AS row_no,
          ['orderkey', 'status', 'priority'] AS cells FROM orders
   UNION ALL
-  SELECT 'cust' || CAST(o_custkey AS VARCHAR), 0, o_orderkey + 1,
+  SELECT 'cust' || CAST(o_custkey AS VARCHAR), CAST(o_orderkey % PAGES AS INTEGER), o_orderkey + 1,
          CASE WHEN o_orderstatus = 'P' THEN CAST([NULL, NULL, NULL] AS VARCHAR[])
               ELSE [CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority] END FROM orders),
 urows AS (SELECT * FROM trows WHERE len(list_filter(cells, lambda c: c IS NOT NULL AND trim(c) <> '')) > 0),
@@ -124,6 +150,13 @@ lines AS (SELECT doc_id, page_no, row_no, string_agg(lpad(coalesce(cells[j], 'Na
           FROM kj JOIN cw USING (doc_id, page_no, j) GROUP BY ALL),
 rendered AS (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY row_no) AS table_text FROM lines GROUP BY ALL)"""
 
+def table_rows(pages: int = 1) -> str:
+    """Table rows of each customer, dealt over ``pages`` pages by order key, and the steps up to rendered tables."""
+    return TABLE_ROWS_SQL.replace("PAGES", str(pages))
+
+
+TABLE_ROWS = table_rows()
+
 
 def clean_tokens(x: str) -> str:
     return (f"list_filter(list_transform(string_split_regex({x}, '\\s+'), "
@@ -142,11 +175,12 @@ rules AS (SELECT * FROM (VALUES (1, 's', ''), (2, 'ses', 's'), (3, 'ves', 'f'),
 cand AS (SELECT lex.tok, o, left(lex.tok, length(lex.tok) - length(suf)) || rep AS c FROM lex, rules
          WHERE ends_with(lex.tok, suf)),
 lem AS (SELECT tok, first(c ORDER BY length(c), o) AS lemma FROM cand WHERE c IN (SELECT tok FROM lex) GROUP BY tok),
-lem2 AS (SELECT * FROM lem WHERE length(lemma) < length(tok)),
+lem2 AS (SELECT * FROM lem),
 cl AS (SELECT doc_id, string_agg(coalesce(lem2.lemma, occ.tok), ' ' ORDER BY pos) AS cleaned
        FROM occ LEFT JOIN lem2 USING (tok) GROUP BY doc_id),
 cleaned AS (SELECT s.doc_id, coalesce(cl.cleaned, '') AS cleaned FROM {src} s LEFT JOIN cl USING (doc_id))"""
 
+# The two prompt wordings, as SQL text.
 PROMPT1_HEAD = "'Use the following context to answer the question concisely and clearly.' || chr(10) || chr(10) || 'Context:' || chr(10)"
 PROMPT2_HEAD = "'Use the following context to answer the question as concisely and clearly as possible.' || chr(10) || chr(10) || 'Context:' || chr(10)"
 

@@ -1,19 +1,28 @@
 """File sources and sinks.
 
-Scans use Spark's own file sources (text, csv, binaryFile, parquet) with the
-file path from the hidden ``_metadata`` column; schemas are explicit.
+Scans use Spark's own file sources (text, csv, binaryFile, parquet) with explicit
+schemas. Where each file has its own width or encoding, whole files are read as
+rows and parsed in their tasks.
 """
 
 from __future__ import annotations
 
-import os
+import csv
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+from io import StringIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import path_stem
 from ..operators.corpus import corpus_rows
+from ..operators.sparse import Bm25Index, TfidfIndex, term_bucket
+from ..operators.tables import table_name
+from ..session import ship_package
 
 # Strings pandas reads as missing by default.
 PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -44,32 +53,64 @@ def scan_plain_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 # --- S2: table CSV files ------------------------------------------------------------------
 
+def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, text, encoding): each file decoded as UTF-8 when its bytes are valid, else as ISO-8859-1 (S3)."""
+    b = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    return b.select("path", F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"),
+                    F.when(utf8, "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
+
+
+def _csv_rows(text: str) -> list[list[str]]:
+    """Records of a CSV text: quoted cells may hold line breaks and doubled quotes; blank lines are no records."""
+    text = text.removeprefix("\ufeff")
+    return [r for r in csv.reader(StringIO(text, newline=""), strict=True) if r]
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    """(path, row_no, cells, error): every record of every file, by the file's own width; a broken file is one row with its error."""
+    ship_package(files.sparkSession)
+
+    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(1 << 30)
+        for pdf in it:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                try:
+                    rows += [(path, i, r, None) for i, r in enumerate(_csv_rows(text))]
+                except csv.Error as e:
+                    rows.append((path, 0, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "row_no", "cells", "error"])
+
+    return files.select("path", "text").mapInPandas(parse, "path string, row_no long, cells array<string>, error string")
+
+
 def read_table_csvs(spark: SparkSession, path: str, glob: str = "*_table*.csv") -> DataFrame:
     """S2 part 1: table CSV files -> table_rows(doc_id, page_no, row_no, cells).
 
     doc_id/page_no come from the ``<doc>_table<page>`` file name; rows keep file
-    order (row 0 = header). Malformed records are dropped (PERMISSIVE mode)."""
-    df = (spark.read.option("multiLine", True).option("header", False).option("mode", "PERMISSIVE")
-               .option("pathGlobFilter", glob).csv(path))
-    cols = [c for c in df.columns]
-    stem = path_stem(F.col("_metadata.file_path"))
-    rows = df.select(F.array(*[F.col(c) for c in cols]).alias("cells"), stem.alias("__stem"),
-                     F.monotonically_increasing_id().alias("__mid"))
-    w = Window.partitionBy("__stem").orderBy("__mid")
-    rows = rows.withColumn("row_no", (F.row_number().over(w) - 1).cast("bigint"))
-    # a short row was padded with nulls; trim those trailing pads
+    order (row 0 = header). A file's widest row gives its width: shorter rows are filled with nulls, an empty
+    cell is null. A broken file is left out here and listed by ``broken_table_csvs``."""
+    rows = _parsed(_whole_files(spark, path, glob)).filter("error IS NULL")
+    width = Window.partitionBy("path")  # one file
+    rows = rows.withColumn("__n", F.max(F.size("cells")).over(width)).withColumn("__stem", path_stem("path"))
+    cells = F.transform("cells", lambda c: F.nullif(c, F.lit("")))
+    filled = F.concat(cells, F.array_repeat(F.lit(None).cast("string"), F.col("__n") - F.size("cells")))
     return rows.select(F.regexp_extract("__stem", r"^(.*)_table\d+$", 1).alias("doc_id"),
                        F.regexp_extract("__stem", r"_table(\d+)$", 1).cast("int").alias("page_no"),
-                       "row_no", "cells")
+                       "row_no", filled.alias("cells"))
+
+
+def broken_table_csvs(spark: SparkSession, path: str, glob: str = "*_table*.csv") -> DataFrame:
+    """(path, error) of the files that could not be parsed."""
+    return _parsed(_whole_files(spark, path, glob)).filter("error IS NOT NULL").select("path", "error")
 
 
 # --- S3, S4: CSV question / answer tables ---------------------------------------------------
 
-def file_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+def file_encodings(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """S3: per file, 'UTF-8' when its bytes are valid UTF-8, else 'ISO-8859-1'."""
-    b = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return b.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")) & F.col("content").isNotNull(),
-                                   F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"))
+    return _whole_files(spark, path, glob).select("path", "encoding")
 
 
 def read_qa_csv(spark: SparkSession, path: str, schema: T.StructType = QA_SCHEMA,
@@ -77,25 +118,20 @@ def read_qa_csv(spark: SparkSession, path: str, schema: T.StructType = QA_SCHEMA
     """S4 (+S3): header CSV with quoted multi-line cells, doubled quotes, edge
     spaces kept; the pandas missing-value strings become null.
 
-    Without ``encoding`` each file's encoding is detected (S3): the list of
-    files and their encodings is metadata, one read per encoding."""
-    def read(p, enc):
-        return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-                     .option("quote", '"').option("escape", '"').option("encoding", enc)
-                     .option("nullValue", None).option("emptyValue", "").csv(p))
-
+    With ``encoding`` Spark's CSV reader reads the files. Without it, every file is decoded by its own
+    encoding (S3) inside one plan and its columns are taken by the names in its header."""
     if encoding:
-        df = read(path, encoding)
+        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+                   .option("quote", '"').option("escape", '"').option("encoding", encoding)
+                   .option("nullValue", None).option("emptyValue", "").csv(path))
     else:
-        groups = {}
-        for r in file_encodings(spark, path).collect():
-            groups.setdefault(r["encoding"], []).append(r["path"])
-        parts = [read(paths, enc) for enc, paths in sorted(groups.items())]
-        if not parts:
-            return spark.createDataFrame([], schema)
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionByName(p)
+        files = _whole_files(spark, path, "*").filter(~path_stem("path").rlike("^[._]"))
+        rows = _parsed(files)
+        failed = F.raise_error(F.concat(F.lit("broken CSV file "), F.col("path"), F.lit(": "), F.col("error")))
+        rows = rows.withColumn("cells", F.when(F.col("error").isNotNull(), failed.cast("array<string>")).otherwise(F.col("cells")))
+        header = F.first(F.when(F.col("row_no") == 0, F.col("cells")), ignorenulls=True).over(Window.partitionBy("path"))  # one file
+        rows = rows.withColumn("__h", header).filter("row_no > 0")
+        df = rows.select(*[F.get("cells", F.array_position("__h", f.name).cast("int") - 1).cast(f.dataType).alias(f.name) for f in schema.fields])
     na = list(na_values)
     return df.select(*[F.when(F.col(f.name).isin(na), F.lit(None)).otherwise(F.col(f.name)).alias(f.name)
                        for f in schema.fields])
@@ -115,60 +151,84 @@ def list_raw_documents(spark: SparkSession, path: str, recursive: bool = False)
              .filter(F.col("kind").isNotNull()).withColumn("doc_id", path_stem("path")))
 
 
-# --- S8 / K4: index tables ------------------------------------------------------------------
+# --- S8 / K4: saved indexes ------------------------------------------------------------------
+
+TERM_BUCKETS = 64
 
-INDEX_PARTS = ("docs", "vocab", "postings", "vectors", "centroids")
 
+@dataclass
+class CellIndex:
+    """Vectors with their cells: vectors(doc_id, dvec, cell_id), centroids(cell_id, centroid)."""
+    vectors: DataFrame
+    centroids: DataFrame
 
-def save_index(base: str, parts: dict[str, DataFrame], term_buckets: int = 64) -> None:
-    """K4: each part as Parquet under ``base``. Postings are partitioned by a
-    term hash bucket (a query's terms prune the scan to their buckets);
-    vectors by cell_id when present."""
+
+def _save(spark: SparkSession, base: str, kind: str, parts: dict[str, DataFrame], **settings) -> None:
     for name, df in parts.items():
-        w = df.write.mode("overwrite")
-        if name == "postings":
-            df = df.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int"))
-            w = df.write.mode("overwrite").partitionBy("term_bucket")
-        elif name == "vectors" and "cell_id" in df.columns:
-            w = df.write.mode("overwrite").partitionBy("cell_id")
-        w.parquet(os.path.join(base, name))
-
-
-def load_index(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """Read back whatever parts exist."""
-    out = {}
-    for name in INDEX_PARTS:
-        p = os.path.join(base, name)
-        if os.path.exists(p) or not p.startswith("/"):
-            try:
-                out[name] = spark.read.parquet(p)
-            except Exception:  # noqa: BLE001 - a missing part is simply absent
-                pass
-    return out
+        if "term" in df.columns and name == "postings":
+            n = settings["term_buckets"]
+            df = df.withColumn("term_bucket", term_bucket("term", n)).repartition(n, "term_bucket")
+            df.write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/{name}")
+        elif "cell_id" in df.columns and name == "vectors":
+            df.repartition("cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{base}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+    # the manifest comes last: an index without one isn't complete
+    row = [(kind, json.dumps(settings), sorted(parts))]
+    spark.createDataFrame(row, "kind string, settings string, parts array<string>").coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest")
+
+
+def save_index(base: str, index: TfidfIndex | Bm25Index | CellIndex, term_buckets: int = TERM_BUCKETS) -> None:
+    """K4: an index as Parquet under ``base``, with a manifest of its settings.
+
+    Postings are in folders by a hash of the term, vectors in folders by cell, each written by one task, so
+    a search opens only the folders of its terms or cells."""
+    if isinstance(index, TfidfIndex):
+        _save(index.vocab.sparkSession, base, "tfidf", {"vocab": index.vocab, "postings": index.postings}, n_docs=index.n_docs, max_features=index.max_features,
+              stop_words=list(index.stop_words), ngram_range=list(index.ngram_range), term_buckets=term_buckets)
+    elif isinstance(index, Bm25Index):
+        _save(index.idf.sparkSession, base, "bm25", {"idf": index.idf, "postings": index.postings}, n_docs=index.n_docs, avgdl=index.avgdl, k1=index.k1, b=index.b,
+              term_buckets=term_buckets)
+    else:
+        _save(index.vectors.sparkSession, base, "cells", {"vectors": index.vectors, "centroids": index.centroids})
+
+
+def load_index(spark: SparkSession, base: str) -> TfidfIndex | Bm25Index | CellIndex:
+    """The saved index as the object that the searches take. A missing or unfinished index is an error."""
+    m = spark.read.parquet(f"{base}/manifest").first()
+    parts, s = {p: spark.read.parquet(f"{base}/{p}") for p in m["parts"]}, json.loads(m["settings"])
+    if m["kind"] == "tfidf":
+        return TfidfIndex(parts["vocab"], parts["postings"], s["n_docs"], s["max_features"], tuple(s["stop_words"]), tuple(s["ngram_range"]), s["term_buckets"])
+    if m["kind"] == "bm25":
+        return Bm25Index(parts["postings"], parts["idf"], s["n_docs"], s["avgdl"], s["k1"], s["b"], s["term_buckets"])
+    return CellIndex(parts["vectors"], parts["centroids"])
 
 
 # --- K1, K2, K3, K5, K6: sinks --------------------------------------------------------------
 
+def _csv_writer(w):
+    """Header, doubled quotes, edge spaces and empty texts kept."""
+    return (w.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "")
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def append_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """K1: append (query, answer) rows; a CSV part carries its own header."""
+    """K1: append (query, answer) rows; a CSV part carries its own header, and texts are kept as they are."""
     w = df.write.mode("append")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        _csv_writer(w).csv(path)
     else:
         w.parquet(path)
 
 
 def write_qa_csv(df: DataFrame, path: str) -> None:
     """K2: CSV with header; leading/trailing spaces kept, quotes doubled."""
-    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    _csv_writer(df.write.mode("overwrite")).csv(path)
 
 
-def write_report(spark: SparkSession, report: dict, path: str) -> None:
-    """K3: the nested evaluation record as one JSON row."""
-    import json
-    spark.read.json(spark.sparkContext.parallelize([json.dumps(report)])).coalesce(1) \
-         .write.mode("overwrite").json(path)
+def write_report(report: DataFrame, path: str) -> None:
+    """K3: the nested evaluation record (one row) as JSON."""
+    report.coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_cleaned(df: DataFrame, path: str) -> None:
@@ -176,8 +236,8 @@ def write_cleaned(df: DataFrame, path: str) -> None:
     df.select("doc_id", "content").write.mode("overwrite").parquet(path)
 
 
-def write_tables(rows: DataFrame, path: str) -> None:
-    """K6: extracted table rows partitioned by document; the file-style name
+def write_tables(rows: DataFrame, path: str, folders: int = TERM_BUCKETS) -> None:
+    """K6: extracted table rows in a fixed number of folders by a hash of the document; the file-style name
     ``<doc>_table<page>`` is kept as a column."""
-    from ..operators.tables import table_name
-    rows.withColumn("table_name", table_name()).write.mode("overwrite").partitionBy("doc_id").parquet(path)
+    named = rows.withColumn("table_name", table_name()).withColumn("folder", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("int"))
+    named.repartition(folders, "folder").write.mode("overwrite").partitionBy("folder").parquet(path)

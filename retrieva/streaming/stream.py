@@ -13,19 +13,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import scratch_path
-
 QUESTION_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("text", T.StringType())])
 
 
 def answer_stream(spark: SparkSession, in_dir: str, out_dir: str,
                   answer_batch: Callable[[DataFrame], DataFrame],
-                  checkpoint: str | None = None, available_now: bool = True):
+                  checkpoint: str, available_now: bool = True):
     """Start the stream; returns the StreamingQuery.
 
-    ``answer_batch(questions_df) -> answers_df`` is any batch job (for example
+    ``checkpoint`` is a lasting folder in shared storage: a restart with the same one goes on after the last
+    committed batch, so no question is answered twice. ``answer_batch(questions_df) -> answers_df`` is any batch job (for example
     hybrid retrieval + prompt + generator)."""
-    checkpoint = checkpoint or scratch_path(spark, "q1-checkpoint")
     src = spark.readStream.schema(QUESTION_SCHEMA).json(in_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:

@@ -43,6 +43,30 @@ def test_generator_retry(spark):
     assert sorted(r.answer for r in variant2) == ["", "", "fine"]
 
 
+def test_the_stub_keeps_every_passage_whole():
+    body = "\n\nTitle:\n" + "line one\n" + "x" * 2000 + "\n\nSecond:\nmore"
+    assert AN.extractive_generator(f"Use it.\n\nContext:\n{body}\n\nQuestion:\nwhy?\n") == " " + body.strip("\n")
+
+
+def test_every_question_gets_an_answer(spark):
+    from retrieva.plans import catalog
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, question string")
+    c = spark.createDataFrame([(1, "found")], "query_id long, context string")
+    assert {r.query_id: r.context for r in catalog._asked(q, c).collect()} == {1: "found", 2: ""}
+
+
+def test_model_embeddings_run_a_given_encoder(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(70)] + [(100, None)], "doc_id long, text string")
+    got = {r.doc_id: r.embedding for r in AN.model_embeddings(df, "doc_id", "text", lambda ts: [[len(t), 1.0] for t in ts]).collect()}
+    assert got[5] == [5.0, 1.0] and got[100] == [0.0, 1.0] and len(got) == 71
+
+
+def test_rate_limited_prompts_are_dealt_over_tasks(spark):
+    df = spark.createDataFrame([(i, "p") for i in range(8)], "id long, prompt string").coalesce(1)
+    out = AN.generate(df, lambda p: "a", keep=["id"], max_requests_per_minute=60000)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 8
+
+
 def test_prompt_and_request(spark):
     import json
     df = spark.createDataFrame([(1, "ctx", "why?")], "id long, context string, question string")

@@ -52,6 +52,35 @@ def test_ivf_all_cells_equals_flat_and_small_nlist(spark):
     assert dense.nlist_for(7) == 1                      # fewer than 10 vectors: one cell
 
 
+def test_equal_scores_give_k_rows_for_each_block(spark):
+    q = _vecs(spark, [(i, [0.0, 0.0]) for i in range(5)], "query_id", "qvec")
+    d = _vecs(spark, [(i, [0.0, 0.0]) for i in range(5000)], "doc_id", "dvec")
+    for metric in ("ip", "l2"):
+        cand = dense.knn_candidates(q, d, 5, metric, doc_block=1000)
+        assert cand.count() == 5 * 5 * 5
+        assert {r.doc_id for r in dense.knn(q, d, 5, metric, doc_block=1000).collect()} == set(range(5))
+
+
+def test_distances_as_similarities(spark):
+    h = spark.createDataFrame([(1, 1, 3.0)], "query_id long, doc_id long, score double")
+    assert dense.to_similarity(h).first().score == -3.0 and dense.to_similarity(h, "inverse").first().score == 0.25
+
+
+def test_the_cut_of_sparse_hits_is_exact_with_negative_dense_scores(spark):
+    rng = np.random.default_rng(4)
+    sp = [(q, d, float(rng.integers(1, 40)) / 7) for q in range(6) for d in range(60) if rng.random() < 0.7]
+    dn = [(q, int(d), float(s)) for q in range(6) for d, s in zip(rng.choice(60, 5, replace=False), rng.normal(size=5) - 0.5)]
+    schema = "query_id long, doc_id long, score double"
+    sp, dn = spark.createDataFrame(sp, schema), spark.createDataFrame(dn, schema)
+    for alpha in (0.0, 0.3, 0.5, 1.0):
+        for k in (1, 5):
+            top = dn.filter("true") if k == 5 else dense.top_k(dn, "query_id", [F.desc("score")], 1).drop("rank")
+            got = sorted(map(tuple, hybrid.hybrid_top_k(top, sp, k, alpha).select("query_id", "doc_id", "rank").collect()))
+            order = [F.desc(F.round("combined_score", 6)), F.asc("doc_id")]
+            want = dense.top_k(hybrid.fuse_scores(top, sp, alpha), "query_id", order, k).select("query_id", "doc_id", "rank")
+            assert got == sorted(map(tuple, want.collect()))
+
+
 def test_hybrid_alpha_extremes(spark):
     dn = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (2, 12, 0.5)], "query_id long, doc_id long, score double")
     sp = spark.createDataFrame([(1, 11, 2.0), (1, 13, 4.0)], "query_id long, doc_id long, score double")

@@ -67,12 +67,65 @@ def test_sinks_round_trip(spark):
     io.append_log(df, os.path.join(d, "k1"))
     io.append_log(df, os.path.join(d, "k1"))
     assert spark.read.parquet(os.path.join(d, "k1")).count() == 2
-    io.write_report(spark, {"bleu": 0.5, "rouge": {"rouge-1": {"r": 1.0, "p": 0.5, "f": 0.6}}}, os.path.join(d, "k3"))
+    io.append_log(df, os.path.join(d, "k1csv"), "csv")
+    log = io.read_qa_csv(spark, os.path.join(d, "k1csv"), io.ANSWER_SCHEMA).collect()
+    assert [(r.query, r.answer) for r in log] == [(" q ", " answer with space")]
+    report = spark.sql("SELECT 0.5D AS bleu, named_struct('rouge-1', named_struct('r', 1.0D, 'p', 0.5D, 'f', 0.6D)) AS rouge")
+    io.write_report(report, os.path.join(d, "k3"))
     assert spark.read.json(os.path.join(d, "k3")).first()["rouge"]["rouge-1"]["p"] == 0.5
-    post = spark.createDataFrame([("t", 1, 0.5)], "term string, doc_id long, score double")
-    io.save_index(os.path.join(d, "ix"), {"postings": post})
-    parts = io.load_index(spark, os.path.join(d, "ix"))
-    assert parts["postings"].select("term", "doc_id", "score").first() == ("t", 1, 0.5)
+    io.write_cleaned(spark.createDataFrame([("a", "text", 1)], "doc_id string, content string, x int"), os.path.join(d, "k5"))
+    assert [tuple(r) for r in spark.read.parquet(os.path.join(d, "k5")).collect()] == [("a", "text")]
+    rows = spark.createDataFrame([(f"doc{i}", 0, 0, ["x"]) for i in range(200)], "doc_id string, page_no int, row_no long, cells array<string>")
+    io.write_tables(rows, os.path.join(d, "k6"), folders=8)
+    k6 = spark.read.parquet(os.path.join(d, "k6"))
+    assert k6.count() == 200 and k6.filter("table_name = 'doc7_table0'").count() == 1
+    assert len([x for x in os.listdir(os.path.join(d, "k6")) if x.startswith("folder=")]) <= 8
+
+
+def test_every_index_is_searched_from_disk_with_the_same_results(spark):
+    import numpy as np
+
+    from retrieva.operators import dense, sparse
+    d = _dir()
+    docs = spark.createDataFrame([(i, f"alpha{i % 7} beta{i % 3} gamma word{i}") for i in range(60)], "doc_id long, content string")
+    q = spark.createDataFrame([(1, "alpha1 gamma beta2"), (2, "nothing here"), (3, "word5 word5 alpha5")], "query_id long, text string")
+    tfidf, bm25 = sparse.build_tfidf_index(docs), sparse.build_bm25_index(docs)
+    for name, ix, search in (("t", tfidf, sparse.sparse_search), ("b", bm25, sparse.bm25_search)):
+        io.save_index(os.path.join(d, name), ix, term_buckets=16)
+        loaded = io.load_index(spark, os.path.join(d, name))
+        assert type(loaded) is type(ix) and loaded.n_docs == 60 and loaded.term_buckets == 16
+        a = {(r.query_id, r.doc_id): r.score for r in search(ix, q).collect()}
+        b = {(r.query_id, r.doc_id): r.score for r in search(loaded, q).collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a) and len(a) > 60
+    plan = sparse.sparse_search(io.load_index(spark, os.path.join(d, "t")), q)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [term_bucket" in plan
+    x = np.random.default_rng(0).normal(size=(80, 5))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, dvec array<double>")
+    qv = v.filter("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("dvec").alias("qvec"))
+    cents = dense.fixed_centroids(v, 8)
+    cells = io.CellIndex(dense.assign_cells(v, cents), cents)
+    io.save_index(os.path.join(d, "c"), cells)
+    loaded = io.load_index(spark, os.path.join(d, "c"))
+    for metric in ("ip", "l2"):
+        a = sorted(map(tuple, dense.ivf_search(qv, cells.vectors, cells.centroids, 3, 2, metric).collect()))
+        assert a == sorted(map(tuple, dense.ivf_search(qv, loaded.vectors, loaded.centroids, 3, 2, metric).collect())) and len(a) > 5
+    try:
+        io.load_index(spark, os.path.join(d, "none"))
+        raise AssertionError("a missing index must be an error")
+    except Exception as e:  # noqa: BLE001
+        assert "none" in str(e)
+
+
+def test_table_files_keep_their_own_widths(spark):
+    d = _dir()
+    open(os.path.join(d, "a_table0.csv"), "w").write("x\n1\n2\n")
+    open(os.path.join(d, "b_table1.csv"), "w").write("x,y\n1,\n3\n")
+    open(os.path.join(d, "c_table2.csv"), "wb").write('p,q,r,s\n1,"a\nb",3,caf\xe9\n'.encode("latin-1"))
+    open(os.path.join(d, "d_table3.csv"), "w").write('x,y\n"open quote,1\n')
+    rows = {(r.doc_id, r.page_no, r.row_no): r.cells for r in io.read_table_csvs(spark, d).collect()}
+    assert rows[("a", 0, 1)] == ["1"] and rows[("b", 1, 1)] == ["1", None] and rows[("b", 1, 2)] == ["3", None]
+    assert rows[("c", 2, 0)] == ["p", "q", "r", "s"] and rows[("c", 2, 1)] == ["1", "a\nb", "3", "caf\xe9"]
+    assert not any(k[0] == "d" for k in rows) and [r.path.rsplit("/", 1)[1] for r in io.broken_table_csvs(spark, d).collect()] == ["d_table3.csv"]
 
 
 def test_listing_dispatch(spark):
@@ -88,6 +141,10 @@ def test_clean_text_and_pages(spark):
                                "doc_id long, text string")
     got = {r.doc_id: r.cleaned for r in CO.clean_text(df).collect()}
     assert got[1] == "cats toys box box" and got[2] == ""   # "cat" and "toy" are not corpus tokens
+    people = spark.createDataFrame([(1, "Women woman men man"), (2, None), (3, "\u00a0\u2003")], "doc_id long, text string")
+    assert {r.doc_id: r.cleaned for r in CO.clean_text(people).collect()} == {1: "woman woman man man", 2: "", 3: ""}
+    blank = spark.createDataFrame([("n", "\u00a0 \u2003\x1c"), ("w", "a\u00a0b\u3000c ")], "doc_id string, text string")
+    assert [(r.doc_id, r.length) for r in CO.corpus_rows(blank, "doc_id", "text").collect()] == [("w", 4)]
     pages = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (1, 2, "")], "doc_id long, page_no long, text string")
     assert CO.join_pages(pages, "concat").first().text == "ab"
     assert CO.join_pages(pages, "line_after").first().text == "a\nb\n\n"
@@ -105,8 +162,21 @@ def test_stream_equals_batch(spark):
     def job(batch):
         return batch.select("query_id", F.upper("text").alias("answer"))
 
-    q = answer_stream(spark, os.path.join(d_in, "b0"), d_out, job)
-    q.awaitTermination(120)
+    done = _dir()
+    calls = []
+
+    def counted(batch):
+        calls.append(batch.count())
+        return job(batch)
+
+    for _ in range(2):  # the second start goes on after the first's last batch: nothing is answered again
+        q = answer_stream(spark, os.path.join(d_in, "b0"), d_out, counted, done)
+        q.awaitTermination(120)
+    assert calls == [2]
+    spark.createDataFrame([(3, "late")], "query_id long, text string").coalesce(1).write.mode("append").json(os.path.join(d_in, "b0"))
+    answer_stream(spark, os.path.join(d_in, "b0"), d_out, counted, done).awaitTermination(120)
+    qs.append((3, "late"))
+    assert calls == [2, 1]
     streamed = sorted(tuple(r) for r in spark.read.parquet(d_out).select("query_id", "answer").collect())
     batch = sorted(tuple(r) for r in job(spark.createDataFrame(qs, "query_id long, text string")).collect())
     assert streamed == batch

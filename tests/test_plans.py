@@ -8,13 +8,21 @@ def _plan(df):
 
 
 def test_no_nested_loop_or_cartesian_joins(spark):
-    qs = E.queries()
-    for name in ["w1_dense_topk", "w3_hybrid_topk", "v4_ivf_search", "a6_sparse_search", "e1_corpus_bleu",
-                 "e5_greedy_match", "w6_pack_context", "t12_render_tables"]:
-        plan = _plan(qs[name](spark, SF))
+    from retrieva.plans import catalog
+    for name, run in catalog.QUERIES.items():
+        plan = _plan(run(spark, SF))
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
 
 
+def test_the_index_build_moves_counts_only(spark):
+    plan = _plan(E.queries()["e1_corpus_bleu"](spark, SF))
+    assert plan.count("Exchange hashpartitioning") <= 2
+    from retrieva.operators import sparse
+    from retrieva.plans import bindings as B
+    kept = sparse._kept_tokens(B.corpus(spark, SF), "doc_id", "content", ())
+    assert _plan(sparse.corpus_counts(kept)).count("Exchange hashpartitioning") == 1
+
+
 def test_topk_plans_limit_before_the_shuffle(spark):
     df = E.queries()["w1_dense_topk"](spark, SF)
     df.collect()
