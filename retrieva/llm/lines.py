@@ -89,11 +89,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = docs.schema[id_col].dataType
     w = materialize(keyed.mapInPandas(cut, "id string, th long, " + _WINDOWS)
                     .withColumn("place", F.struct(F.col("id").cast(id_type).alias("id"), "th", "start")).drop("id", "th", "start"), "line-windows")
-    again = w.filter("fresh").groupBy("fp").count().filter("count > 1").select("fp")
-    w = w.join(again, "fp", "left_semi")
-    hits = materialize(w.join(w.groupBy("content").count().filter("count > 1").select("content"), "content", "left_semi"), "line-hits")
+    # the other sides of these joins are written, unique in the key and grow with the input: sort-merge joins, in which
+    # Spark splits a hot fingerprint or window, at every size
+    again = materialize(w.filter("fresh").groupBy("fp").count().filter("count > 1").select("fp"), "line-again")
+    w = materialize(w.join(again.hint("merge"), "fp", "left_semi"), "line-candidates")
+    shared = materialize(w.groupBy("content").count().filter("count > 1").select("content"), "line-shared")
+    hits = materialize(w.join(shared.hint("merge"), "content", "left_semi"), "line-hits")
     first = hits.groupBy("content").agg(F.min(F.struct("place", "n", "before", "after")).alias("first"))
-    m = hits.join(first, "content").select("place", "n", "before", "after", F.col("first.place").alias("fplace"), F.col("first.n").alias("fn"),
+    m = hits.join(materialize(first, "line-first").hint("merge"), "content").select("place", "n", "before", "after", F.col("first.place").alias("fplace"), F.col("first.n").alias("fn"),
                                            F.col("first.before").alias("fbefore"), F.col("first.after").alias("fafter"))
     one_text = F.col("place.id").eqNullSafe(F.col("fplace.id")) & (F.col("place.th") == F.col("fplace.th"))
     m = m.filter((F.col("n") == F.col("fn")) & ~(one_text & (F.col("place.start") - F.col("fplace.start") < F.col("n"))))
@@ -123,6 +126,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.DataFrame(out, columns=["text", "removed"])
 
     on = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h"))
-    cut = docs.withColumn("_k", F.xxhash64(text_col)).join(runs, on, "left").withColumn("_cut", without(text_col, "_runs.first", "_runs.last"))
+    cut = docs.withColumn("_k", F.xxhash64(text_col)).join(runs.hint("merge"), on, "left").withColumn("_cut", without(text_col, "_runs.first", "_runs.last"))
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
     return cut.withColumn("n_lines", lines).withColumn("n_removed", F.col("_cut.removed")).withColumn(text_col, F.col("_cut.text")).drop("_i", "_h", "_k", "_runs", "_cut")
