@@ -143,7 +143,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     base = materialize(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
                                    F.md5(text.cast("binary")).alias("key")), "shard-documents")
     base = materialize(ranged(base, [], ["doc_id", "key"], "size", "shard-rows").withColumnRenamed("slot", "id").drop("before"), "shard-rows")
-    groups = base.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written, so that both sides of the join below are plain shuffles, in which Spark splits a hot text
+    groups = materialize(base.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shard-groups")
     links = base.select("id", "key").join(groups, "key").filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     placed = balance(base.select("id", "size"), links, shards, rounds)
     return base.join(placed, "id").select("doc_id", "size", "text_crc32", "shard", "slot")
