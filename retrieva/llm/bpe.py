@@ -94,46 +94,46 @@ def boundaries(pattern: str, chunk: str, margin: int, size: int) -> tuple[list[i
 
 
 def _pieces(long: DataFrame, pattern: str, size: int, margin: int) -> DataFrame:
-    """long(_row, _text) -> (_row, piece, part): the texts cut where neighbouring scans resynchronise."""
-    n = F.ceil(F.length("_text") / F.lit(size)).cast("int")
-    chunks = (long.select("_row", "_text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-              .select("_row", "chunk", F.substring("_text", F.col("chunk") * size + 1, F.lit(size + margin)).alias("part")).repartition("_row", "chunk"))
+    """long(__bpe_row, __bpe_text) -> (__bpe_row, piece, part): the texts cut where neighbouring scans resynchronise."""
+    n = F.ceil(F.length("__bpe_text") / F.lit(size)).cast("int")
+    chunks = (long.select("__bpe_row", "__bpe_text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+              .select("__bpe_row", "chunk", F.substring("__bpe_text", F.col("chunk") * size + 1, F.lit(size + margin)).alias("part")).repartition("__bpe_row", "chunk"))
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             found = [boundaries(pattern, p, margin, size) for p in pdf["part"]]
-            yield pd.DataFrame({"_row": pdf["_row"], "chunk": pdf["chunk"], "head": [h for h, _ in found], "tail": [t for _, t in found]})
+            yield pd.DataFrame({"__bpe_row": pdf["__bpe_row"], "chunk": pdf["chunk"], "head": [h for h, _ in found], "tail": [t for _, t in found]})
 
-    scans = materialize(chunks.mapInPandas(scan, "_row long, chunk int, head array<int>, tail array<int>"), "bpe-scans")
-    shared = (scans.select("_row", (F.col("chunk") + 1).alias("chunk"), "tail")
-              .join(scans.filter("chunk > 0").select("_row", "chunk", "head"), ["_row", "chunk"])
-              .select("_row", (F.col("chunk") * size + F.array_min(F.array_intersect("head", "tail"))).alias("cut")))
+    scans = materialize(chunks.mapInPandas(scan, "__bpe_row long, chunk int, head array<int>, tail array<int>"), "bpe-scans")
+    shared = (scans.select("__bpe_row", (F.col("chunk") + 1).alias("chunk"), "tail")
+              .join(scans.filter("chunk > 0").select("__bpe_row", "chunk", "head"), ["__bpe_row", "chunk"])
+              .select("__bpe_row", (F.col("chunk") * size + F.array_min(F.array_intersect("head", "tail"))).alias("cut")))
     # a margin without a shared boundary: no stitch of that text is proven, so it stays whole
-    cuts = shared.groupBy("_row").agg(F.sort_array(F.collect_list("cut")).alias("cuts"), F.count_if(F.col("cut").isNull()).alias("open"))
+    cuts = shared.groupBy("__bpe_row").agg(F.sort_array(F.collect_list("cut")).alias("cuts"), F.count_if(F.col("cut").isNull()).alias("open"))
     starts = F.when(F.col("open") == 0, F.concat(F.array(F.lit(0)), F.col("cuts"))).otherwise(F.array(F.lit(0)))
-    cut = long.join(cuts, "_row", "left").withColumn("starts", F.coalesce(starts, F.array(F.lit(0))))
-    return (cut.select("_row", "_text", "starts", F.posexplode("starts").alias("piece", "start"))
-            .select("_row", "piece", F.when(F.col("piece") + 1 < F.size("starts"), F.substring(
-                "_text", F.col("start") + 1, F.get("starts", F.col("piece") + 1) - F.col("start")))
-                .otherwise(F.substring("_text", F.col("start") + 1, F.length("_text"))).alias("part"))
-            .repartition("_row", "piece"))
+    cut = long.join(cuts, "__bpe_row", "left").withColumn("starts", F.coalesce(starts, F.array(F.lit(0))))
+    return (cut.select("__bpe_row", "__bpe_text", "starts", F.posexplode("starts").alias("piece", "start"))
+            .select("__bpe_row", "piece", F.when(F.col("piece") + 1 < F.size("starts"), F.substring(
+                "__bpe_text", F.col("start") + 1, F.get("starts", F.col("piece") + 1) - F.col("start")))
+                .otherwise(F.substring("__bpe_text", F.col("start") + 1, F.length("__bpe_text"))).alias("part"))
+            .repartition("__bpe_row", "piece"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = CHUNK, margin: int = MARGIN) -> DataFrame:
-    """``docs`` with ``text_col`` replaced by ``ids`` (binary, little-endian unsigned 32-bit)."""
+    """``docs`` with ``text_col`` replaced by ``ids`` (binary, little-endian unsigned 32-bit; a column of that name makes way)."""
     if not 0 < margin < size:
         raise ValueError("the margin must be shorter than a chunk")
     spark = docs.sparkSession
     ship_package(spark)
     small_batches(spark)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "ids")]
     is_long = F.coalesce(F.length(text_col), F.lit(0)) > size
     short = docs.filter(~is_long).select(*others, vocabulary.ids(F.col(text_col)).alias("ids"))
-    long = materialize(docs.filter(is_long).withColumn("_row", F.monotonically_increasing_id()).withColumnRenamed(text_col, "_text"), "bpe-long")
-    parts = _pieces(long.select("_row", "_text"), vocabulary.pattern, size, margin).select("_row", "piece", vocabulary.ids(F.col("part")).alias("part"))
+    long = materialize(docs.filter(is_long).withColumn("__bpe_row", F.monotonically_increasing_id()).withColumnRenamed(text_col, "__bpe_text"), "bpe-long")
+    parts = _pieces(long.select("__bpe_row", "__bpe_text"), vocabulary.pattern, size, margin).select("__bpe_row", "piece", vocabulary.ids(F.col("part")).alias("part"))
     in_order = F.sort_array(F.collect_list(F.struct("piece", "part")))
-    whole = parts.groupBy("_row").agg(F.unhex(F.array_join(F.transform(in_order, lambda p: F.hex(p["part"])), "")).alias("ids"))
-    return short.unionByName(long.drop("_text").join(whole, "_row").select(*others, "ids"))
+    whole = parts.groupBy("__bpe_row").agg(F.unhex(F.array_join(F.transform(in_order, lambda p: F.hex(p["part"])), "")).alias("ids"))
+    return short.unionByName(long.drop("__bpe_text").join(whole, "__bpe_row").select(*others, "ids"))
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:

@@ -178,11 +178,11 @@ def with_languages(docs: DataFrame, decided: DataFrame, id_col: str, hash_col: s
 
 
 def keep_identified(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rejected, ``lang_col`` set to the language found. Only rows that change are joined; they are few, as a rule."""
-    changed = with_languages(docs.select(id_col, F.col(lang_col).alias("_d"), F.xxhash64(text_col).alias("_k")), decided, id_col, "_k")
-    changed = changed.filter(~F.col("kept") | ~F.col("_d").eqNullSafe(F.col("language"))).select(
-        F.col(id_col).alias("_i"), "_k", F.col("language").alias("_l"), F.col("kept").alias("_keep")).dropDuplicates(["_i", "_k"])
+    """``docs`` without the rejected, ``lang_col`` set to the language found. Only rows that change are joined, by one plan at every size."""
+    changed = with_languages(docs.select(id_col, F.col(lang_col).alias("__li_said"), F.xxhash64(text_col).alias("__li_hash")), decided, id_col, "__li_hash")
+    changed = changed.filter(~F.col("kept") | ~F.col("__li_said").eqNullSafe(F.col("language"))).select(
+        F.col(id_col).alias("__li_id"), "__li_hash", F.col("language").alias("__li_lang"), F.col("kept").alias("__li_keep")).dropDuplicates(["__li_id", "__li_hash"])
     changed = materialize(changed, "lang-changed")
-    on = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_k"))
-    out = docs.withColumn("_h", F.xxhash64(text_col)).join(broadcast_if_small(changed), on, "left").filter(F.coalesce("_keep", F.lit(True)))
-    return out.withColumn(lang_col, F.coalesce("_l", lang_col)).select(*docs.columns)
+    on = F.col(id_col).eqNullSafe(F.col("__li_id")) & (F.col("__li_own") == F.col("__li_hash"))
+    out = docs.withColumn("__li_own", F.xxhash64(text_col)).join(changed.hint("merge"), on, "left").filter(F.coalesce("__li_keep", F.lit(True)))
+    return out.withColumn(lang_col, F.coalesce("__li_lang", lang_col)).select(*docs.columns)

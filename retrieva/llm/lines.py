@@ -108,7 +108,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later repeated runs of lines; adds n_lines and n_removed (null text: 0 and 0)."""
     runs = materialize(repeated_runs(docs, id_col, text_col, min_words).select(
-        F.col("doc.id").alias("_i"), F.col("doc.th").alias("_h"), "runs"), "line-runs").withColumnRenamed("runs", "_runs")
+        F.col("doc.id").alias("__ld_id"), F.col("doc.th").alias("__ld_hash"), "runs"), "line-runs").withColumnRenamed("runs", "__ld_runs")
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
     def without(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
@@ -125,7 +125,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(("\n".join(x for x, k in zip(lines, keep, strict=True) if k), int((~keep).sum())))
         return pd.DataFrame(out, columns=["text", "removed"])
 
-    on = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h"))
-    cut = docs.withColumn("_k", F.xxhash64(text_col)).join(runs.hint("merge"), on, "left").withColumn("_cut", without(text_col, "_runs.first", "_runs.last"))
+    on = F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_own") == F.col("__ld_hash"))
+    cut = docs.withColumn("__ld_own", F.xxhash64(text_col)).join(runs.hint("merge"), on, "left").withColumn("__ld_cut", without(text_col, "__ld_runs.first", "__ld_runs.last"))
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
-    return cut.withColumn("n_lines", lines).withColumn("n_removed", F.col("_cut.removed")).withColumn(text_col, F.col("_cut.text")).drop("_i", "_h", "_k", "_runs", "_cut")
+    return cut.withColumn("n_lines", lines).withColumn("n_removed", F.col("__ld_cut.removed")).withColumn(text_col, F.col("__ld_cut.text")).drop("__ld_id", "__ld_hash", "__ld_own", "__ld_runs", "__ld_cut")

@@ -85,28 +85,31 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     p = p.withColumn("passes", whole).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
     below = thresholds(sized.select("source", "size", "hash"), p.select("source", "budget"))
     return materialize(p.join(below.select(F.col("source").alias("_b"), "below"), F.col("source").eqNullSafe(F.col("_b")), "left")
-                       .select(F.col("source").alias("_s"), "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below")), "mix-plan")
+                       .select(F.col("source").alias("__mx_s"), "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below")), "mix-plan")
 
 
 def times(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with _times (0, 1, 2, ...), source_size and target: one join to the few rows of the plan, documents don't move."""
-    out = docs.join(broadcast_if_small(planned), F.col(source_col).eqNullSafe(F.col("_s")))
-    again = F.when(id_hash(id_col) < F.col("below"), 1).otherwise(0)
-    return out.withColumn("_times", F.col("passes") + again).drop("_s", "passes", "below")
+    """``docs`` with __mx_times (0, 1, 2, ...): one join to the few rows of the plan, documents don't move.
+
+    Rows of ``planned`` may bring more columns along (they must not be in ``docs``)."""
+    p = planned.withColumnsRenamed({"passes": "__mx_passes", "below": "__mx_below"})
+    out = docs.join(broadcast_if_small(p), F.col(source_col).eqNullSafe(F.col("__mx_s")))
+    again = F.when(id_hash(id_col) < F.col("__mx_below"), 1).otherwise(0)
+    return out.withColumn("__mx_times", F.col("__mx_passes") + again).drop("__mx_s", "__mx_passes", "__mx_below")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs(doc_id, source, text) -> (doc_id, size, source_size, target, taken): how many words the mix takes of each document."""
     sized = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), id_hash("doc_id").alias("hash")), "mix-sized")
     out = times(sized, plan(sized, weights, share, most))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("_times") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("__mx_times") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: rows of ``docs`` (doc_id, source, text and any more columns), each as often as it is taken."""
     sized = materialize(docs.select("source", n_words("text").alias("size"), id_hash("doc_id").alias("hash")), "mix-sized")
-    columns = docs.columns
-    return times(docs, plan(sized, weights, share, most)).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*columns)
+    planned = plan(sized, weights, share, most).drop("source_size", "target")
+    return times(docs, planned).withColumn("__mx_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mx_times").cast("int")))).select(*docs.columns)
 
 
 #: DuckDB: the same targets and thresholds by running sums over all documents in hash order.

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from retrieva.session import materialize, ship_package
 
-from .common import broadcast_if_small, shuffle_partitions, small_batches
+from .common import shuffle_partitions, small_batches
 from .graph import components
 
 #: Contract of op1, also used by the pipeline.
@@ -220,13 +220,13 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
 
     Rows in a component without any id stay, as nothing tells them apart.
     """
-    found = materialize(found.select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_t"), F.coalesce(~F.col(id_col).eqNullSafe(F.col("component_id")) & F.col(
-        "component_id").isNotNull(), F.lit(False)).alias("_gone")), "simhash-found")
-    gone = materialize(found.filter("_gone").select("_i", "_t").distinct(), "simhash-gone")
-    out = docs.withColumn("_h", F.xxhash64(text_col)).join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left_anti")
-    if not found.filter("NOT _gone").groupBy("_i", "_t").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "_h"])
-    return out.drop("_h")
+    found = materialize(found.select(F.col(id_col).alias("__sh_id"), F.col("text_hash").alias("__sh_hash"), F.coalesce(~F.col(id_col).eqNullSafe(F.col("component_id")) & F.col(
+        "component_id").isNotNull(), F.lit(False)).alias("__sh_gone")), "simhash-found")
+    gone = materialize(found.filter("__sh_gone").select("__sh_id", "__sh_hash").distinct(), "simhash-gone")
+    out = docs.withColumn("__sh_own", F.xxhash64(text_col)).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__sh_id")) & (F.col("__sh_own") == F.col("__sh_hash")), "left_anti")
+    if not found.filter("NOT __sh_gone").groupBy("__sh_id", "__sh_hash").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__sh_own"])
+    return out.drop("__sh_own")
 
 
 def hex16(fp: Column) -> Column:

@@ -69,18 +69,18 @@ def kept_branches(rows: DataFrame, support: int = SUPPORT, z: float = Z) -> Data
 
 def templates(pages: DataFrame, levels: int = LEVELS, support: int = SUPPORT, z: float = Z) -> DataFrame:
     """pages(host, path, good, ...) with ``template`` added. good: 1, 0 or null (no label)."""
-    rows = pages.withColumn("segs", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("node", F.col("host"))
+    rows = pages.withColumn("__ut_segs", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("__ut_node", F.col("host"))
     for level in range(levels):
-        rows = materialize(rows.withColumn("seg", F.get("segs", F.lit(level))), "url-level")
-        counted = rows.select("node", "seg", F.lit(1).alias("n"), F.col("good").isNotNull().cast("long").alias("labelled"),
+        rows = materialize(rows.withColumn("__ut_seg", F.get("__ut_segs", F.lit(level))), "url-level")
+        counted = rows.select(F.col("__ut_node").alias("node"), F.col("__ut_seg").alias("seg"), F.lit(1).alias("n"), F.col("good").isNotNull().cast("long").alias("labelled"),
                               F.coalesce(1 - F.col("good"), F.lit(0)).alias("bad"))
         kept = materialize(kept_branches(counted, support, z), "url-branches").select(
-            F.col("node").alias("_n"), F.col("seg").alias("_s"), F.lit(True).alias("kept"))
-        rows = rows.join(broadcast_if_small(kept), (F.col("node") == F.col("_n")) & (F.col("seg") == F.col("_s")), "left")
-        step = F.when(F.col("seg").isNull(), "").when(F.col("kept"), F.concat(F.lit("/"), F.col("seg"))).otherwise("/*")
-        rows = rows.withColumn("node", F.concat("node", step)).drop("_n", "_s", "kept", "seg")
-    deeper = F.when(F.size("segs") > levels, "/**").otherwise("")
-    return rows.withColumn("template", F.concat("node", deeper)).drop("segs", "node")
+            F.col("node").alias("__ut_n"), F.col("seg").alias("__ut_s"), F.lit(True).alias("__ut_kept"))
+        rows = rows.join(broadcast_if_small(kept), (F.col("__ut_node") == F.col("__ut_n")) & (F.col("__ut_seg") == F.col("__ut_s")), "left")
+        step = F.when(F.col("__ut_seg").isNull(), "").when(F.col("__ut_kept"), F.concat(F.lit("/"), F.col("__ut_seg"))).otherwise("/*")
+        rows = rows.withColumn("__ut_node", F.concat("__ut_node", step)).drop("__ut_n", "__ut_s", "__ut_kept", "__ut_seg")
+    deeper = F.when(F.size("__ut_segs") > levels, "/**").otherwise("")
+    return rows.withColumn("template", F.concat("__ut_node", deeper)).drop("__ut_segs", "__ut_node")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, levels: int = LEVELS, support: int = SUPPORT,
@@ -93,8 +93,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, levels:
     by_host = sums.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("fine").alias("hf"))
     scored = sums.join(by_host, "host")
     host_good = (F.col("hf") + strength * all_good) / (F.col("hl") + strength)
-    scored = materialize(scored.select(F.col("template").alias("_t"), ((F.col("fine") + strength * host_good) / (F.col("labelled") + strength)).alias("purity")), "url-purity")
+    scored = materialize(scored.select(F.col("template").alias("__ut_t"), ((F.col("fine") + strength * host_good) / (F.col("labelled") + strength)).alias("purity")), "url-purity")
     rule = fitting_rule(F.col("host"), F.col("path"), rules)
-    out = t.join(broadcast_if_small(scored), F.col("template") == F.col("_t")).drop("_t").withColumn("_r", rule)
-    verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("purity") < purity, "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("_r.rule")).withColumn("verdict", verdict).drop("_r")
+    out = t.join(broadcast_if_small(scored), F.col("template") == F.col("__ut_t")).drop("__ut_t").withColumn("__ut_r", rule)
+    verdict = F.coalesce(F.col("__ut_r.verdict"), F.when(F.col("purity") < purity, "block").otherwise("allow"))
+    return out.withColumn("rule", F.col("__ut_r.rule")).withColumn("verdict", verdict).drop("__ut_r")

@@ -44,6 +44,6 @@ def test_chunked_texts_are_stitched_to_the_same_ids(spark):
 
 def test_long_texts_are_cut(spark):
     v = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    long = spark.createDataFrame([(0, "lorem ipsum " * 100), (1, "x" * 1200)], "_row long, _text string")
-    n = {r._row: r["count"] for r in bpe._pieces(long, v.pattern, 128, 40).groupBy("_row").count().collect()}
+    long = spark.createDataFrame([(0, "lorem ipsum " * 100), (1, "x" * 1200)], "__bpe_row long, __bpe_text string")
+    n = {r["__bpe_row"]: r["count"] for r in bpe._pieces(long, v.pattern, 128, 40).groupBy("__bpe_row").count().collect()}
     assert n == {0: 10, 1: 1}
