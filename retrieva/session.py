@@ -2,12 +2,14 @@
 
 The library never creates machine-local scratch space on a cluster: lineage is
 cut by writing to the folder named by ``spark.checkpoint.dir``. Only when that
-setting is absent (local tests, benches) do we pick a fresh ``/tmp`` folder.
+setting is absent and Spark runs in one process (tests) is a fresh ``/tmp`` folder set.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -77,15 +79,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (tokenising, scoring) all task slots.
 
-    A large input arrives in many file splits and is left alone; an input that
-    scans as fewer splits than the cluster has cores (one big row group) is
-    spread round-robin first."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the plan as is
-        return df
-    if splits < target:
+    A large input arrives in many file splits and is left alone. An input with
+    fewer splits than the cluster has cores is spread round-robin first, and so is one
+    of few files, whose splits may hold no row group of their own."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    if splits < target or (splits < 4 * target and len(df.inputFiles()) < target):
         return df.repartition(target)
     return df
 
@@ -112,4 +111,5 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
+    atexit.register(shutil.rmtree, os.path.dirname(zpath), ignore_errors=True)  # Spark serves it till the end
     _SHIPPED.add(sc.applicationId)
