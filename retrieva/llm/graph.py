@@ -14,8 +14,8 @@ from retrieva.session import materialize
 
 
 def _to_smallest(e: DataFrame) -> DataFrame:
-    """(u, v) with the smallest v of each u beside it."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    """(u, v) with the smallest v of each u beside it. The minima are written: the join then has plain shuffles, which Spark splits for a node with very many edges."""
+    least = materialize(e.groupBy("u").agg(F.min("v").alias("m")), "smallest")
     return e.join(least, "u")
 
 

@@ -9,8 +9,8 @@ the second part estimates the loss on clean documents from unlabelled ones. As i
 goes the other way instead (which is what keeps the model from overfitting the positives).
 
 Training rows are bounded samples by hash of the id: about MAX_POSITIVE confirmed and MAX_UNLABELLED unlabelled documents, from
-the rows outside the held-out fold only. Words are counted over the sample in Spark; the MAX_WORDS whose share differs most between
-positives and unlabelled are the features. Every whole document is scored.
+the rows outside the held-out fold only. Words are counted over the sample in Spark; the MAX_WORDS common ones whose share differs most
+between positives and unlabelled are the features. Every whole document is scored.
 
 Cases: null and empty texts have no words and get the score of the intercept; a null id can't be labelled, belongs to the held-out fold
 and is scored; repeated label rows count as toxic if one does; repeated rows each return a row; without positives the score is the prior
@@ -33,9 +33,11 @@ from retrieva.session import ship_package
 
 from .common import small_batches
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 5_000, 20_000, 400
+MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 5_000, 20_000, 200
+#: A feature is in this share of the positives or of the unlabelled sample at least, so that rare words, of copies above all, aren't learnt by heart.
+SUPPORT = 0.005
 FOLDS = 5
-EPOCHS, RATE, L2 = 300, 0.05, 1e-4
+EPOCHS, RATE, L2 = 300, 0.1, 1e-5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -88,7 +90,8 @@ def vocabulary(rows: DataFrame) -> list[str]:
     np_, nu = float(n["p"]), float(n["u"])
     share = (F.col("p") + F.col("u")) / (np_ + nu)
     z = (F.col("p") / np_ - F.col("u") / nu) / F.sqrt(share * (1 - share) * (1 / np_ + 1 / nu) + 1e-12)
-    top = counts.filter("word != '' AND p + u >= 3").orderBy(F.abs(z).desc(), "word").limit(MAX_WORDS)
+    common = F.greatest(F.col("p") / np_, F.col("u") / nu) >= SUPPORT
+    top = counts.filter((F.col("word") != "") & (F.col("p") + F.col("u") >= 3) & common).orderBy(F.abs(z).desc(), "word").limit(MAX_WORDS)
     return [r["word"] for r in top.collect()]
 
 
