@@ -232,3 +232,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     alone = vectors.filter("raw IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).withColumnRenamed("id", id_col)
+
+
+#: DuckDB: every pair, and the closure of the links. Where the forest misses a pair, the rows differ.
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+ok AS (SELECT * FROM u WHERE norm > 0 AND isfinite(norm)),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.vec_id <> y.vec_id WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= {LIMIT}),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.c),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN m ON m.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

@@ -58,7 +58,7 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(labelled_pages(spark, sf_dir))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,4 @@ QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_langua
            "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters,
            "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints}
 #: Where SQL can't express an operator, tests/llm holds its query against brute force.
-ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
+ORACLE = {"op6_embedding_dedup": forest.ORACLE_SQL, "op8_url_filters": urls.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}

@@ -98,3 +98,36 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, levels:
     out = t.join(broadcast_if_small(scored), F.col("template") == F.col("__ut_t")).drop("__ut_t").withColumn("__ut_r", rule)
     verdict = F.coalesce(F.col("__ut_r.verdict"), F.when(F.col("purity") < purity, "block").otherwise("allow"))
     return out.withColumn("rule", F.col("__ut_r.rule")).withColumn("verdict", verdict).drop("__ut_r")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of the registered query: the same levels, one by one."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    steps = [f"""a AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+g AS (SELECT doc_id, min(quality * (1 - toxic)) AS good FROM labels GROUP BY doc_id),
+r0 AS (SELECT page_id, host, path, good, host AS node, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM (
+  SELECT page_id, good, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{upper}', '{lower}'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM a LEFT JOIN g ON g.doc_id = try_cast(regexp_extract(url, '://[^?#]*?/([0-9]+)', 1) AS BIGINT)))"""]
+    for k in range(LEVELS):
+        steps.append(f"""c{k} AS (SELECT node, segs[{k + 1}] AS seg, count(*) AS n, count(good) AS l, coalesce(sum(1 - good), 0) AS b FROM r{k} WHERE len(segs) > {k} GROUP BY ALL),
+f{k} AS (SELECT node, count(*) AS kids, sum(l) AS al, sum(b) AS ab FROM c{k} GROUP BY node),
+s{k} AS (SELECT node, seg, kids, n, ab / nullif(al, 0) AS p, b / nullif(l, 0) - (ab - b) / nullif(al - l, 0) AS gap, 1 / nullif(l, 0) + 1 / nullif(al - l, 0) AS inv
+  FROM c{k} JOIN f{k} USING (node)),
+k{k} AS (SELECT node, seg FROM s{k} WHERE (kids = 1 AND NOT regexp_matches(seg, '^[0-9]'))
+  OR coalesce(n >= {SUPPORT} AND sqrt(p * (1 - p) * inv) > 0 AND abs(gap) >= {Z} * sqrt(p * (1 - p) * inv), false)),
+r{k + 1} AS (SELECT page_id, host, path, good, segs, r.node || CASE WHEN len(segs) <= {k} THEN '' WHEN k.seg IS NOT NULL THEN '/' || k.seg ELSE '/*' END AS node
+  FROM r{k} r LEFT JOIN k{k} k ON k.node = r.node AND k.seg = r.segs[{k + 1}])""")
+    cases = []
+    for verdict, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        name, slash, start = rule.partition("/")
+        cases.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{start}') THEN '{verdict} {rule}'")
+    return "WITH " + ",\n".join(steps) + f""",
+t AS (SELECT *, node || CASE WHEN len(segs) > {LEVELS} THEN '/**' ELSE '' END AS template FROM r{LEVELS}),
+ts AS (SELECT host, template, count(good) AS l, coalesce(sum(good), 0) AS f FROM t GROUP BY ALL),
+hs AS (SELECT host, sum(l) AS hl, sum(f) AS hf FROM ts GROUP BY host),
+al AS (SELECT (coalesce(sum(f), 0) + 1) / (coalesce(sum(l), 0) + 2) AS share FROM ts),
+pu AS (SELECT template, (f + {STRENGTH} * ((hf + {STRENGTH} * (SELECT share FROM al)) / (hl + {STRENGTH}))) / (l + {STRENGTH}) AS purity FROM ts JOIN hs USING (host)),
+j AS (SELECT page_id, host, path, template, purity, CASE {' '.join(cases)} END AS fit FROM t JOIN pu USING (template))
+SELECT page_id, host, path, split_part(fit, ' ', 2) AS rule, coalesce(split_part(fit, ' ', 1), CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+       template, round(purity, 6) AS purity FROM j"""
