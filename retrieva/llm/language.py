@@ -4,7 +4,7 @@ For each language L the posterior is proportional to
 
     P(text | L) * P(declared | L) * P(markup | L) * P(address suffix | L) * P(L | host).
 
-* Text: hashed character trigrams, whose counts by declared language come from all documents. Trigrams of a text aren't
+* Text: hashed character trigrams, whose counts by declared language come from all documents, with an even share of noise. Trigrams of a text aren't
   independent, so the log-likelihood counts as at most EFFECTIVE trigrams' worth. A class ``und`` with evenly spread
   trigrams stands for what is no language.
 * Declared language, markup language and address suffix: each is right with a known reliability, else any other.
@@ -36,6 +36,8 @@ UNKNOWN = "und"
 #: Buckets of hashed trigrams: the model has (languages x buckets) numbers, half a MB here.
 BUCKETS = 1 << 14
 EFFECTIVE, MIN_CONFIDENCE, UNKNOWN_PRIOR = 60, 0.5, 0.01
+#: Share of a text's trigrams that belong to no language (keys, names, numbers with letters), so that a few don't outweigh the rest.
+NOISE = 0.1
 #: Reliability of each kind of declaration.
 RELIABLE = {"declared": 0.9, "markup": 0.9, "suffix": 0.7}
 #: Strength of the priors of domain and of all documents.
@@ -72,7 +74,7 @@ def train(docs: DataFrame, text_col: str = "text", declared_col: str = "lang") -
     counts = np.zeros((len(LANGUAGES), BUCKETS))
     counts[rows["at"], rows["bucket"]] = rows["n"]
     smooth = counts + 0.5 * (counts.sum(0) + 1) / (counts.sum() + BUCKETS) * BUCKETS
-    logp = np.log(smooth / smooth.sum(1, keepdims=True))
+    logp = np.log((1 - NOISE) * smooth / smooth.sum(1, keepdims=True) + NOISE / BUCKETS)
     return np.vstack([logp, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
 
 

@@ -14,7 +14,7 @@ def brute(docs, evidence):
         if lang in langs and text:
             np.add.at(counts[langs.index(lang)], language.trigrams(text), 1)
     smooth = counts + 0.5 * (counts.sum(0) + 1) / (counts.sum() + language.BUCKETS) * language.BUCKETS
-    logp = np.vstack([np.log(smooth / smooth.sum(1, keepdims=True)), np.full(language.BUCKETS, -np.log(language.BUCKETS))]).astype(np.float32)
+    logp = np.vstack([np.log((1 - language.NOISE) * smooth / smooth.sum(1, keepdims=True) + language.NOISE / language.BUCKETS), np.full(language.BUCKETS, -np.log(language.BUCKETS))]).astype(np.float32)
     rows = []
     for i, text, lang, source in docs:
         t = language.trigrams(text) if text else []
