@@ -30,6 +30,9 @@ from ..functions.text import add_ngrams, remove_stop_words, retrieval_tokens, wh
 from ..session import ship_package, spread
 from .topk import ranked_score, top_k
 
+MAX_SENT_TERMS = 500_000  # vocabulary sent to the tasks, some tens of MB
+
+
 def analyze(df: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS,
             ngram_range=(1, 3)) -> DataFrame:
     """T4 -> T2 -> T5: one row per (id, term occurrence)."""
@@ -49,16 +52,8 @@ def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "c
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def build_vocab(tf: DataFrame, n_docs: int, max_features: int | None = 10000) -> DataFrame:
-    """A2 + A3: document frequency, corpus count, smooth idf; cap by corpus count
-    (ties: term ascending)."""
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("ctf"))
-    if max_features is not None:
-        stats = stats.orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
-    return with_idf(stats, n_docs)
-
-
 def with_idf(stats: DataFrame, n_docs: int) -> DataFrame:
+    """A2: smooth inverse document frequency."""
     return stats.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
@@ -140,23 +135,24 @@ def build_tfidf_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """A5: inverted index of L2-normalised tf-idf weights (A4).
 
     Pass 1 counts terms and caps the vocabulary; pass 2 reads the documents again and weighs, inside each
-    document's row, the terms that are in the vocabulary: no occurrence and no document is shuffled. Without a cap
-    (``max_features=None``) the vocabulary has no bound, and the weights come from shuffle joins instead.
+    document's row, the terms that are in the vocabulary: no occurrence and no document is shuffled. A vocabulary of
+    more than MAX_SENT_TERMS terms, counted, isn't sent to the tasks: the same weights then come from shuffle joins.
 
     ``materialize_to`` is a callable (df, name) -> df that writes a table to
     shared storage and returns the re-read table.
     """
     ship_package(docs.sparkSession)
-    keep = materialize_to or (lambda df, _: df)
+    keep = materialize_to or (lambda df, _: df)  # the caller's choice; without it the vocabulary is counted anew
     n_docs = docs.count()
     kept = _kept_tokens(docs, id_col, text_col, stop_words)
+    stats = corpus_counts(kept, ngram_range)
     if max_features is not None:
-        stats = corpus_counts(kept, ngram_range).orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
-        vocab = keep(with_idf(stats, n_docs), "vocab")
+        stats = stats.orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
+    vocab = keep(with_idf(stats, n_docs), "vocab")
+    if vocab.count() <= MAX_SENT_TERMS:
         postings = keep(weighted_postings(kept, vocab, id_col, ngram_range), "postings")
     else:
         tf = keep(term_frequencies(docs, id_col, text_col, stop_words, ngram_range), "tf")
-        vocab = keep(build_vocab(tf, n_docs, None), "vocab")
         w = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
         norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         postings = keep(w.join(norms, id_col).select("term", F.col(id_col).alias("doc_id"), (F.col("w") / F.col("norm")).alias("score")), "postings")

@@ -44,6 +44,14 @@ def test_tfidf_matches_hand_computation(spark):
     assert not any(k[0] == 8 for k in hits)
 
 
+def test_a_vocabulary_too_large_to_send_gives_the_same_weights(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"alpha{i % 3} beta gamma{i} beta") for i in range(20)], "doc_id long, content string")
+    one = {(r.term, r.doc_id): r.score for r in sparse.build_tfidf_index(df, max_features=30).postings.collect()}
+    monkeypatch.setattr(sparse, "MAX_SENT_TERMS", 5)
+    two = {(r.term, r.doc_id): r.score for r in sparse.build_tfidf_index(df, max_features=30).postings.collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one) and len(one) > 60
+
+
 def test_vocabulary_cap_ties_by_term(spark):
     df = spark.createDataFrame([(1, "bb aa cc"), (2, "aa bb")], "doc_id long, content string")
     ix = sparse.build_tfidf_index(df, max_features=2, ngram_range=(1, 1))
