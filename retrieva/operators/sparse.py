@@ -222,8 +222,8 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "c
                     .groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
     if materialize_to is not None:
         postings = materialize_to(postings, "bm25_postings")
-    row = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tok")).alias("avgdl")).first()
-    n_docs, avgdl = int(row["n"]), float(row["avgdl"] or 0.0)
+    n_docs = docs.count()
+    avgdl = float(postings.agg(F.sum("tf")).first()[0] or 0) / max(n_docs, 1)  # every token is in one posting
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw_idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.agg(F.avg("raw_idf")).first()[0] or 0.0

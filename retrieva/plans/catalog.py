@@ -361,9 +361,10 @@ def p10_fallback_text(spark, sf_dir):
 
 
 @query("p6_drop_blank_rows", f"""WITH {S.TABLE_ROWS}
-SELECT doc_id, page_no, row_no FROM urows""")
+SELECT doc_id, page_no, row_no, array_to_string(list_transform(cells, lambda c: coalesce(c, 'NaN')), '|') AS cells FROM urows""")
 def p6_drop_blank_rows(spark, sf_dir):
-    return TB.drop_blank_rows(B.table_rows(spark, sf_dir)).select("doc_id", "page_no", "row_no")
+    rows = TB.drop_blank_rows(B.table_rows(spark, sf_dir))
+    return rows.select("doc_id", "page_no", "row_no", F.array_join("cells", "|", "NaN").alias("cells"))
 
 
 @query("a16_keep_tables", f"""WITH {S.TABLE_ROWS}
@@ -502,14 +503,16 @@ def w7_context_prompt(spark, sf_dir):
                     F.length("context").cast("bigint").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
+# Model, system message and limits of the chat request, as SQL text.
 @query("t15_chat_request", f"""WITH {HYB3}, {CTX1}
 SELECT query_id, 'mistralai/Mistral-7B-Instruct-v0.1' AS model, 'You are a helpful assistant for academic research.' AS system,
-       md5(prompt) AS user_md5, CAST(512 AS BIGINT) AS max_tokens FROM pr""")
+       md5(prompt) AS user_md5, CAST(0.7 AS DOUBLE) AS temperature, CAST(512 AS BIGINT) AS max_tokens FROM pr""")
 def t15_chat_request(spark, sf_dir):
     r = CX.with_request(_contexts_v1(spark, sf_dir))
     return r.select("query_id", F.get_json_object("request", "$.model").alias("model"),
                     F.get_json_object("request", "$.messages[0].content").alias("system"),
                     F.md5(F.get_json_object("request", "$.messages[1].content")).alias("user_md5"),
+                    F.get_json_object("request", "$.temperature").cast("double").alias("temperature"),
                     F.get_json_object("request", "$.max_tokens").cast("bigint").alias("max_tokens"))
 
 
