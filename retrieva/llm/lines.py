@@ -1,15 +1,15 @@
 """Line deduplication by winnowing over line hashes.
 
 Every line of a text (outer white space aside) has a hash. From each line on, the window is the fewest lines that hold
-MIN_WORDS words; its smallest hash, the rightmost of equal ones, is its fingerprint. Two runs of equal lines with
-MIN_WORDS words or more contain a window in common, which picks the same line in both: the guarantee of winnowing, whatever
-the lengths of the lines.
+MIN_WORDS words, and up to each line, the fewest that hold them before it; the smallest hash of a window, the rightmost of
+equal ones, is its fingerprint. Two runs of equal lines with MIN_WORDS words or more contain a window in common, which picks the
+same line in both: the guarantee of winnowing, whatever the lengths of the lines.
 
 Fingerprints chosen at one position only, in all texts, can't match and are dropped first. Windows with the others are
 joined, by their content, to the *first* place (id, then line) that holds it: each later window has one partner, so a passage in very many
-documents costs one row for each, not a pair for each two. A match is extended both ways while the lines before and after agree;
-a window carries the hashes of those lines for as far as another window doesn't take over. The runs matched are deleted
-from the later document, and the first place stays.
+documents costs one row for each, not a pair for each two. Every window with an earlier place is deleted. That is every line of every run
+of MIN_WORDS words or more that any earlier place holds: the windows from the run's lines on that end within it reach to a
+last line, and the window up to the run's end starts at or before the last of them. So no run is followed beyond its windows.
 
 Cases: null text stays null; a run that overlaps its own first place in one text is no repeat of it; rows equal in id and
 text are one document and are cut alike; a null id sorts first; texts shorter than MIN_WORDS words have no windows and stay; an
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +32,11 @@ from .common import small_batches
 
 MIN_WORDS = 50
 
-_WINDOWS = "start int, n int, picked int, fp long, content long, before array<long>, after array<long>, fresh boolean"
+_WINDOWS = "start int, n int, picked int, fp long, content long, fresh boolean"
 
 
 def windows_of(text: str, min_words: int = MIN_WORDS) -> list[tuple]:
-    """(start, lines, picked line, its hash, hash of all lines, hashes before, nearest first, hashes after, first pick of that line)."""
+    """(start, lines, picked line, its hash, hash of all lines, first pick of that line) of each window, from a line on or up to a line."""
     import xxhash
 
     lines = text.split("\n")
@@ -44,34 +44,22 @@ def windows_of(text: str, min_words: int = MIN_WORDS) -> list[tuple]:
     if sum(words) < min_words:
         return []
     h = np.array([xxhash.xxh64_intdigest(x.strip().encode("utf-8", "surrogatepass")) for x in lines], dtype=np.uint64).view(np.int64)
-    listed, out, end, held, last = h.tolist(), [], 0, 0, -1
-    # reach[i]: first line not in the context of MIN_WORDS words from i on; a line without words counts as one
-    weight = np.maximum(1, words)
-    total = np.concatenate(([0], np.cumsum(weight)))
-    for start in range(len(lines)):
-        while end < len(lines) and held < min_words:
-            held += words[end]
-            end += 1
-        if held < min_words:
-            break
+    total = np.concatenate(([0], np.cumsum(words)))
+    at = np.arange(len(lines))
+    # the first end with min_words from a start on, the last start with min_words up to an end
+    ends = np.searchsorted(total, total[:-1] + min_words, side="left")
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    spans = set(zip(at[ends <= len(lines)].tolist(), ends[ends <= len(lines)].tolist(), strict=True))
+    spans.update(zip(starts[starts >= 0].tolist(), (at + 1)[starts >= 0].tolist(), strict=True))
+    out, seen = [], set()
+    for start, end in sorted(spans):
         some = h[start:end]
         picked = end - 1 - int(np.argmin(some[::-1]))
-        back = int(np.searchsorted(total, total[start] - min_words, side="right")) - 1
-        ahead = int(np.searchsorted(total, total[end] + min_words, side="left"))
-        out.append((start, end - start, picked, listed[picked], xxhash.xxh64_intdigest(some.tobytes()) - (1 << 63),
-                    listed[max(0, back):start][::-1], listed[end:min(ahead, len(lines))], picked != last))
-        last = picked
-        held -= words[start]
+        out.append((start, end - start, picked, int(h[picked]), xxhash.xxh64_intdigest(some.tobytes()) - (1 << 63), picked not in seen))
+        seen.add(picked)
     return out
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """Number of leading elements that two arrays share."""
-    same = F.zip_with(F.col(a), F.col(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, False)
-    return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
-
-
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, runs): for each document with repeats, the spans (first line, last line) to delete. doc is a struct of id and text hash."""
     ship_package(docs.sparkSession)
@@ -93,15 +81,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Spark splits a hot fingerprint or window, at every size
     again = materialize(w.filter("fresh").groupBy("fp").count().filter("count > 1").select("fp"), "line-again")
     w = materialize(w.join(again.hint("merge"), "fp", "left_semi"), "line-candidates")
-    shared = materialize(w.groupBy("content").count().filter("count > 1").select("content"), "line-shared")
-    hits = materialize(w.join(shared.hint("merge"), "content", "left_semi"), "line-hits")
-    first = hits.groupBy("content").agg(F.min(F.struct("place", "n", "before", "after")).alias("first"))
-    m = hits.join(materialize(first, "line-first").hint("merge"), "content").select("place", "n", "before", "after", F.col("first.place").alias("fplace"), F.col("first.n").alias("fn"),
-                                           F.col("first.before").alias("fbefore"), F.col("first.after").alias("fafter"))
+    first = w.groupBy("content").agg(F.min(F.struct("place", "n")).alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
+    m = w.join(materialize(first, "line-first").hint("merge"), "content").select("place", "n", F.col("first.place").alias("fplace"), F.col("first.n").alias("fn"))
     one_text = F.col("place.id").eqNullSafe(F.col("fplace.id")) & (F.col("place.th") == F.col("fplace.th"))
     m = m.filter((F.col("n") == F.col("fn")) & ~(one_text & (F.col("place.start") - F.col("fplace.start") < F.col("n"))))
-    span = F.struct((F.col("place.start") - _agreeing("before", "fbefore")).cast("int").alias("first"),
-                    (F.col("place.start") + F.col("n") - 1 + _agreeing("after", "fafter")).cast("int").alias("last"))
+    span = F.struct(F.col("place.start").alias("first"), (F.col("place.start") + F.col("n") - 1).cast("int").alias("last"))
     return m.groupBy(F.struct(F.col("place.id").alias("id"), F.col("place.th").alias("th")).alias("doc")).agg(F.collect_set(span).alias("runs"))
 
 
