@@ -1,13 +1,19 @@
-"""Embedding near-duplicates by a forest of random-projection trees.
+"""Embedding near-duplicates by centres of dense groups, exactly, and a forest of random-projection trees for the rest.
 
-Equal vectors are one class. Every tree splits the classes recursively at the median of their projections on a random direction
+Equal vectors are one class. Centres are the means of the balls of a bounded sample that hold DENSE others or more. A class within the
+limit of a centre is a core of its nearest centre, and it is compared, in blocks, with all classes that could link with it: by
+the triangle inequality those within twice the limit's angle of the centre, less those farther than one such angle behind the plane between
+the centre and their own nearest. So a core has all its links, however large its group is, and no group is halved by its own noise.
+
+The other classes, with no centre near, go into the forest. Every tree splits them recursively at the median of their projections on a random direction
 (one direction for a tree and level); the classes near the median, SPILL of them, go down both sides. Within a leaf all cosines are
 computed and those of at least the limit are links, verified in double precision. A pair that meets in several leaves counts in
 the smallest-numbered one that both have, which each class's list of leaves tells, so links are counted without sending
 pairs around: a leaf returns a number for each class and the edges of a spanning forest. Components are then joined.
 
 The upper levels' medians are fitted on a bounded sample (SAMPLE classes by hash) and all classes are routed through them in one
-pass. Leaves that are still too large are split further, level by level, with medians from grouped quantiles; if a leaf can't be split, it is
+pass. Leaves that are still too large are split further, level by level, with medians from grouped quantiles, unless a quarter or
+more of the pairs among some of their classes are links (a group the first sample was too thin for). A leaf that can't or shouldn't be split is
 compared in blocks, so that no task gets more than two blocks.
 
 Cases: a vector that is null, empty, zero or has null or non-finite components links with nothing; only vectors of one length
@@ -36,6 +42,8 @@ TREES, LEAF, SPILL, SEED = 12, 192, 0.12, 7
 SAMPLE, NODE_SAMPLE = 1 << 14, 32
 #: A leaf above this is split further; rows of a block of a leaf that can't be.
 LARGE, BLOCK, MORE_LEVELS = 1024, 1024, 40
+#: Links of a sampled class that make its ball a centre; rows looked at, and share of linked pairs, that keep a large leaf whole.
+DENSE, LOOKED_AT, WHOLE = 8, 64, 0.25
 _TREE = 48  # a leaf's number: tree, then the path from the root with a leading 1
 
 
@@ -69,6 +77,43 @@ def as_bytes(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         pack, "id string, raw binary").withColumn("id", F.col("id").cast(kind))
 
 
+def dense_centres(x: np.ndarray, limit: float, dense: int = DENSE) -> np.ndarray:
+    """Unit means of balls of ``x`` in which a vector has ``dense`` links or more, largest first; no ball counts what an earlier one holds."""
+    step, free, centres = 1024, np.ones(len(x), bool), []
+    degree = np.concatenate([np.zeros(0, np.int64), *((x[i:i + step] @ x.T >= limit).sum(1) - 1 for i in range(0, len(x), step))])
+    while len(x) and degree.max() >= dense:
+        i = int(degree.argmax())
+        centre = x[i]
+        for _ in range(2):
+            mean = x[free & (x @ centre >= limit)].sum(0)
+            centre = mean / np.sqrt(mean @ mean)
+        inside = free & (x @ centre >= limit)
+        if inside.sum() > dense:
+            centres.append(centre)
+        else:  # the mean has moved off: the class itself is the centre
+            centres.append(x[i])
+            inside = free & (x @ x[i] >= limit)
+        inside[i] = True
+        free &= ~inside
+        held = np.flatnonzero(inside)
+        for j in range(0, len(held), step):
+            degree -= (x @ x[held[j:j + step]].T >= limit).sum(1)
+        degree[~free] = 0
+    return np.array(centres).reshape(-1, x.shape[1])
+
+
+def near_centres(x: np.ndarray, centres: np.ndarray, gaps: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre if x is a core of it, else -1; for each row and centre, whether the row could link with a core of it)."""
+    angle, slack = np.arccos(np.clip(limit, -1, 1)), 1e-6
+    p = x @ centres.T
+    home, rows = p.argmax(1), np.arange(len(x))
+    most = p[rows, home]
+    reach = p >= np.cos(min(2 * angle, np.pi)) - slack
+    if angle < np.pi / 2:
+        reach &= most[:, None] - p <= np.sin(angle) * gaps[home] + slack
+    return np.where(most >= limit, home, -1), reach
+
+
 class Forest:
     """Directions and, for each tree and level, the limits of every node's overlap."""
 
@@ -106,8 +151,8 @@ class Forest:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
-def _split_large(placed: DataFrame, classes: DataFrame, large: int, spill: float) -> DataFrame:
-    """Split leaves above ``large`` further: placed(k, leaf). Medians are quantiles grouped by leaf."""
+def _split_large(placed: DataFrame, classes: DataFrame, large: int, spill: float, limit: float) -> DataFrame:
+    """Split leaves above ``large`` further, but for those full of links: placed(k, leaf). Medians are quantiles grouped by leaf."""
     code = (1 << _TREE) - 1
 
     @F.pandas_udf("double")
@@ -118,12 +163,23 @@ def _split_large(placed: DataFrame, classes: DataFrame, large: int, spill: float
             out.append(float(u @ direction(n >> _TREE, (n & code).bit_length() - 1, len(u))))
         return pd.Series(out, dtype="float64")
 
+    def linked_share(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack([unit(r) for r in pdf["raw"]])
+        links = (x @ x.T >= limit).sum() - len(x)
+        return pd.DataFrame({"leaf": [int(key[0])] if links >= WHOLE * len(x) * max(1, len(x) - 1) else []}, dtype="int64")
+
+    whole = None
     for _ in range(MORE_LEVELS):
         sizes = placed.groupBy("leaf").count()
-        over = materialize(sizes.filter((F.col("count") > large) & (F.col("leaf").bitwiseAND(F.lit(code)) < 1 << (_TREE - 2))).select("leaf"), "forest-over")
+        over = sizes.filter((F.col("count") > large) & (F.col("leaf").bitwiseAND(F.lit(code)) < 1 << (_TREE - 2)))
+        over = materialize(over if whole is None else over.join(whole, "leaf", "left_anti"), "forest-over")
         if over.isEmpty():
             break
-        over = broadcast_if_small(over)
+        some = placed.join(broadcast_if_small(over), "leaf").filter(F.pmod(F.xxhash64("k", "leaf"), F.col("count")) < LOOKED_AT)
+        some = some.join(classes.select("k", "raw"), "k").groupBy("leaf", F.octet_length("raw").alias("size"))
+        full = some.applyInPandas(linked_share, "leaf long").distinct()
+        whole = materialize(full if whole is None else whole.unionByName(full), "forest-whole")
+        over = broadcast_if_small(materialize(over.join(whole, "leaf", "left_anti").select("leaf"), "forest-to-split"))
         p = placed.join(over, "leaf").join(classes.select("k", "raw"), "k").select("k", "leaf", projection("raw", "leaf").alias("p"))
         p = materialize(p, "forest-projections")
         q = p.groupBy("leaf").agg(F.percentile_approx("p", F.array(F.lit(0.5 - spill / 2), F.lit(0.5 + spill / 2)), F.lit(1000)).alias("q"),
@@ -175,6 +231,32 @@ def _compare(limit: float):
     return of
 
 
+def _compare_cores(limit: float):
+    """Links of a block of a centre's cores with a block of the classes in its reach; a class that is a core elsewhere counts them there."""
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf["as_core"].to_numpy(bool)
+        c, m = pdf[mine], pdf[~mine]
+        if not len(c) or not len(m):
+            return pd.DataFrame({"k": [], "links": [], "to": []}, dtype="int64")
+        kc, km = c["k"].to_numpy(np.int64), m["k"].to_numpy(np.int64)
+        linked = np.vstack([unit(r) for r in c["raw"]]) @ np.vstack([unit(r) for r in m["raw"]]).T >= limit
+        linked &= kc[:, None] != km[None, :]
+        counts_c = linked @ m["n"].to_numpy(np.int64)
+        counts_m = np.where(m["home"].to_numpy(np.int64) < 0, c["n"].to_numpy(np.int64) @ linked, 0)
+        lc, lm, none = kc, km, np.iinfo(np.int64).max
+        while True:
+            to_c = np.minimum(lc, np.where(linked, lm[None, :], none).min(1))
+            to_m = np.minimum(lm, np.where(linked, to_c[:, None], none).min(0))
+            if (to_c == lc).all() and (to_m == lm).all():
+                break
+            lc, lm = to_c, to_m
+        k, links, to = np.concatenate((kc, km)), np.concatenate((counts_c, counts_m)), np.concatenate((lc, lm))
+        out = (links > 0) | (to != k)
+        return pd.DataFrame({"k": k[out], "links": links[out], "to": to[out]})
+
+    return of
+
+
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = LIMIT, trees: int = TREES,
                     leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE, large: int = LARGE, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
@@ -185,13 +267,51 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = materialize(vectors.filter("raw IS NOT NULL").groupBy("raw").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "forest-distinct")
     classes = materialize(classes.withColumn("k", F.monotonically_increasing_id()), "forest-classes")  # numbered once, then read
     tally = {r["dim"]: r["n"] for r in classes.groupBy((F.octet_length("raw") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    forests = {}
-    for dim, n in tally.items():  # one forest for each length of vector
+    samples, centres = {}, {}
+    for dim, n in tally.items():
         part = classes.filter(F.octet_length("raw") == 8 * dim)
         chosen = part.filter(F.pmod(F.xxhash64(F.lit(SEED), "raw"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)))
-        x = np.array([unit(r["raw"]) for r in chosen.select("raw").collect()]).reshape(-1, dim)  # about ``sample`` rows
+        samples[dim] = np.array([unit(r["raw"]) for r in chosen.select("raw").collect()]).reshape(-1, dim)  # about ``sample`` rows
+        found = dense_centres(samples[dim], limit)
+        if len(found):
+            between = np.sqrt(np.maximum(0, 2 - 2 * found @ found.T))
+            centres[dim] = (found, between)
+            samples[dim] = samples[dim][(samples[dim] @ found.T).max(1) < limit]
+    near = spark.sparkContext.broadcast(centres)
+
+    def gather(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            homes, reached = np.full(len(pdf), -1, np.int64), [[] for _ in range(len(pdf))]
+            dims = pdf["raw"].map(len).to_numpy() // 8
+            for dim in np.unique(dims):
+                if dim in near.value:
+                    at = np.flatnonzero(dims == dim)
+                    homes[at], reach = near_centres(np.vstack([unit(r) for r in pdf["raw"].iloc[at]]), *near.value[dim], limit)
+                    for i, part in zip(at, reach, strict=True):
+                        reached[i] = np.flatnonzero(part)
+            yield pd.DataFrame({"k": pdf["k"], "n": pdf["n"], "raw": pdf["raw"], "home": homes, "reached": reached})
+
+    rest, compared = classes, []
+    if centres:
+        gathered = materialize(classes.select("k", "n", "raw").mapInPandas(gather, "k long, n long, raw binary, home long, reached array<long>"), "forest-gathered")
+        rest = gathered.filter("home < 0").select("k", "n", "raw")
+        tally |= {dim: 0 for dim in tally} | {r["dim"]: r["n"] for r in rest.groupBy((F.octet_length("raw") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        dim = (F.octet_length("raw") / 8).cast("int").alias("dim")
+        reach = gathered.select("k", "n", "raw", "home", dim, F.explode("reached").alias("centre"))
+        wide = 2 * block  # cores and others are compared as a rectangle
+        counted = reach.groupBy("dim", "centre").agg(F.ceil(F.count_if(F.col("home") == F.col("centre")) / wide).cast("int").alias("ours"), F.ceil(F.count(F.lit(1)) / wide).cast("int").alias("theirs"))
+        counted = materialize(counted.filter("ours > 0"), "forest-cores")
+        reach = reach.join(broadcast_if_small(counted), ["dim", "centre"])
+        hashed = F.xxhash64("k")
+        as_other = reach.select("*", F.lit(False).alias("as_core"), F.pmod(hashed, F.col("theirs")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("ours") - 1)).alias("a"))
+        as_core = reach.filter("home = centre").select("*", F.lit(True).alias("as_core"), F.pmod(hashed, F.col("ours")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("b"))
+        pairs = as_other.unionByName(as_core).groupBy("dim", "centre", "a", "b")
+        compared = [materialize(pairs.applyInPandas(_compare_cores(limit), "k long, links long, to long"), "forest-core-links")]
+    forests = {}
+    for dim, n in tally.items():  # one forest for each length of vector
+        x = samples[dim]
         deepest = max(0, int(np.log2(max(1, len(x)) / NODE_SAMPLE)))
-        forests[dim] = Forest(x, min(deepest, max(0, int(np.ceil(np.log2(n / leaf))))), trees, spill)
+        forests[dim] = Forest(x, min(deepest, max(0, int(np.ceil(np.log2(max(1, n) / leaf))))), trees, spill)
     sent = spark.sparkContext.broadcast(forests)
 
     def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,10 +326,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     leaves[i] = part
             yield pd.DataFrame({"k": pdf["k"], "n": pdf["n"], "raw": pdf["raw"], "leaves": leaves})
 
-    placed = materialize(classes.select("k", "n", "raw").mapInPandas(place, "k long, n long, raw binary, leaves array<long>"), "forest-leaves")
+    placed = materialize(rest.select("k", "n", "raw").mapInPandas(place, "k long, n long, raw binary, leaves array<long>"), "forest-leaves")
     each = placed.select("k", F.explode("leaves").alias("leaf"))
     if not each.groupBy("leaf").count().filter(F.col("count") > large).isEmpty():
-        deeper = _split_large(each, classes, large, spill)
+        deeper = _split_large(each, classes, large, spill, limit)
         leaves = deeper.groupBy("k").agg(F.collect_set("leaf").alias("leaves"))
         placed = materialize(placed.drop("leaves").join(leaves, "k"), "forest-leaves")
     # vectors of different lengths never share a leaf: the length is part of the group
@@ -221,6 +341,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     one = one.withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
     found = materialize(one.groupBy("leaf", "a", "b", "dim").applyInPandas(
         lambda key, pdf: _compare(limit)(key[:3], pdf), "k long, links long, to long"), "forest-links")
+    for more in compared:
+        found = found.unionByName(more)
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     merged = components(found.select(F.col("k").alias("a"), F.col("to").alias("b")), "forest-components")
     named = classes.join(merged.select(F.col("node").alias("k"), "component"), "k", "left").join(links, "k", "left").select(
