@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, language, lines, mixing, sharding, simhash, toxicity, urls, winnow
+from . import bpe, chat, forest, language, lines, mixing, sharding, simhash, spelling, toxicity, urls, winnow
 from .common import table
 
 
@@ -71,8 +71,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     winnow.digest("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the control strings themselves."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    c = c.unionByName(spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], c.schema))
+    template = chat.Template(chat.INSTRUCT, chat.CONTROLS)
+    head, _, tail, _ = template.by_turn()
+    turns = chat.read_back(chat.format_conversations(c, template))
+    return chat.conversation_digests(turns, len(head) + len(tail))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.worn_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_language_id": op3_language_id, "op4_line_dedup": op4_line_dedup,
            "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters,
-           "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints}
+           "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints, "op11_chat": op11_chat, "op12_spelling": op12_spelling}
 #: Where SQL can't express an operator, tests/llm holds its query against brute force.
 ORACLE = {"op6_embedding_dedup": forest.ORACLE_SQL, "op8_url_filters": urls.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
