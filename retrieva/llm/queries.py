@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, forest, language, lines, mixing, sharding, simhash, spelling, toxicity, urls, winnow
+from . import bpe, chat, forest, language, lines, mixing, periodic, sharding, simhash, spelling, toxicity, urls, winnow
 from .common import table
 
 
@@ -86,8 +86,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.worn_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_language_id": op3_language_id, "op4_line_dedup": op4_line_dedup,
            "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters,
-           "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints, "op11_chat": op11_chat, "op12_spelling": op12_spelling}
+           "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints, "op11_chat": op11_chat, "op12_spelling": op12_spelling, "op13_periodic": op13_periodic}
 #: Where SQL can't express an operator, tests/llm holds its query against brute force.
 ORACLE = {"op6_embedding_dedup": forest.ORACLE_SQL, "op8_url_filters": urls.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
