@@ -70,7 +70,7 @@ def retrieval_tokens(text) -> Column:
     Splitting on runs of non-word characters and keeping pieces of length >= 2
     yields exactly the maximal word runs of length >= 2, about twice as fast
     as extracting regex matches."""
-    pieces = F.split(F.lower(col(text)), r"[^\p{L}\p{N}_]+")
+    pieces = F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"[^\p{L}\p{N}_]+")
     return F.filter(pieces, lambda x: F.length(x) >= 2)
 
 

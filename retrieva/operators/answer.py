@@ -12,7 +12,10 @@ concurrent tasks times that; ``max_requests_per_minute`` derives both.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import retrieval_tokens
-from ..session import ship_package
+from ..session import materialize, shared_fs, ship_package
 
 ERROR_ANSWER = "[ERROR]"
 
@@ -74,6 +77,19 @@ def extractive_generator(prompt_text: str) -> str:
     return " " + body.strip("\n")
 
 
+def _ask(generator: Callable[[str], str], prompt: str, retries: int, retry_wait: float, failure: str) -> tuple[str, int, bool]:
+    """(answer, attempts, failed for good) of one prompt."""
+    n = 0
+    while True:
+        n += 1
+        try:
+            return generator(prompt), n, False
+        except Exception:  # noqa: BLE001 - any generator failure is retried
+            if n > retries:
+                return failure, n, True
+            time.sleep(retry_wait)
+
+
 def generate(df: DataFrame, generator: Callable[[str], str] = extractive_generator,
              prompt_col: str = "prompt", keep: list[str] | None = None, retries: int = 1,
              retry_wait: float = 2.0, spacing: float = 0.0, failure: str = ERROR_ANSWER,
@@ -102,17 +118,7 @@ def generate(df: DataFrame, generator: Callable[[str], str] = extractive_generat
         for pdf in it:
             answers, attempts, errors = [], [], []
             for p in pdf[prompt_col].tolist():
-                ans, n, err = None, 0, False
-                while True:
-                    n += 1
-                    try:
-                        ans = generator(p)
-                        break
-                    except Exception:  # noqa: BLE001 - any generator failure is retried
-                        if n > retries:
-                            ans, err = failure, True
-                            break
-                        time.sleep(retry_wait)
+                ans, n, err = _ask(generator, p, retries, retry_wait, failure)
                 answers.append(ans)
                 attempts.append(n)
                 errors.append(err)
@@ -125,3 +131,92 @@ def generate(df: DataFrame, generator: Callable[[str], str] = extractive_generat
             yield out
 
     return src.mapInPandas(run, schema)
+
+
+# --- U2 with a ledger: no prompt is asked twice ------------------------------------------
+
+LEDGER = "key string, answer string, attempts int, error boolean"
+
+
+def prompt_key(prompt) -> F.Column:
+    """What the ledger knows a prompt by."""
+    return F.sha2(F.col(prompt).cast("binary"), 256)
+
+
+def read_ledger(spark, ledger: str) -> DataFrame:
+    """(key, answer, attempts, error), one row for each prompt asked so far: an answer goes before a failure, then the smallest text counts."""
+    fs, root = shared_fs(ledger)
+    fs.create_dir(root, recursive=True)
+    rows = spark.read.schema(LEDGER).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(ledger)
+    return rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("error", "answer", "attempts")).alias("b")).select("key", "b.answer", "b.attempts", "b.error")
+
+
+def generate_once(df: DataFrame, ledger: str, generator: Callable[[str], str] = extractive_generator, prompt_col: str = "prompt", keep: list[str] | None = None,
+                  retries: int = 1, retry_wait: float = 2.0, spacing: float = 0.0, failure: str = ERROR_ANSWER, partitions: int | None = None,
+                  flush: int = 1, ask_failures_again: bool = True) -> DataFrame:
+    """U2 with a ledger: (keep..., answer, attempts, error) for every prompt, each distinct prompt being asked once.
+
+    ``ledger`` is a lasting folder in shared storage. A task writes its answers there as they come, ``flush`` of them in a file, into the folder of its
+    share of the prompt keys. Before asking, it reads that folder: what an earlier attempt of the task (lost with its executor) or an
+    earlier run has answered isn't asked again; at most ``flush - 1`` answers are lost with a task. Prompts that the ledger holds when the job starts are
+    taken out by an anti-join. With ``ask_failures_again`` prompts that failed for good in an earlier run get another chance. Null prompts are
+    asked as the empty text. The result is read from the ledger, so using it twice asks nothing."""
+    spark = df.sparkSession
+    ship_package(spark)
+    keep = keep or [c for c in df.columns if c != prompt_col]
+    src = materialize(df.select(*keep, F.coalesce(prompt_col, F.lit("")).alias("__prompt")).withColumn("__key", prompt_key("__prompt")), "prompts")
+    old = read_ledger(spark, ledger)
+    done = materialize((old.filter("NOT error") if ask_failures_again else old).select(F.col("key").alias("__key")), "answered")
+    n = partitions or spark.sparkContext.defaultParallelism
+    run_id = uuid.uuid4().hex[:12]
+    open_ = src.select("__key", "__prompt").distinct().join(done, "__key", "left_anti")
+    # the share of a key is the same in every attempt of this run
+    shares = open_.withColumn("__share", F.pmod(F.xxhash64("__key"), F.lit(n)).cast("int")).repartitionById(n, F.col("__share")).sortWithinPartitions("__key")
+
+    def ask(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = shared_fs(ledger)
+        folder, known = None, set()
+
+        def write(rows: list[dict]) -> None:
+            text = "".join(json.dumps(r) + "\n" for r in rows)
+            name = f"{folder}/{hashlib.sha256(text.encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}"
+            with fs.open_output_stream(name + ".part") as f:  # a half-written file never has the name that readers look for
+                f.write(text.encode())
+            fs.move(name + ".part", name + ".jsonl")
+
+        asked = 0
+        for pdf in it:
+            rows = []
+            for key, prompt, share in zip(pdf["__key"], pdf["__prompt"], pdf["__share"], strict=True):
+                if folder is None:
+                    folder = f"{root}/run={run_id}/share={share}"
+                    fs.create_dir(folder, recursive=True)
+                    known = _keys_in(fs, folder)
+                if key in known:
+                    continue
+                answer, attempts, error = _ask(generator, prompt, retries, retry_wait, failure)
+                rows.append({"key": key, "answer": answer, "attempts": attempts, "error": error})
+                asked += 1
+                if len(rows) >= flush:
+                    write(rows)
+                    rows = []
+                if spacing:
+                    time.sleep(spacing)
+            if rows:
+                write(rows)
+        yield pd.DataFrame({"asked": [asked]})
+
+    materialize(shares.mapInPandas(ask, "asked long"), "asked")
+    answers = materialize(read_ledger(spark, ledger), "ledger").withColumnRenamed("key", "__k")
+    return src.join(answers, F.col("__key") == F.col("__k")).select(*keep, "answer", "attempts", "error")
+
+
+def _keys_in(fs, folder: str) -> set[str]:
+    """Keys answered in one share's folder."""
+    from pyarrow.fs import FileSelector
+    out = set()
+    for info in fs.get_file_info(FileSelector(folder, allow_not_found=True)):
+        if info.path.endswith(".jsonl"):
+            with fs.open_input_stream(info.path) as f:
+                out.update(json.loads(x)["key"] for x in f.read().decode().splitlines() if x)
+    return out

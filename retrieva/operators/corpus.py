@@ -62,10 +62,34 @@ def dedupe_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 .agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies")))
 
 
-def lemma_map(tokens: DataFrame, tok_col: str = "tok") -> DataFrame:
-    """Token -> lemma, for tokens that a noun rule rewrites to a corpus token (the lexicon).
-
-    Of several such rewrites the shortest wins, then the first in rule order ("women" -> "woman": as long, still its lemma)."""
+# Nouns whose plural no suffix rule finds (form, lemma).
+IRREGULAR_NOUNS = (("children", "child"), ("corpora", "corpus"), ("criteria", "criterion"), ("feet", "foot"), ("geese", "goose"), ("indices", "index"),
+                   ("lice", "louse"), ("matrices", "matrix"), ("mice", "mouse"), ("oxen", "ox"), ("people", "person"), ("phenomena", "phenomenon"),
+                   ("teeth", "tooth"), ("vertices", "vertex"))
+MAX_SENT_FORMS = 200_000  # rows of a lexicon that is broadcast, counted first; a larger one is joined by shuffle
+
+
+def irregular_nouns(spark) -> DataFrame:
+    """A small lexicon (form, lemma) to start from."""
+    return spark.createDataFrame(list(IRREGULAR_NOUNS), "form string, lemma string")
+
+
+def lemma_map(tokens: DataFrame, tok_col: str = "tok", lexicon: DataFrame | None = None) -> DataFrame:
+    """Token -> lemma, for tokens that a noun rule rewrites to a corpus token (the corpus lexicon).
+
+    Of several such rewrites the shortest wins, then the first in rule order ("women" -> "woman": as long, still its lemma).
+
+    ``lexicon`` (form, lemma) holds irregular forms and goes before the rules: a token that is a form there gets its lemma (of several the shortest,
+    then the first in code-point order), whether or not the corpus holds that lemma; a form that is its own lemma is kept from the rules. Rows with a null
+    in either column say nothing."""
+    if lexicon is not None:
+        known = lexicon.filter("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min(F.struct(F.length("lemma").alias("l"), "lemma")).alias("b"))
+        known = materialize(known.select(F.col("form").alias("tok"), F.col("b.lemma").alias("lemma")), "lexicon")
+        if known.limit(MAX_SENT_FORMS + 1).count() <= MAX_SENT_FORMS:
+            known = F.broadcast(known)
+        by_rule = lemma_map(tokens, tok_col).join(known.select("tok"), "tok", "left_anti")
+        seen = tokens.select(F.col(tok_col).alias("tok")).distinct()
+        return seen.join(known, "tok").filter("tok <> lemma").select("tok", "lemma").unionByName(by_rule)
     lex = tokens.select(F.col(tok_col).alias("tok")).distinct()
     cands = [F.when(F.col("tok").endswith(suf), F.struct(
         F.lit(i).alias("o"), F.concat(F.expr(f"substring(tok, 1, length(tok) - {len(suf)})"), F.lit(rep)).alias("c")))
@@ -86,20 +110,20 @@ def content_tokens(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLI
 
 
 def clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               stop_words=ENGLISH_STOP_WORDS, lemmatize: bool = True) -> DataFrame:
+               stop_words=ENGLISH_STOP_WORDS, lemmatize: bool = True, lexicon: DataFrame | None = None) -> DataFrame:
     """Tokens (T1 rule) -> drop stop words (J8) -> lemmas (T3) -> joined by spaces.
 
     Output (id, cleaned); a document without tokens gets ''. Occurrences stay in their document's row: only
-    distinct tokens of each document meet the lemmas, and the few that have one come back as a map.
-    Tokens with inner punctuation ("cat's") are dropped whole."""
+    distinct tokens of each document meet the lemmas, and the few that have one come back as a map. Rows that share an id (or have none) keep
+    their own texts; a lemma depends on the token alone, so they share a map. ``lexicon``: see ``lemma_map``. Tokens with inner punctuation ("cat's") are dropped whole."""
     toks = content_tokens(docs, id_col, text_col, stop_words)
     if not lemmatize:
         return toks.select(id_col, F.array_join("__toks", " ").alias("cleaned"))
     toks = materialize(toks, "clean-tokens")
     each = toks.select(id_col, F.explode(F.array_distinct("__toks")).alias("tok"))
-    found = each.join(lemma_map(each), "tok").groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("tok", "lemma"))).alias("__m"))
-    j = toks.join(found, id_col, "left")
+    found = each.join(lemma_map(each, lexicon=lexicon), "tok").groupBy(F.col(id_col).alias("__id")).agg(
+        F.map_from_entries(F.collect_set(F.struct("tok", "lemma"))).alias("__m"))
+    j = toks.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     return j.select(id_col, F.array_join(F.transform("__toks", lambda t: F.coalesce(F.col("__m")[t], t)), " ").alias("cleaned"))
 
 

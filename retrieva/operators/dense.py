@@ -185,6 +185,141 @@ def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     return top_k(cand, "query_id", [order, F.asc("doc_id")], k)
 
 
+# --- exact search over cells (V4 with a recall of 1), two-level cells (V2 beyond MAX_CELLS) ------------
+
+BOUNDS = ["cell_id", "centroid", "n", "radius", "least_norm", "most_norm", "least_cos"]
+
+
+def cell_bounds(assigned: DataFrame, centroids: DataFrame, vec: str = "dvec") -> DataFrame:
+    """Centroids with what bounds an inner product inside their cell: number of vectors, largest distance from the centroid, least and largest
+    norm, least cosine with the centroid (null centroid or vectors of norm 0: -1). Cells without vectors are left out."""
+    v = assigned.select("cell_id", F.col(vec).cast("array<double>").alias("v")).join(centroids.select("cell_id", F.col("centroid").cast("array<double>").alias("centroid")), "cell_id")
+
+    def total(a, b, f):
+        return F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda acc, x: acc + x)
+
+    v = v.withColumn("__d", F.sqrt(total("v", "centroid", lambda x, y: (x - y) * (x - y)))).withColumn("__n", F.sqrt(total("v", "v", lambda x, y: x * y))) \
+         .withColumn("__ip", total("v", "centroid", lambda x, y: x * y)).withColumn("__c", F.sqrt(total("centroid", "centroid", lambda x, y: x * y)))
+    cos = F.coalesce(F.col("__ip") / F.nullif(F.col("__n") * F.col("__c"), F.lit(0.0)), F.lit(-1.0))
+    stats = v.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.max("__d").alias("radius"), F.min("__n").alias("least_norm"), F.max("__n").alias("most_norm"), F.min(cos).alias("least_cos"))
+    return centroids.select("cell_id", F.col("centroid").cast("array<double>").alias("centroid")).join(stats, "cell_id").select(*BOUNDS)
+
+
+class _Bounds:
+    """Rows of ``cell_bounds`` as arrays (at most MAX_CELLS, checked)."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r["cell_id"])
+        self.ids = np.array([r["cell_id"] for r in rows], dtype=np.int32)
+        self.c = np.array([r["centroid"] for r in rows], dtype=np.float64)
+        self.n, self.radius, self.least, self.most, self.cos = (np.array([r[x] for r in rows], dtype=np.float64) for x in BOUNDS[2:])
+        self.norm = np.sqrt((self.c ** 2).sum(1))
+
+    def upper(self, q: np.ndarray) -> np.ndarray:
+        """No vector of a cell has a larger inner product with q: by the cell's radius, and by the angle between q and its centroid less the
+        widest angle in the cell."""
+        ip, size = self.c @ q, float(np.sqrt((q * q).sum()))
+        by_radius = ip + size * self.radius
+        scale = size * self.norm
+        angle = np.arccos(np.clip(np.divide(ip, scale, out=np.ones_like(ip), where=scale > 0), -1, 1)) - np.arccos(np.clip(self.cos, -1, 1))
+        best = np.cos(np.clip(angle, 0, np.pi))
+        by_angle = np.where(scale > 0, size * best * np.where(best > 0, self.most, self.least), size * self.most)
+        return np.minimum(by_radius, by_angle) + 1e-9 * (1 + size * self.most)
+
+
+def ivf_search_exact(queries: DataFrame, assigned: DataFrame, bounds: DataFrame, k: int = 5, qid: str = "query_id", did: str = "doc_id",
+                     qvec: str = "qvec", dvec: str = "dvec") -> tuple[DataFrame, DataFrame]:
+    """V4 with a recall of 1, by inner product: (hits as ``knn`` gives them, (query_id, cells, probed)).
+
+    Each query first probes its best cells, as many as hold k vectors. Their k-th score is a lower limit; of the other cells only those whose upper
+    bound reaches it can hold a better vector, and those are probed too. ``bounds`` (``cell_bounds``) goes to the tasks, its size is checked."""
+    spark = queries.sparkSession
+    ship_package(spark)
+    rows = bounds.select(*BOUNDS).limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells")
+    if not rows:
+        none = knn(queries, assigned.select(did, dvec).limit(0), k, qid=qid, did=did, qvec=qvec, dvec=dvec)
+        return none, queries.select(F.col(qid).alias("query_id"), F.lit(0).cast("long").alias("cells"), F.lit(0).cast("long").alias("probed"))
+    sent = spark.sparkContext.broadcast(_Bounds(rows))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest(qs: pd.Series) -> pd.Series:
+        b, out = sent.value, []
+        for q in qs:
+            order = np.argsort(-(b.c @ np.asarray(q, dtype=np.float64)), kind="stable")
+            out.append(b.ids[order[:int(np.searchsorted(np.cumsum(b.n[order]), k)) + 1]])
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def further(qs: pd.Series, limits: pd.Series, had: pd.Series) -> pd.Series:
+        b, out = sent.value, []
+        for q, limit, cells in zip(qs, limits, had, strict=True):
+            upper = b.upper(np.asarray(q, dtype=np.float64))
+            out.append(np.setdiff1d(b.ids[upper >= limit - 2e-6], np.asarray(cells, dtype=np.int32)))  # ranked by six decimals
+        return pd.Series(out, dtype=object)
+
+    def probe(q: DataFrame, cells: str) -> DataFrame:
+        each = materialize(q.select(qid, qvec, F.explode(cells).alias("cell_id")), "probes")
+        wanted = [r[0] for r in each.select("cell_id").distinct().collect()]  # at most MAX_CELLS numbers
+        near = assigned.select(did, dvec, "cell_id").filter(F.col("cell_id").isin(wanted) if wanted else F.lit(False))
+        return top_k(knn_candidates(each, near, k, qid=qid, did=did, qvec=qvec, dvec=dvec, cell="cell_id"), "query_id", [F.desc(ranked_score("score")), F.asc("doc_id")], k).drop("rank")
+
+    q = materialize(queries.select(qid, qvec).withColumn("__first", nearest(F.col(qvec))), "first-probes")
+    head = materialize(probe(q, "__first"), "first-hits")
+    limit = head.groupBy(F.col("query_id").alias("__q")).agg(F.count(F.lit(1)).alias("__n"), F.min("score").alias("__least"))
+    q = q.join(limit, F.col(qid) == F.col("__q"), "left")
+    least = F.when(F.col("__n") >= k, F.col("__least")).otherwise(F.lit(float("-inf")))
+    q = materialize(q.withColumn("__more", further(F.col(qvec), least, F.col("__first"))).drop("__q", "__n", "__least"), "further-probes")
+    hits = top_k(head.unionByName(probe(q, "__more")), "query_id", [F.desc(ranked_score("score")), F.asc("doc_id")], k)
+    return hits, q.select(F.col(qid).alias("query_id"), F.lit(len(rows)).cast("long").alias("cells"), (F.size("__first") + F.size("__more")).cast("long").alias("probed"))
+
+
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
+    """Centroids of at most k cells of a bounded sample."""
+    c = np.unique(x[rng.permutation(len(x))[:k]], axis=0)
+    for _ in range(rounds):
+        nearest = np.argmin((c * c).sum(1)[None, :] - 2 * x @ c.T, axis=1)
+        filled = np.unique(nearest)
+        c = np.stack([x[nearest == i].mean(0) for i in filled])
+    return c
+
+
+def train_two_level(vectors: DataFrame, coarse: int, fine: int, vec: str = "dvec", seed: int = 1, sample: int = 1 << 17, sample_per_cell: int = 1 << 13) -> tuple[DataFrame, DataFrame]:
+    """V2 without a limit on the number of cells: (coarse(cell_id, centroid), fine(cell_id, top_id, centroid)).
+
+    The coarse centroids (MAX_CELLS at most) are fitted on a random sample of about ``sample`` vectors; each coarse cell is then split into up to ``fine`` cells by a
+    task of its own, on about ``sample_per_cell`` of its vectors (documented bounds; every vector is assigned afterwards). Fine
+    centroids are made and stay on the executors: none of them is collected or broadcast."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    v = vectors.select(F.col(vec).cast("array<double>").alias("v"))
+    n = max(1, v.count())
+    some = v.filter(F.rand(seed) < F.lit(min(1.0, sample / n)))
+    top = materialize(train_centroids(some, coarse, "v", seed), "coarse-centroids")
+    at = _nearest_cells(v, top, 1, "v")
+    sizes = materialize(at.groupBy("cell_id").count(), "coarse-sizes")  # one row for each coarse cell
+    part = at.join(F.broadcast(sizes), "cell_id").filter(F.rand(seed + 1) < F.lit(float(sample_per_cell)) / F.col("count")).select("cell_id", "v")
+
+    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy())
+        c = _kmeans(x[np.lexsort(x.T[::-1])], fine, np.random.default_rng([seed, int(key[0])]))
+        return pd.DataFrame({"top_id": np.full(len(c), key[0], np.int32), "cell_id": int(key[0]) * fine + np.arange(len(c), dtype=np.int64), "centroid": list(c)})
+
+    return top, materialize(part.groupBy("cell_id").applyInPandas(split, "top_id int, cell_id long, centroid array<double>"), "fine-centroids")
+
+
+def assign_two_level(vectors: DataFrame, top: DataFrame, fine: DataFrame, id_col: str = "doc_id", vec: str = "dvec") -> DataFrame:
+    """(id, top_id, cell_id): the nearest fine cell inside the nearest coarse cell, by inner product (ties: lowest number). Vectors meet the fine centroids of
+    their coarse cell only, in blocks of bounded size. A coarse cell without fine ones keeps its vectors with a null cell_id."""
+    at = _nearest_cells(vectors.select(F.col(id_col).alias("query_id"), F.col(vec).alias("qvec")), top, 1, "qvec").withColumnRenamed("cell_id", "top_id")
+    at = materialize(at, "two-level-vectors")
+    docs = fine.select(F.col("cell_id").alias("doc_id"), F.col("centroid").alias("dvec"), "top_id")
+    best = top_k(knn_candidates(at, docs, 1, cell="top_id"), "query_id", [F.desc(ranked_score("score")), F.asc("doc_id")], 1)
+    best = best.select(F.col("query_id").alias("__id"), F.col("doc_id").alias("cell_id"))
+    return at.join(best, F.col("query_id") == F.col("__id"), "left").select(F.col("query_id").alias(id_col), "top_id", "cell_id")
+
+
 def to_similarity(hits: DataFrame, how: str = "neg") -> DataFrame:
     """Squared L2 distances as "higher is better" scores: ``neg`` (-d) or ``inverse`` (1 / (1 + d))."""
     if how not in ("neg", "inverse"):

@@ -7,13 +7,14 @@ Input: a pairs DataFrame with key columns, ``answer`` (hypothesis) and
   pair's row (Arrow batches); a single global aggregate then holds every sum.
 * E2 ROUGE-1/2 as sets: row-local ``array_intersect`` sizes, then ``avg``.
 * E3/E4 ROUGE-L: longest common subsequences need a dynamic program; an
-  Arrow-batched pandas UDF runs it (numpy row updates) per pair.
-* E5 greedy token-vector matching: token vectors joined by hash bucket, one
-  group per pair (bounded by the pair's text length) scored with numpy.
+  Arrow-batched pandas UDF runs it per pair, a whole row of the table as one integer.
+* E5 greedy token-vector matching: distinct tokens of each pair meet their vectors once, in blocks of bounded size;
+  blocks give partial maxima, which are joined by a grouped maximum.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -180,47 +181,75 @@ def rouge_n(df: DataFrame, keys: list[str], ns=(1, 2), exclusive: bool = True) -
 
 # --- E3/E4: ROUGE-L ------------------------------------------------------------------
 
+class _Masks(dict):
+    """Word -> integer whose bits are its places; only those of frequent words are kept, so that they take memory in proportion to the text."""
+
+    def __init__(self, words: list):
+        super().__init__()
+        self.places = {}
+        for i, w in enumerate(words):
+            self.places.setdefault(w, []).append(i)
+
+    def __missing__(self, word) -> int:
+        at = self.places.get(word, ())
+        mask = 0
+        for i in at:
+            mask |= 1 << i
+        if not at or len(at) > 16:
+            self[word] = mask
+        return mask
+
+
+def _next_row(row: int, mask: int, full: int) -> int:
+    """One row of the table of lengths from the row above, all cells at once: bit j is 0 where the length grows from column j to j + 1."""
+    both = row & mask
+    return (row + both | row - both) & full if both else row
+
+
 def _lcs_len(a: list, b: list) -> int:
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    # integer codes, then one numpy row update per element of the longer list
-    vocab = {w: i for i, w in enumerate(set(a) | set(b))}
-    x = np.fromiter((vocab[w] for w in a), dtype=np.int64, count=len(a))
-    y = np.fromiter((vocab[w] for w in b), dtype=np.int64, count=len(b))
-    if len(x) < len(y):
-        x, y = y, x
-    prev = np.zeros(len(y) + 1, dtype=np.int64)
-    for v in x:
-        cand = np.maximum(prev[1:], prev[:-1] + (y == v))
-        prev = np.concatenate(([0], np.maximum.accumulate(cand)))
-    return int(prev[-1])
+    """Length of the longest common subsequence, a row of the table being one integer (machine words of 30 cells a step)."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    masks, full = _Masks(b), (1 << len(b)) - 1
+    row = full
+    for w in a:
+        row = _next_row(row, masks[w], full)
+    return len(b) - row.bit_count()
 
 
 def _lcs_words(x: list, y: list) -> list:
     """Words of one LCS of x and y, traced back as the scoring package does
     (on a mismatch go up when the upper cell is strictly larger, else left).
 
-    Two rows hold the lengths; of the table only that comparison is kept, one
-    bit for each cell (20,000 x 20,000 words: 50 MB)."""
+    On a mismatch the cell is the larger of its two neighbours, and the left one is smaller exactly where the length grows into
+    the cell: one bit of the row decides. Every s-th row is kept (s = square root of the rows); the rows between two kept ones are made again
+    when the trace reaches them, so 2 s rows of bits are held at a time, not the table."""
     n, m = len(x), len(y)
-    codes = {w: i for i, w in enumerate(set(x) | set(y))}
-    yc = np.fromiter((codes[w] for w in y), dtype=np.int64, count=m)
-    prev, up = np.zeros(m + 1, dtype=np.int32), []
-    for w in x:
-        # row update: row[j] = max(row[j-1], prev[j], prev[j-1] + match)
-        row = np.concatenate(([0], np.maximum.accumulate(np.maximum(prev[1:], prev[:-1] + (yc == codes[w]))))).astype(np.int32)
-        up.append(np.packbits(prev[1:] > row[:-1]))
-        prev = row
-    out = []
-    i, j = n, m
+    masks, full = _Masks(y), (1 << m) - 1
+    step = max(1, math.isqrt(n))
+    kept, row = [], full
+    for i, w in enumerate(x):
+        if i % step == 0:
+            kept.append(row)
+        row = _next_row(row, masks[w], full)
+    out, i, j = [], n, m
+    rows, base = [], n + 1  # rows[i - base] is row i
     while i > 0 and j > 0:
         if x[i - 1] == y[j - 1]:
             out.append(x[i - 1])
             i, j = i - 1, j - 1
-        elif up[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1:
+            continue
+        if i < base:
+            base = (i - 1) // step * step + 1
+            row, rows = kept[(base - 1) // step], []
+            for w in x[base - 1:i]:
+                row = _next_row(row, masks[w], full)
+                rows.append(row)
+        here = rows[i - base]
+        if here >> (j - 1) & 1 == 0:
             i -= 1
-        else:
-            j -= 1
+        else:  # left to the next column where the length grows or the words match; both are found by bits
+            stop = (~here | masks[x[i - 1]]) & ((1 << j) - 1)
+            j = stop.bit_length()
     return out
 
 
@@ -284,43 +313,59 @@ def token_bucket(tok, n_vectors: int):
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(n_vectors))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    h = pdf[pdf["side"] == "h"]
-    r = pdf[pdf["side"] == "r"]
-    key = {c: pdf[c].iloc[0] for c in pdf.columns if c.startswith("k_")}
-    H = np.stack(h["v"].to_numpy()).astype(np.float64)
-    R = np.stack(r["v"].to_numpy()).astype(np.float64)
-    sim = H @ R.T
-    p = float(sim.max(axis=1).mean())
-    rr = float(sim.max(axis=0).mean())
-    f = 2 * p * rr / (p + rr) if (p + rr) != 0 else 0.0
-    return pd.DataFrame([{**key, "P": p, "R": rr, "F": f}])
+#: Distinct tokens of one side that a task compares at a time: a block pair's similarities are 32 MB.
+TOKEN_BLOCK = 2_048
+
+
+def _block_maxima(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Best similarity of each token with the other side's tokens of the block."""
+    h, r = pdf[pdf["side"] == "h"], pdf[pdf["side"] == "r"]
+    if not len(h) or not len(r):
+        return pdf.iloc[:0].drop(columns=["v", "hb", "rb"]).assign(m=pd.Series(dtype="float64"))
+    sim = np.stack(h["v"].to_numpy()).astype(np.float64) @ np.stack(r["v"].to_numpy()).astype(np.float64).T
+    best = pd.concat([h.assign(m=sim.max(axis=1)), r.assign(m=sim.max(axis=0))])
+    return best.drop(columns=["v", "hb", "rb"])
 
 
 def greedy_match_scores(df: DataFrame, keys: list[str], token_vectors: DataFrame,
-                        n_vectors: int) -> DataFrame:
+                        n_vectors: int, block: int = TOKEN_BLOCK) -> DataFrame:
     """E5 per pair: P = mean over answer tokens of the best cosine with a
-    reference token, R the other way, F = 2PR/(P+R).
+    reference token, R the other way, F = 2PR/(P+R). Rows that share all keys are one pair.
 
     token_vectors: (vec_id, embedding) unit vectors, ``n_vectors`` of them; the
     vector of a token is the one at position ``token_bucket`` when they are
     ordered by vec_id (from 0), whatever gaps the ids have. Fewer vectors than
-    ``n_vectors``, or one without values, is an error, not a lost token."""
+    ``n_vectors``, or one without values, is an error, not a lost token.
+
+    A token that occurs often in a text is one row with its count. The distinct tokens of a side are dealt into blocks of ``block``; a
+    task compares one block of the answer with one of the reference, so a pair of any length is scored in bounded memory."""
     ship_package(df.sparkSession)
     pairs = bleu_pairs(df).select(*keys, "answer", "reference")
-    toks = (pairs.select(*keys, F.lit("h").alias("side"), F.posexplode(eval_tokens("answer")).alias("pos", "tok"))
-            .unionByName(pairs.select(*keys, F.lit("r").alias("side"),
-                                      F.posexplode(eval_tokens("reference")).alias("pos", "tok"))))
-    ranked = rank_all(token_vectors.select("vec_id", F.col("embedding").alias("v"), F.lit(0).alias("__one")), "__one", [F.asc("vec_id")])
+    toks = (pairs.select(*keys, F.lit("h").alias("side"), F.explode(eval_tokens("answer")).alias("tok"))
+            .unionByName(pairs.select(*keys, F.lit("r").alias("side"), F.explode(eval_tokens("reference")).alias("tok"))))
+    toks = toks.select(*[F.col(k).alias(f"k_{k}") for k in keys], "side", "tok")
+    named = [f"k_{k}" for k in keys]
+    counted = materialize(toks.groupBy(*named, "side", "tok").agg(F.count(F.lit(1)).alias("c")), "pair-tokens")
+    sizes = counted.groupBy(*[F.col(k).alias(f"__{k}") for k in named]).agg(F.ceil(F.count_if(F.col("side") == "h") / block).cast("int").alias("__nh"),
+                                                                               F.ceil(F.count_if(F.col("side") == "r") / block).cast("int").alias("__nr"))
+    ranked = rank_all(token_vectors.select("vec_id", F.col("embedding").alias("v"), F.lit(0).alias("__o")), "__o", [F.asc("vec_id")])
     tv = ranked.select((F.col("rank") - 1).alias("__b"), "v")
-    tv_rows = toks.withColumn("__b", token_bucket("tok", n_vectors)).join(tv, "__b", "left")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in named]
+    rows = counted.join(sizes, on).withColumn("__b", token_bucket("tok", n_vectors)).join(tv, "__b", "left")
     missing = F.raise_error(F.concat(F.lit("no token vector at position "), F.col("__b").cast("string")))
-    tv_rows = tv_rows.withColumn("v", F.when(F.col("v").isNull(), missing.cast(tv.schema["v"].dataType)).otherwise(F.col("v")))
-    renamed = tv_rows.select(*[F.col(k).alias(f"k_{k}") for k in keys], "side", "pos", "v")
-    schema = T.StructType([T.StructField(f"k_{k}", df.schema[k].dataType) for k in keys]
-                          + [T.StructField(x, T.DoubleType()) for x in ("P", "R", "F")])
-    out = renamed.groupBy(*[f"k_{k}" for k in keys]).applyInPandas(_greedy, schema)
-    return out.select(*[F.col(f"k_{k}").alias(k) for k in keys], "P", "R", "F")
+    rows = rows.withColumn("v", F.when(F.col("v").isNull(), missing.cast(tv.schema["v"].dataType)).otherwise(F.col("v")))
+    own = F.pmod(F.xxhash64("tok"), F.when(F.col("side") == "h", F.col("__nh")).otherwise(F.col("__nr"))).cast("int")
+    others = F.sequence(F.lit(0), F.greatest(F.when(F.col("side") == "h", F.col("__nr")).otherwise(F.col("__nh")), F.lit(1)) - 1)
+    rows = rows.withColumn("__own", own).withColumn("__other", F.explode(others))
+    rows = rows.select(*named, "side", "tok", "c", "v", F.when(F.col("side") == "h", F.col("__own")).otherwise(F.col("__other")).alias("hb"),
+                       F.when(F.col("side") == "h", F.col("__other")).otherwise(F.col("__own")).alias("rb"))
+    out = T.StructType([f for f in rows.schema if f.name not in ("v", "hb", "rb")] + [T.StructField("m", T.DoubleType())])
+    part = rows.groupBy(*named, "hb", "rb").applyInPandas(_block_maxima, out)
+    best = part.groupBy(*named, "side", "tok", "c").agg(F.max("m").alias("m"))
+    mean = lambda side: F.sum(F.when(F.col("side") == side, F.col("m") * F.col("c"))) / F.sum(F.when(F.col("side") == side, F.col("c")))
+    scores = best.groupBy(*named).agg(mean("h").alias("P"), mean("r").alias("R"))
+    f = F.when(F.col("P") + F.col("R") != 0, 2 * F.col("P") * F.col("R") / (F.col("P") + F.col("R"))).otherwise(F.lit(0.0))
+    return scores.select(*[F.col(f"k_{k}").alias(k) for k in keys], "P", "R", f.alias("F"))
 
 
 def greedy_match(df: DataFrame, keys: list[str], token_vectors: DataFrame, n_vectors: int) -> DataFrame:
@@ -383,5 +428,8 @@ def _rouge_rows(pairs: DataFrame, keys: list[str], prf) -> DataFrame:
 
 def evaluate_answers(answers: DataFrame, references: DataFrame, on: str = "query", token_vectors: DataFrame | None = None,
                      n_vectors: int | None = None) -> DataFrame:
-    """The whole batch evaluation as one job: merge answers with references (J5), checks (P7-P9), metrics (E1-E5), report."""
-    return report(merge_answers(answers, references, on), [on], token_vectors, n_vectors)
+    """The whole batch evaluation as one job: merge answers with references (J5), checks (P7-P9), metrics (E1-E5), report.
+
+    A pair is a merged row: a question that is asked or answered more than once gives a pair for each of its rows."""
+    merged = materialize(merge_answers(answers, references, on).withColumn("__pair", F.monotonically_increasing_id()), "merged-answers")
+    return report(merged, ["__pair"], token_vectors, n_vectors)

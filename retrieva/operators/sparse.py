@@ -12,25 +12,31 @@ Plan notes for scale:
 * A1 as a table of its own is one ``groupBy(doc_id, term)`` with partial aggregation.
 * Query terms meet postings in an equi-join on ``term``; Spark's AQE chooses a
   broadcast of the query side from its measured size and splits skewed terms.
+* A saved index is cut into term ranges of bounded size (``TermRanges``); a search opens the ranges of its terms.
+* The BM25 top-n (W4) scores only the blocks of documents whose upper bound reaches the n-th score (``bm25_top_blocks``).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stopwords import ENGLISH_STOP_WORDS
 from ..functions.text import add_ngrams, remove_stop_words, retrieval_tokens, whitespace_tokens
-from ..session import ship_package, spread
+from ..session import materialize, ship_package, spread
 from .topk import ranked_score, top_k
 
 MAX_SENT_TERMS = 500_000  # vocabulary sent to the tasks, some tens of MB
+PART_ROWS = 1 << 22       # postings in one part of a saved index, at most (one term of one document is one)
+MAX_PARTS = 1 << 20       # parts of an index: their first terms are sent to the tasks
+BLOCK_DOCS = 64           # documents of like length that share an upper bound in the BM25 top-n
 
 
 def analyze(df: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS,
@@ -65,7 +71,76 @@ class TfidfIndex:
     max_features: int | None
     stop_words: tuple
     ngram_range: tuple
-    term_buckets: int | None = None  # set when postings carry ``term_bucket`` (a saved index)
+    ranges: TermRanges | None = None  # set when postings carry ``part`` (a saved index)
+
+
+@dataclass
+class TermRanges:
+    """Parts of a saved index in term order: range i starts at term ``first[i]`` and has the parts ``at[i]`` to ``at[i] + parts[i] - 1``. Only a
+    range of one frequent term has several, dealt by document."""
+    first: list[str]
+    parts: list[int]
+
+    def __post_init__(self):
+        self.at = [0]
+        for n in self.parts:
+            self.at.append(self.at[-1] + n)
+
+    def locate(self, term: str | None) -> tuple[int, int]:
+        """(first part, parts) of a term; (0, 0) before the first range."""
+        i = bisect_right(self.first, term) - 1 if term is not None else -1
+        return (self.at[i], self.parts[i]) if i >= 0 else (0, 0)
+
+    def column(self, term: Column) -> Column:
+        """``locate`` as a column struct<at, parts>."""
+        known = self
+
+        @F.pandas_udf("at int, parts int")
+        def where(terms: pd.Series) -> pd.DataFrame:
+            seen = {t: known.locate(t) for t in terms.unique()}
+            return pd.DataFrame([seen[t] for t in terms], columns=["at", "parts"])
+
+        return where(term)
+
+
+def term_ranges(stats: DataFrame, rows_per_part: int | None = None) -> TermRanges:
+    """Cut the terms of ``stats`` (term, df) into ranges of at most ``rows_per_part`` postings; a term with more gets a range and
+    parts of its own. The terms are range-partitioned and cut where they lie; one row for each range comes to the driver (MAX_PARTS, checked)."""
+    spark = stats.sparkSession
+    ship_package(spark)
+    if rows_per_part is None:  # small indexes still use every task slot
+        total = stats.agg(F.sum("df")).first()[0] or 0
+        rows_per_part = max(1 << 14, min(PART_ROWS, -(-total // spark.sparkContext.defaultParallelism)))
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # postings in the open range; None: the next term opens one
+        for pdf in it:
+            rows = []
+            for term, df in zip(pdf["term"], pdf["df"].tolist(), strict=True):
+                if df > rows_per_part:
+                    rows.append((term, -(-df // rows_per_part)))
+                    held = None
+                elif held is None or held + df > rows_per_part:
+                    rows.append((term, 1))
+                    held = df
+                else:
+                    held += df
+            yield pd.DataFrame(rows, columns=["first", "parts"])
+
+    ordered = stats.select("term", "df").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term").sortWithinPartitions("term")
+    rows = ordered.mapInPandas(cut, "first string, parts int").limit(MAX_PARTS + 1).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} parts: raise rows_per_part")
+    rows.sort(key=lambda r: r["first"])
+    return TermRanges([r["first"] for r in rows], [r["parts"] for r in rows])
+
+
+def in_parts(postings: DataFrame, ranges: TermRanges) -> DataFrame:
+    """``postings`` with ``part``, each part in a task of its own and sorted by term and document, ready to be written."""
+    w = postings.withColumn("__w", ranges.column(F.col("term")))
+    part = F.col("__w.at") + F.pmod(F.xxhash64("doc_id"), F.greatest(F.col("__w.parts"), F.lit(1))).cast("int")
+    w = w.withColumn("part", part).drop("__w")
+    return w.repartitionById(max(1, ranges.at[-1]), F.col("part")).sortWithinPartitions("part", "term", "doc_id")
 
 
 def _kept_tokens(docs: DataFrame, id_col: str, text_col: str, stop_words) -> DataFrame:
@@ -131,7 +206,7 @@ def weighted_postings(kept: DataFrame, vocab: DataFrame, id_col: str, ngram_rang
 
 def build_tfidf_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
                       max_features: int | None = 10000, stop_words=ENGLISH_STOP_WORDS,
-                      ngram_range=(1, 3), materialize_to=None) -> TfidfIndex:
+                      ngram_range=(1, 3), materialize_to=None, keep_postings: bool = True) -> TfidfIndex:
     """A5: inverted index of L2-normalised tf-idf weights (A4).
 
     Pass 1 counts terms and caps the vocabulary; pass 2 reads the documents again and weighs, inside each
@@ -139,7 +214,8 @@ def build_tfidf_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more than MAX_SENT_TERMS terms, counted, isn't sent to the tasks: the same weights then come from shuffle joins.
 
     ``materialize_to`` is a callable (df, name) -> df that writes a table to
-    shared storage and returns the re-read table.
+    shared storage and returns the re-read table. ``keep_postings=False`` leaves the postings unwritten, for a caller
+    who reads them once (``save_index`` writes them in their final layout).
     """
     ship_package(docs.sparkSession)
     keep = materialize_to or (lambda df, _: df)  # the caller's choice; without it the vocabulary is counted anew
@@ -150,12 +226,14 @@ def build_tfidf_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         stats = stats.orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
     vocab = keep(with_idf(stats, n_docs), "vocab")
     if vocab.count() <= MAX_SENT_TERMS:
-        postings = keep(weighted_postings(kept, vocab, id_col, ngram_range), "postings")
+        postings = weighted_postings(kept, vocab, id_col, ngram_range)
     else:
         tf = keep(term_frequencies(docs, id_col, text_col, stop_words, ngram_range), "tf")
         w = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
         norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        postings = keep(w.join(norms, id_col).select("term", F.col(id_col).alias("doc_id"), (F.col("w") / F.col("norm")).alias("score")), "postings")
+        postings = w.join(norms, id_col).select("term", F.col(id_col).alias("doc_id"), (F.col("w") / F.col("norm")).alias("score"))
+    if keep_postings:
+        postings = keep(postings, "postings")
     return TfidfIndex(vocab, postings, n_docs, max_features, tuple(stop_words or ()), tuple(ngram_range))
 
 
@@ -166,24 +244,23 @@ def query_terms(index: TfidfIndex, queries: DataFrame, qid_col: str = "query_id"
     return qt.join(index.vocab.select("term"), "term", "left_semi")
 
 
-def term_bucket(term, buckets: int):
-    """Folder number of a term in a saved index."""
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def pruned(postings: DataFrame, terms: DataFrame, buckets: int | None) -> DataFrame:
-    """Postings of a saved index, restricted to the folders that hold any of ``terms`` (at most ``buckets`` numbers are collected)."""
-    if not buckets:
+def pruned(postings: DataFrame, terms: DataFrame, ranges: TermRanges | None) -> DataFrame:
+    """Postings of a saved index, restricted to the parts that may hold any of ``terms``, which should be a written table (part numbers
+    are collected: at most as many as the index has parts)."""
+    if ranges is None:
         return postings
-    wanted = [r[0] for r in terms.select(term_bucket("term", buckets).alias("b")).distinct().collect()]
-    return postings.filter(F.col("term_bucket").isin(wanted) if wanted else F.lit(False)).drop("term_bucket")
+    w = terms.select("term").distinct().select(ranges.column(F.col("term")).alias("w")).filter("w.parts > 0")
+    wanted = [r[0] for r in w.select(F.explode(F.sequence(F.col("w.at"), F.col("w.at") + F.col("w.parts") - 1)).alias("p")).distinct().collect()]
+    return postings.filter(F.col("part").isin(wanted) if wanted else F.lit(False)).drop("part")
 
 
 def sparse_search(index: TfidfIndex, queries: DataFrame, qid_col: str = "query_id",
                   text_col: str = "text") -> DataFrame:
     """J1 + A6: score = sum of the document weights over the distinct query terms."""
     qt = query_terms(index, queries, qid_col, text_col)
-    return (qt.join(pruned(index.postings, qt, index.term_buckets), "term")
+    if index.ranges is not None:  # read twice: for the parts, and in the join
+        qt = materialize(qt, "query-terms")
+    return (qt.join(pruned(index.postings, qt, index.ranges), "term")
               .groupBy(F.col(qid_col).alias("query_id"), "doc_id")
               .agg(F.sum("score").alias("score")))
 
@@ -203,35 +280,82 @@ class Bm25Index:
     avgdl: float
     k1: float
     b: float
-    term_buckets: int | None = None
+    lengths: dict[int, int]  # documents of each length class
+    ranges: TermRanges | None = None
+    blocks: DataFrame | None = None  # (term, block, best): set in a saved index
+
+    def impact(self) -> Column:
+        """What one query token adds to the score of a posting joined with its idf."""
+        k1, b = self.k1, self.b
+        return F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.avgdl if self.avgdl else 1.0)))
+
+    def block(self, block_docs: int = BLOCK_DOCS) -> Column:
+        """Block number of a posting: about ``block_docs`` documents of one length class (short documents score alike), dealt by id."""
+        first, cases = 0, []
+        for c, n in sorted(self.lengths.items()):
+            k = max(1, -(-n // block_docs))
+            cases.append((c, first, k))
+            first += k
+        pick = F.create_map(*[F.lit(x) for c, at, k in cases for x in (c, (at << 32) | k)]) if cases else F.create_map(F.lit(0), F.lit(1 << 32))
+        x = pick[length_class(F.col("dl"))].cast("long")
+        return F.shiftright(x, 32) + F.pmod(F.xxhash64("doc_id"), x.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def length_class(dl: Column) -> Column:
+    """Documents whose lengths differ by a factor below 2 ** 0.25, 0 for those without words."""
+    return F.when(dl > 0, F.floor(F.log2(dl.cast("double")) * 4) + 1).otherwise(0).cast("int")
+
+
+def counted_postings(tokens: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, dl) of rows (doc_id, __kept), counted inside each document's row; nothing is shuffled."""
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", tokens.schema["doc_id"].dataType),
+                        T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for key, toks in zip(pdf["doc_id"], pdf["__kept"], strict=True):
+                rows += [(t, key, n, len(toks)) for t, n in Counter(toks).items()]
+                if len(rows) >= 100_000:  # long texts leave in pieces
+                    yield pd.DataFrame(rows, columns=["term", "doc_id", "tf", "dl"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["term", "doc_id", "tf", "dl"])
+
+    return tokens.select("doc_id", "__kept").mapInPandas(count, out)
 
 
 def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
                      k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25,
-                     materialize_to=None) -> Bm25Index:
+                     materialize_to=None, keep_postings: bool = True) -> Bm25Index:
     """BM25 statistics over whitespace tokens (T8, case-sensitive).
 
     idf = ln(N - df + 0.5) - ln(df + 0.5); a negative idf is replaced by
-    ``epsilon * mean(idf)`` (mean over all terms).
+    ``epsilon * mean(idf)`` (mean over all terms). Tokens are counted inside each document's row, once for the
+    statistics and once for the postings; only counts by term are shuffled.
     """
+    ship_package(docs.sparkSession)
+    keep = materialize_to or (lambda df, _: df)
     docs = spread(docs.select(id_col, text_col))
-    toks = docs.select(F.col(id_col).alias("doc_id"), whitespace_tokens(text_col).alias("tok"))
-    # the document length travels with each posting (computed in the document's
-    # own row), so scoring needs no join back to a per-document table
-    postings = (toks.select("doc_id", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
-                    .groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    if materialize_to is not None:
-        postings = materialize_to(postings, "bm25_postings")
-    n_docs = docs.count()
-    avgdl = float(postings.agg(F.sum("tf")).first()[0] or 0) / max(n_docs, 1)  # every token is in one posting
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw_idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean_idf = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
-    idf = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon * mean_idf))
-                     .otherwise(F.col("raw_idf")).alias("idf"))
-    if materialize_to is not None:
-        idf = materialize_to(idf, "bm25_idf")
-    return Bm25Index(postings, idf, n_docs, avgdl, k1, b)
+    toks = docs.select(F.col(id_col).alias("doc_id"), whitespace_tokens(text_col).alias("__kept"))
+    lengths = {r[0]: r[1] for r in toks.groupBy(length_class(F.size("__kept")).alias("c")).count().collect()}  # about 130 classes at most
+    n_docs = sum(lengths.values())
+    stats = keep(corpus_counts(toks, (1, 1)).withColumn("raw_idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "bm25_terms")
+    total, mean_idf = stats.agg(F.sum("ctf"), F.avg("raw_idf")).first()
+    idf = stats.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon * (mean_idf or 0.0))).otherwise(F.col("raw_idf")).alias("idf"))
+    # the document length travels with each posting, so scoring needs no join back to a per-document table
+    postings = counted_postings(toks)
+    return Bm25Index(keep(postings, "bm25_postings") if keep_postings else postings, idf, n_docs, float(total or 0) / max(n_docs, 1), k1, b, lengths)
+
+
+def block_bounds(index: Bm25Index, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(term, block, best): the largest impact of a term in each block of documents."""
+    p = index.postings.withColumn("block", index.block(block_docs)).join(index.idf.select("term", "idf"), "term")
+    return p.groupBy("term", "block").agg(F.max(index.impact()).alias("best"))
+
+
+def _query_tokens(queries: DataFrame, qid_col: str, text_col: str) -> DataFrame:
+    return (queries.select(F.col(qid_col).alias("query_id"), F.explode(whitespace_tokens(text_col)).alias("term"))
+                   .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
 def bm25_search(index: Bm25Index, queries: DataFrame, qid_col: str = "query_id",
@@ -240,13 +364,11 @@ def bm25_search(index: Bm25Index, queries: DataFrame, qid_col: str = "query_id",
     idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)).
 
     Only documents sharing a token with the query are scored (others score 0)."""
-    qtok = (queries.select(F.col(qid_col).alias("query_id"), F.explode(whitespace_tokens(text_col)).alias("term"))
-                   .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    k1, b, avgdl = index.k1, index.b, index.avgdl
-    j = qtok.join(index.idf, "term").join(pruned(index.postings, qtok, index.term_buckets), "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)))
-    return j.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("qtf")).alias("score"))
+    qtok = _query_tokens(queries, qid_col, text_col)
+    if index.ranges is not None:
+        qtok = materialize(qtok, "query-tokens")
+    j = qtok.join(index.idf, "term").join(pruned(index.postings, qtok, index.ranges), "term")
+    return j.groupBy("query_id", "doc_id").agg(F.sum(index.impact() * F.col("qtf")).alias("score"))
 
 
 def bm25_top(hits: DataFrame, k: int = 4, positive_only: bool = True) -> DataFrame:
@@ -255,3 +377,34 @@ def bm25_top(hits: DataFrame, k: int = 4, positive_only: bool = True) -> DataFra
     ``positive_only=False`` also ranks scores of zero and below (terms in more than half of the documents)."""
     return top_k(hits.filter(F.col("score") > 0) if positive_only else hits, "query_id",
                  [F.desc(ranked_score("score")), F.asc("doc_id")], k)
+
+
+def bm25_top_blocks(index: Bm25Index, queries: DataFrame, k: int = 4, first: int = 2, qid_col: str = "query_id", text_col: str = "text",
+                    block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
+    """W4 without scoring everything: (top-n as ``bm25_top`` gives it, (query_id, blocks, scored)).
+
+    A block's upper bound for a query is the sum of its terms' largest impacts there. The ``first`` blocks of highest bound are scored; if
+    they hold ``k`` positive scores, the k-th is a lower limit, and of the other blocks only those whose bound reaches it are scored.
+    No document of a skipped block can be among the first k, so the rows are the same as without bounds."""
+    qtok = materialize(_query_tokens(queries, qid_col, text_col), "query-tokens")
+    blocks = index.blocks if index.blocks is not None else block_bounds(index, block_docs)
+    # (query, term, block) that exist; the bound of a term that may count against a document is 0, as documents without it have none
+    cells = materialize(qtok.join(index.idf, "term").join(blocks, "term"), "query-blocks")
+    bounds = cells.groupBy("query_id", "block").agg(F.sum(F.col("qtf") * F.greatest("best", F.lit(0.0))).alias("bound"))
+    ranked = materialize(top_k(bounds, "query_id", [F.desc("bound"), F.asc("block")], None).select("query_id", "block", "bound", "rank"), "query-bounds")
+    postings = pruned(index.postings, qtok, index.ranges).withColumn("block", index.block(block_docs))
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        rows = cells.drop("best", "df").join(wanted.select("query_id", "block"), ["query_id", "block"], "left_semi")
+        return rows.join(postings, ["term", "block"]).groupBy("query_id", "doc_id").agg(F.sum(index.impact() * F.col("qtf")).alias("score"))
+
+    head = materialize(bm25_top(scored(ranked.filter(F.col("rank") <= first)), k), "first-blocks")
+    limit = head.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"), F.min("score").alias("__least"))
+    # scores are ranked by their first six decimals: a bound within them still counts
+    limit = limit.select("query_id", F.when(F.col("__n") >= k, F.col("__least") * (1 - 1e-9) - 2e-6).otherwise(0.0).alias("__limit"))
+    rest = materialize(ranked.filter(F.col("rank") > first).join(limit, "query_id", "left").filter(F.col("bound") >= F.coalesce("__limit", F.lit(0.0)))
+                       .select("query_id", "block"), "further-blocks")
+    top = bm25_top(head.drop("rank").unionByName(bm25_top(scored(rest), k).drop("rank")), k)
+    counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("rank") <= first).alias("__f"))
+    more = rest.groupBy("query_id").agg(F.count(F.lit(1)).alias("__m"))
+    return top, counts.join(more, "query_id", "left").select("query_id", "blocks", (F.col("__f") + F.coalesce("__m", F.lit(0))).alias("scored"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_not_blank, prefixed_content, title_of, word_count
+from ..operators.corpus import irregular_nouns
 from ..session import spread
 
 
@@ -51,9 +52,9 @@ def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(docs, "doc_id", "left_semi")
 
 
-def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question vectors: ``embeddings`` with vec_id = item_id."""
-    q = questions(spark, sf_dir).select("query_id")
+def query_vectors(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """Question vectors: ``embeddings`` with vec_id = item_id (or of the questions ``asked``)."""
+    q = (questions(spark, sf_dir) if asked is None else asked).select("query_id")
     e = embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return e.join(q, "query_id", "left_semi")
 
@@ -116,3 +117,12 @@ def fallback_texts(spark: SparkSession, sf_dir: str, prefix: str = "cust") -> Da
     p = table(spark, sf_dir, "pages").select("page_id", "html")
     return p.select(F.concat(F.lit(prefix), F.col("page_id").cast("string")).alias("doc_id"),
                     F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon rows (form, lemma): the irregular nouns, and pairs of neighbouring words of ``benchmark`` (the words are invented, so any
+    pair is as good a form and lemma as another; forms repeat, and some are their own lemma)."""
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    pairs = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(
+        F.transform(F.sequence(F.lit(2), F.greatest(F.size("w"), F.lit(2))), lambda i: F.struct(F.get("w", i - 2).alias("form"), F.get("w", i - 1).alias("lemma")))).alias("x"))
+    return pairs.select("x.form", "x.lemma").filter("form <> '' AND lemma <> ''").unionByName(irregular_nouns(spark))

@@ -43,8 +43,11 @@ _SAVED: dict = {}
 def _saved(kind: str, spark, sf_dir, build):
     """A saved index of the given input files, loaded from shared storage: written at first use in an
     application, so the searches below run on what ``load_index`` returns."""
-    files = tuple(sorted(B.table(spark, sf_dir, "documents").inputFiles() + B.table(spark, sf_dir, "embeddings").inputFiles()))
-    key = (kind, spark.sparkContext.applicationId, files)
+    files = []
+    for name in ("documents", "embeddings"):  # rewritten files are other files: their size and time count
+        m = B.table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        files += sorted(tuple(r) for r in m.collect())  # one row for each file
+    key = (kind, spark.sparkContext.applicationId, tuple(files))
     if key not in _SAVED:
         _SAVED[key] = scratch_path(spark, f"index-{kind}")
         io.save_index(_SAVED[key], build())
@@ -52,7 +55,7 @@ def _saved(kind: str, spark, sf_dir, build):
 
 
 def _build_tfidf(spark, sf_dir) -> sparse.TfidfIndex:
-    return sparse.build_tfidf_index(B.corpus(spark, sf_dir), "doc_id", "content", materialize_to=materialize)
+    return sparse.build_tfidf_index(B.corpus(spark, sf_dir), "doc_id", "content", materialize_to=materialize, keep_postings=False)
 
 
 def _tfidf(spark, sf_dir) -> sparse.TfidfIndex:
@@ -112,11 +115,11 @@ def w1_dense_topk(spark, sf_dir):
 
 # --- hybrid retrieval --------------------------------------------------------------
 
-def _hybrid(spark, sf_dir, k: int, alpha: float) -> DataFrame:
+def _hybrid(spark, sf_dir, k: int, alpha: float, questions: DataFrame | None = None) -> DataFrame:
     ix = _tfidf(spark, sf_dir)
-    qs = B.questions(spark, sf_dir)
+    qs = B.questions(spark, sf_dir) if questions is None else questions
     sp = sparse.sparse_search(ix, qs, "query_id", "text")
-    dn = dense.knn(B.query_vectors(spark, sf_dir), B.doc_vectors(spark, sf_dir), k=k)
+    dn = dense.knn(B.query_vectors(spark, sf_dir, qs), B.doc_vectors(spark, sf_dir), k=k)
     docs = B.corpus(spark, sf_dir).select("doc_id", "title", "source", "length")
     return hybrid.hybrid_top_k(dn, sp, k=k, alpha=alpha, docs=docs)
 
@@ -312,6 +315,15 @@ def t3_lemma_map(spark, sf_dir):
     return CO.lemma_map(t.select(F.explode(F.array_distinct("__toks")).alias("tok")))
 
 
+@query("t3_lexicon_lemmas", f"""WITH src AS (SELECT doc_id, text FROM documents), {S.cleaned('src')}, {S.LEXICON}
+SELECT lex.tok, coalesce(x.lemma, lem2.lemma) AS lemma FROM lex LEFT JOIN lexicon x ON x.form = lex.tok LEFT JOIN lem2 ON lem2.tok = lex.tok
+WHERE coalesce(x.lemma, lem2.lemma) IS NOT NULL AND coalesce(x.lemma <> lex.tok, true)""")
+def t3_lexicon_lemmas(spark, sf_dir):
+    """T3 with a lexicon of irregular forms, which go before the suffix rules."""
+    t = CO.content_tokens(B.documents(spark, sf_dir), "doc_id", "text")
+    return CO.lemma_map(t.select(F.explode(F.array_distinct("__toks")).alias("tok")), lexicon=B.lexicon(spark, sf_dir))
+
+
 PAGES_JOINED = """pj AS (SELECT conv_id AS doc_id,
   coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn), '') AS t_concat,
   coalesce(string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn), '') AS t_lines,
@@ -472,12 +484,12 @@ from ..operators import answer as AN  # noqa: E402
 from ..operators import context as CX  # noqa: E402
 
 
-def _contexts_v1(spark, sf_dir, k: int = 3, alpha: float = 0.5) -> DataFrame:
+def _contexts_v1(spark, sf_dir, k: int = 3, alpha: float = 0.5, questions: DataFrame | None = None) -> DataFrame:
     """W3 -> S7 -> W7 -> T14: (query_id, question, context, prompt); a question without hits has an empty context."""
-    hits = _hybrid(spark, sf_dir, k, alpha)
+    hits = _hybrid(spark, sf_dir, k, alpha, questions)
     src = B.documents(spark, sf_dir).select("doc_id", "text")
     ctx = CX.titled_context(CX.attach_sources(hits, src))
-    q = B.questions(spark, sf_dir).withColumnRenamed("text", "question")
+    q = (B.questions(spark, sf_dir) if questions is None else questions).withColumnRenamed("text", "question")
     return CX.with_prompt(_asked(q, ctx), "context", "question", variant=1)
 
 
@@ -523,15 +535,15 @@ ANSWERS = """SELECT query_id, question, ' ' || trim(context, chr(10)) AS answer,
 def u3_batch_answer(spark, sf_dir, spacing: float = 0.0):
     """Questions -> hybrid top-3 -> context -> prompt -> generator (stub). ``spacing``: seconds after each request."""
     p = _contexts_v1(spark, sf_dir)
-    return AN.generate(p.select("query_id", "question", "prompt"), AN.extractive_generator,
-                       keep=["query_id", "question"], spacing=spacing)
+    return AN.generate_once(p.select("query_id", "question", "prompt"), scratch_path(spark, "ledger"), AN.extractive_generator,
+                            keep=["query_id", "question"], spacing=spacing, flush=64)
 
 
 # --- answering, variant 2 ------------------------------------------------------------
 
 def _build_bm25(spark, sf_dir) -> sparse.Bm25Index:
     return sparse.build_bm25_index(CO.plain_corpus(B.documents(spark, sf_dir), "doc_id", "text"), "doc_id", "content",
-                                   materialize_to=materialize)
+                                   materialize_to=materialize, keep_postings=False)
 
 
 def _bm25(spark, sf_dir) -> sparse.Bm25Index:
@@ -555,6 +567,13 @@ def w4_bm25_topk(spark, sf_dir):
     return hits.select("query_id", "doc_id", r6("score"), "rank")
 
 
+@query("w4_bm25_blocks", f"WITH {S.BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm4")
+def w4_bm25_blocks(spark, sf_dir):
+    """W4 by upper bounds: the rows of ``w4_bm25_topk``; blocks of documents whose bound doesn't reach the fourth score are left unscored."""
+    hits, _ = sparse.bm25_top_blocks(_bm25(spark, sf_dir), B.questions(spark, sf_dir), 4)
+    return hits.select("query_id", "doc_id", r6("score"), "rank")
+
+
 def _doc_vectors_all(spark, sf_dir):
     docs = B.documents(spark, sf_dir).select("doc_id")
     e = B.embeddings(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dvec"))
@@ -618,8 +637,8 @@ def u4_prompt_v2(spark, sf_dir):
 def u4_batch_answer(spark, sf_dir, spacing: float = 0.0):
     """U4: dense L2 top-5 + BM25 top-4 -> fuse by content -> pack -> prompt -> generator (stub), which is asked once."""
     p = _contexts_v2(spark, sf_dir)
-    return AN.generate(p.select("query_id", "question", "prompt"), AN.extractive_generator,
-                       keep=["query_id", "question"], retries=0, failure="", spacing=spacing)
+    return AN.generate_once(p.select("query_id", "question", "prompt"), scratch_path(spark, "ledger"), AN.extractive_generator,
+                            keep=["query_id", "question"], retries=0, failure="", spacing=spacing, flush=64)
 
 
 def _unreliable(prompt: str) -> str:
@@ -638,6 +657,18 @@ def u2_generate(spark, sf_dir):
     return AN.generate(CX.with_prompt(q).select("query_id", "prompt"), _unreliable, keep=["query_id"], retry_wait=0.0)
 
 
+@query("u2_answer_ledger", f"""WITH p AS (SELECT item_id AS query_id, {S.prompt_sql(S.PROMPT1_HEAD, "''", 'text')} AS prompt FROM benchmark)
+SELECT query_id, CASE WHEN length(prompt) % 3 = 0 THEN '[ERROR]' ELSE right(prompt, 20) END AS answer,
+       CAST(CASE WHEN length(prompt) % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts, length(prompt) % 3 = 0 AS error FROM p""")
+def u2_answer_ledger(spark, sf_dir):
+    """U2 with a ledger, in two runs: the second finds the answers of the first, which had half of the questions, and asks the others and the failed ones."""
+    q = B.questions(spark, sf_dir).withColumnRenamed("text", "question").withColumn("context", F.lit(""))
+    p = CX.with_prompt(q).select("query_id", "prompt")
+    ledger = scratch_path(spark, "ledger")
+    AN.generate_once(p.filter(F.col("query_id") % 2 == 0), ledger, _unreliable, keep=["query_id"], retry_wait=0.0, flush=16)
+    return AN.generate_once(p, ledger, _unreliable, keep=["query_id"], retry_wait=0.0, flush=16)
+
+
 # --- U1 encoder ------------------------------------------------------------------------
 
 @query("u1_hashed_embeddings", r"""WITH tk AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 2)) AS tok FROM documents),
@@ -658,7 +689,8 @@ def _cells(spark, sf_dir) -> io.CellIndex:
     def build():
         vecs = B.doc_vectors(spark, sf_dir)
         cents = materialize(dense.fixed_centroids(vecs, dense.nlist_for(vecs.count()), "doc_id", "dvec"), "centroids")
-        return io.CellIndex(dense.assign_cells(vecs, cents, "doc_id", "dvec"), cents)
+        assigned = dense.assign_cells(vecs, cents, "doc_id", "dvec")
+        return io.CellIndex(assigned, materialize(dense.cell_bounds(assigned, cents), "cell-bounds"))
     return _saved("cells", spark, sf_dir, build)
 
 
@@ -688,6 +720,30 @@ def v4_ivf_recall(spark, sf_dir):
     return dense.recall_at_k(approx, exact).select(r6("recall"))
 
 
+@query("v4_ivf_exact", f"""WITH {S.VECTORS}, {S.dense_topk(5)}
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM dense""")
+def v4_ivf_exact(spark, sf_dir):
+    """V4 with a recall of 1: further cells are probed until none can hold a better vector."""
+    ix = _cells(spark, sf_dir)
+    hits, _ = dense.ivf_search_exact(B.query_vectors(spark, sf_dir), ix.vectors, ix.centroids, k=5)
+    return hits.select("query_id", "doc_id", r6("score"), "rank")
+
+
+@query("v2_two_level_cells", """WITH n AS (SELECT count(*) AS n FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S')))
+SELECT n AS vectors, n AS in_fine_cell, n AS nearest, true AS many FROM n""")
+def v2_two_level_cells(spark, sf_dir):
+    """V2 in two levels. Which cells come out depends on the engine, so the row states what must hold of any: every vector is in a fine cell of its coarse
+    cell, none is nearer to another fine cell there (by SQL functions over the joined centroids), and there are more fine cells than coarse ones."""
+    vecs = B.doc_vectors(spark, sf_dir)
+    top, fine = dense.train_two_level(vecs, coarse=8, fine=8, seed=3)
+    at = materialize(dense.assign_two_level(vecs, top, fine), "two-level-cells")
+    score = F.aggregate(F.zip_with(F.col("dvec").cast("array<double>"), "centroid", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    each = at.join(vecs, "doc_id").join(fine.select("top_id", F.col("cell_id").alias("other"), "centroid"), "top_id").withColumn("s", F.round(score, 6))
+    best = each.groupBy("doc_id", "cell_id").agg(F.max("s").alias("most"), F.max(F.when(F.col("other") == F.col("cell_id"), F.col("s"))).alias("own"))
+    return best.agg(F.count(F.lit(1)).alias("vectors"), F.count("cell_id").alias("in_fine_cell"), F.count_if(F.col("own") >= F.col("most") - 1e-5).alias("nearest")) \
+        .withColumn("many", F.lit(fine.count() > top.count()))
+
+
 @query("v2_train_cells", """WITH n AS (SELECT count(*) AS n FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S')))
 SELECT CAST(greatest(1, least(n // 10, 100)) AS BIGINT) AS cells, n AS vectors, n AS nearest FROM n""")
 def v2_train_cells(spark, sf_dir):

@@ -4,6 +4,7 @@ from the Spark plans). Shared fragments are plain SQL text."""
 from __future__ import annotations
 
 from ..functions.stopwords import sql_list
+from ..operators.corpus import IRREGULAR_NOUNS
 
 STOP = "[" + sql_list() + "]"
 
@@ -180,6 +181,13 @@ cl AS (SELECT doc_id, string_agg(coalesce(lem2.lemma, occ.tok), ' ' ORDER BY pos
        FROM occ LEFT JOIN lem2 USING (tok) GROUP BY doc_id),
 cleaned AS (SELECT s.doc_id, coalesce(cl.cleaned, '') AS cleaned FROM {src} s LEFT JOIN cl USING (doc_id))"""
 
+# The stand-in lexicon: neighbouring words of the questions, and the irregular nouns (fixed values); of several lemmas the shortest, then the first.
+IRREGULAR = ", ".join(f"('{form}', '{lemma}')" for form, lemma in IRREGULAR_NOUNS)
+LEXICON = r"""bw AS (SELECT string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS w FROM benchmark),
+lexrows AS (SELECT w[i] AS form, w[i + 1] AS lemma FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bw) WHERE w[i] <> '' AND w[i + 1] <> ''
+            UNION ALL SELECT * FROM (VALUES """ + IRREGULAR + r""") v(form, lemma)),
+lexicon AS (SELECT form, first(lemma ORDER BY length(lemma), lemma) AS lemma FROM lexrows GROUP BY form)"""
+
 # The two prompt wordings, as SQL text.
 PROMPT1_HEAD = "'Use the following context to answer the question concisely and clearly.' || chr(10) || chr(10) || 'Context:' || chr(10)"
 PROMPT2_HEAD = "'Use the following context to answer the question as concisely and clearly as possible.' || chr(10) || chr(10) || 'Context:' || chr(10)"
@@ -189,12 +197,12 @@ def prompt_sql(head: str, context: str, question: str) -> str:
     return f"({head} || {context} || chr(10) || chr(10) || 'Question:' || chr(10) || {question} || chr(10))"
 
 
-BM25 = r"""bd AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS t FROM documents),
-bn AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM bd),
-btf AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM bd) GROUP BY ALL),
-bdf AS (SELECT term, count(*) AS df FROM btf GROUP BY term),
-braw AS (SELECT term, ln((SELECT n FROM bn) - df + 0.5) - ln(df + 0.5) AS raw FROM bdf),
-bidf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM braw) ELSE raw END AS idf FROM braw),
+BM25 = r"""bd AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS t FROM documents),
+bn AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM bd),
+btf AS MATERIALIZED (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM bd) GROUP BY ALL),
+bdf AS MATERIALIZED (SELECT term, count(*) AS df FROM btf GROUP BY term),
+braw AS MATERIALIZED (SELECT term, ln((SELECT n FROM bn) - df + 0.5) - ln(df + 0.5) AS raw FROM bdf),
+bidf AS MATERIALIZED (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM braw) ELSE raw END AS idf FROM braw),
 bq AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id,
          unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (SELECT avgdl FROM bn)))) AS score

@@ -54,7 +54,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="retrieva-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
@@ -76,6 +76,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shared_fs(path: str):
+    """(Arrow file system, path in it) of a path or URI, for tasks that write single files to shared storage."""
+    from pyarrow import fs
+    if path.startswith("file:"):
+        path = path[len("file:"):]
+        path = "/" + path.lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (tokenising, scoring) all task slots.
 

@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import path_stem
 from ..operators.corpus import corpus_rows
-from ..operators.sparse import Bm25Index, TfidfIndex, term_bucket
+from ..operators.sparse import Bm25Index, TermRanges, TfidfIndex, block_bounds, in_parts, term_ranges
 from ..operators.tables import table_name
-from ..session import ship_package
+from ..session import materialize, shared_fs, ship_package
 
 # Strings pandas reads as missing by default.
 PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -153,55 +153,85 @@ def list_raw_documents(spark: SparkSession, path: str, recursive: bool = False)
 
 # --- S8 / K4: saved indexes ------------------------------------------------------------------
 
-TERM_BUCKETS = 64
+#: Vectors in one file of a cell, at most.
+CELL_ROWS = 1 << 18
 
 
 @dataclass
 class CellIndex:
-    """Vectors with their cells: vectors(doc_id, dvec, cell_id), centroids(cell_id, centroid)."""
+    """Vectors with their cells: vectors(doc_id, dvec, cell_id), centroids(cell_id, centroid, and the bounds of ``dense.cell_bounds`` if it has them)."""
     vectors: DataFrame
     centroids: DataFrame
 
 
-def _save(spark: SparkSession, base: str, kind: str, parts: dict[str, DataFrame], **settings) -> None:
+def _by_cell(vectors: DataFrame, rows_per_file: int) -> DataFrame:
+    """Vectors dealt to tasks by cell and size: a cell of more than ``rows_per_file`` vectors is written by several tasks."""
+    v = materialize(vectors, "cell-vectors")  # the sizes come from the rows that are written
+    sizes = v.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("__files"))
+    at = F.sum("__files").over(Window.orderBy("cell_id").rowsBetween(Window.unboundedPreceding, -1))  # one row for each cell
+    sizes = materialize(sizes.withColumn("__at", F.coalesce(at, F.lit(0)).cast("int")), "cell-files")
+    n = sizes.agg(F.sum("__files")).first()[0] or 1
+    placed = v.join(sizes, "cell_id").withColumn("__task", F.col("__at") + F.pmod(F.xxhash64("doc_id"), F.col("__files")).cast("int"))
+    return placed.repartitionById(n, F.col("__task")).drop("__files", "__at", "__task")
+
+
+def _save(spark: SparkSession, base: str, kind: str, parts: dict[str, DataFrame], written: tuple[str, ...] = (), **settings) -> None:
     for name, df in parts.items():
-        if "term" in df.columns and name == "postings":
-            n = settings["term_buckets"]
-            df = df.withColumn("term_bucket", term_bucket("term", n)).repartition(n, "term_bucket")
-            df.write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/{name}")
-        elif "cell_id" in df.columns and name == "vectors":
-            df.repartition("cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{base}/{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
+        folders = {"postings": "part", "vectors": "cell_id"}.get(name)
+        w = df.write.mode("overwrite")
+        (w.partitionBy(folders) if folders else w).parquet(f"{base}/{name}")
     # the manifest comes last: an index without one isn't complete
-    row = [(kind, json.dumps(settings), sorted(parts))]
+    row = [(kind, json.dumps(settings), sorted([*parts, *written]))]
     spark.createDataFrame(row, "kind string, settings string, parts array<string>").coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest")
 
 
-def save_index(base: str, index: TfidfIndex | Bm25Index | CellIndex, term_buckets: int = TERM_BUCKETS) -> None:
+def _save_ranges(spark: SparkSession, base: str, ranges: TermRanges) -> None:
+    spark.createDataFrame(list(zip(ranges.first, ranges.parts, strict=True)), "first string, parts int").coalesce(1).write.mode("overwrite").parquet(f"{base}/ranges")
+
+
+def _load_ranges(spark: SparkSession, base: str) -> TermRanges:
+    rows = sorted(spark.read.parquet(f"{base}/ranges").collect(), key=lambda r: r["first"])  # one row for each term range
+    return TermRanges([r["first"] for r in rows], [r["parts"] for r in rows])
+
+
+def save_index(base: str, index: TfidfIndex | Bm25Index | CellIndex, rows_per_part: int | None = None) -> None:
     """K4: an index as Parquet under ``base``, with a manifest of its settings.
 
-    Postings are in folders by a hash of the term, vectors in folders by cell, each written by one task, so
-    a search opens only the folders of its terms or cells."""
-    if isinstance(index, TfidfIndex):
-        _save(index.vocab.sparkSession, base, "tfidf", {"vocab": index.vocab, "postings": index.postings}, n_docs=index.n_docs, max_features=index.max_features,
-              stop_words=list(index.stop_words), ngram_range=list(index.ngram_range), term_buckets=term_buckets)
-    elif isinstance(index, Bm25Index):
-        _save(index.idf.sparkSession, base, "bm25", {"idf": index.idf, "postings": index.postings}, n_docs=index.n_docs, avgdl=index.avgdl, k1=index.k1, b=index.b,
-              term_buckets=term_buckets)
+    Postings are in folders by term range, each of at most ``rows_per_part`` postings (``sparse.PART_ROWS``, fewer for a small index) and written once
+    by a task of its own; a term with more has several. Vectors are in folders by cell, large cells in several files. The
+    ranges are part of the index, so a search opens only those of its terms, or the cells it probes."""
+    if isinstance(index, CellIndex):
+        _save(index.vectors.sparkSession, base, "cells", {"vectors": _by_cell(index.vectors, rows_per_part or CELL_ROWS), "centroids": index.centroids})
+        return
+    tfidf = isinstance(index, TfidfIndex)
+    stats = index.vocab if tfidf else index.idf
+    spark, ranges = stats.sparkSession, term_ranges(stats, rows_per_part)
+    _save_ranges(spark, base, ranges)
+    postings = in_parts(index.postings.drop("part"), ranges)
+    if tfidf:
+        _save(spark, base, "tfidf", {"vocab": index.vocab, "postings": postings}, n_docs=index.n_docs, max_features=index.max_features,
+              stop_words=list(index.stop_words), ngram_range=list(index.ngram_range))
     else:
-        _save(index.vectors.sparkSession, base, "cells", {"vectors": index.vectors, "centroids": index.centroids})
+        settings = dict(n_docs=index.n_docs, avgdl=index.avgdl, k1=index.k1, b=index.b, lengths=index.lengths)
+        _save(spark, base, "bm25", {"idf": index.idf, "postings": postings}, **settings)
+        # the blocks' bounds are taken from the written postings
+        blocks = block_bounds(load_index(spark, base))
+        _save(spark, base, "bm25", {"blocks": blocks}, written=("idf", "postings"), **settings)
 
 
 def load_index(spark: SparkSession, base: str) -> TfidfIndex | Bm25Index | CellIndex:
     """The saved index as the object that the searches take. A missing or unfinished index is an error."""
     m = spark.read.parquet(f"{base}/manifest").first()
-    parts, s = {p: spark.read.parquet(f"{base}/{p}") for p in m["parts"]}, json.loads(m["settings"])
+    s = json.loads(m["settings"])
+    read = lambda p: spark.read.parquet(f"{base}/{p}")
+    if m["kind"] == "cells":
+        return CellIndex(read("vectors"), read("centroids"))
+    ranges = _load_ranges(spark, base)
     if m["kind"] == "tfidf":
-        return TfidfIndex(parts["vocab"], parts["postings"], s["n_docs"], s["max_features"], tuple(s["stop_words"]), tuple(s["ngram_range"]), s["term_buckets"])
-    if m["kind"] == "bm25":
-        return Bm25Index(parts["postings"], parts["idf"], s["n_docs"], s["avgdl"], s["k1"], s["b"], s["term_buckets"])
-    return CellIndex(parts["vectors"], parts["centroids"])
+        return TfidfIndex(read("vocab"), read("postings"), s["n_docs"], s["max_features"], tuple(s["stop_words"]), tuple(s["ngram_range"]), ranges)
+    blocks = read("blocks").select("term", "block", "best") if "blocks" in m["parts"] else None
+    lengths = {int(c): n for c, n in s["lengths"].items()}
+    return Bm25Index(read("postings"), read("idf"), s["n_docs"], s["avgdl"], s["k1"], s["b"], lengths, ranges, blocks)
 
 
 # --- K1, K2, K3, K5, K6: sinks --------------------------------------------------------------
@@ -221,9 +251,9 @@ def append_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         w.parquet(path)
 
 
-def write_qa_csv(df: DataFrame, path: str) -> None:
+def write_qa_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """K2: CSV with header; leading/trailing spaces kept, quotes doubled."""
-    _csv_writer(df.write.mode("overwrite")).csv(path)
+    _csv_writer(df.write.mode("overwrite")).option("encoding", encoding).csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -236,8 +266,36 @@ def write_cleaned(df: DataFrame, path: str) -> None:
     df.select("doc_id", "content").write.mode("overwrite").parquet(path)
 
 
-def write_tables(rows: DataFrame, path: str, folders: int = TERM_BUCKETS) -> None:
-    """K6: extracted table rows in a fixed number of folders by a hash of the document; the file-style name
-    ``<doc>_table<page>`` is kept as a column."""
-    named = rows.withColumn("table_name", table_name()).withColumn("folder", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("int"))
-    named.repartition(folders, "folder").write.mode("overwrite").partitionBy("folder").parquet(path)
+def write_tables(rows: DataFrame, path: str, rows_per_file: int = 1 << 20) -> None:
+    """K6: extracted table rows, sorted by document, page and row, in files of about ``rows_per_file`` rows; the file-style name
+    ``<doc>_table<page>`` is kept as a column. A document with many rows is spread over several files."""
+    named = materialize(rows.withColumn("table_name", table_name()), "table-rows")
+    n = max(1, -(-named.count() // rows_per_file))
+    order = ["doc_id", "page_no", "row_no"]
+    named.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def write_files(files: DataFrame, path: str) -> DataFrame:
+    """Rows (name, content) as files under ``path``, written by the tasks through Arrow's file systems (so shared storage of any kind); a task
+    that is run again writes its files anew. Returns (name, length)."""
+    def put(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = shared_fs(path)
+        fs.create_dir(root, recursive=True)
+        for pdf in it:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                with fs.open_output_stream(f"{root}/{name}") as f:
+                    f.write(bytes(content))
+            yield pd.DataFrame({"name": pdf["name"], "length": [len(c) for c in pdf["content"]]})
+
+    ship_package(files.sparkSession)
+    return materialize(files.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(put, "name string, length long"), "written-files")
+
+
+def write_table_csvs(rows: DataFrame, path: str) -> DataFrame:
+    """K6 as files: one CSV file ``<doc>_table<page>.csv`` for each table of table_rows(doc_id, page_no, row_no, cells), rows in order, an absent cell empty.
+    A group is one table. Returns (name, length)."""
+    quoted = F.transform("cells", lambda c: F.when(c.rlike('[",\r\n]') | (c == ""), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))))
+    lines = rows.select("doc_id", "page_no", F.struct("row_no", F.array_join(quoted, ",").alias("line")).alias("r"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: F.concat(r["line"], F.lit("\n"))), "")
+    files = lines.groupBy("doc_id", "page_no").agg(text.alias("content"))
+    return write_files(files.select(F.concat(table_name(), F.lit(".csv")).alias("name"), "content"), path)
