@@ -4,44 +4,31 @@ from llm_cases import DOCS
 from retrieva.llm import lines, queries
 
 
-def brute(docs, min_words=lines.MIN_WORDS):
-    """docs: (doc_id, text) -> {index: set of lines to delete}; every window against the first place that holds it."""
+def expect(docs, min_words=lines.MIN_WORDS):
+    """docs: (doc_id, text) -> (text, removed) of each: every run of lines that holds min_words words and that an earlier place (id, null first, then line)
+    holds as well goes; a run that overlaps its first place in the same text is no repeat. It is enough to look at runs that lose the words when they lose
+    a line at one of their ends: longer ones are made of them."""
     split = [(t or "").split("\n") for _, t in docs]
     strip = [[x.strip() for x in s] for s in split]
     order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0))
-    first, gone = {}, {i: set() for i in range(len(docs))}
+    first, gone = {}, [set() for _ in docs]
 
-    def windows(i):
+    def runs(i):
         words = [len(x.split()) for x in split[i]]
         for s in range(len(words)):
-            n, held = 0, 0
-            while s + n < len(words) and held < min_words:
-                held += words[s + n]
-                n += 1
-            if held >= min_words:
-                yield s, n
+            held = 0
+            for e in range(s + 1, len(words) + 1):
+                held += words[e - 1]
+                if held >= min_words:
+                    yield s, e
+                    if held - words[s] >= min_words:
+                        break
     for i in order:
-        if docs[i][1]:
-            for s, n in windows(i):
-                first.setdefault(tuple(strip[i][s:s + n]), (i, s))
-    for i in order:
-        if docs[i][1]:
-            for s, n in windows(i):
-                j, t = first[tuple(strip[i][s:s + n])]
-                if (j, t) == (i, s) or (j == i and s - t < n):
-                    continue
-                a, b = 0, n
-                while s - a > 0 and t - a > 0 and strip[i][s - a - 1] == strip[j][t - a - 1] and sum(max(1, len(x.split())) for x in split[i][s - a:s]) < min_words:
-                    a += 1
-                while s + b < len(strip[i]) and t + b < len(strip[j]) and strip[i][s + b] == strip[j][t + b] and sum(max(1, len(x.split())) for x in split[i][s + n:s + b]) < min_words:
-                    b += 1
-                gone[i] |= set(range(s - a, s + b))
-    return gone
-
-
-def expect(docs):
-    gone = brute(docs)
-    return [("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) if t is not None else None, len(gone[i])) for i, (_, t) in enumerate(docs)]
+        for s, e in runs(i):
+            j, t = first.setdefault(tuple(strip[i][s:e]), (i, s))
+            if j != i or s - t >= e - s:
+                gone[i] |= set(range(s, e))
+    return [("\n".join(x for k, x in enumerate(s) if k not in gone[i]) if docs[i][1] is not None else None, len(gone[i])) for i, s in enumerate(split)]
 
 
 def test_op4_equals_brute_force(spark):
@@ -79,3 +66,31 @@ def test_cases(spark):
     twice = lines.dedup_lines(df.unionAll(df.filter("doc_id = 3"))).filter("doc_id = 3").collect()
     assert [r.text for r in twice] == ["", ""]
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_blank_and_short_lines_cost_their_number():
+    """A window from each of very many blank lines: one pass, not one for each window."""
+    import time
+    text = "\n" * 200_000 + "word " * 60 + "\n" * 200_000
+    t = time.time()
+    found = lines.windows_of(text)
+    assert time.time() - t < 20 and len(found) > 200_000
+    short = lines.windows_of("\n".join(["a"] * 3000))
+    assert len(short) == 2951 and {w[1] for w in short} == {50}
+
+
+def test_windows_equal_their_definition():
+    """Minimum, rightmost of equal ones, and hashes that agree exactly where the lines do."""
+    import xxhash
+    rng = random.Random(9)
+    by_content, by_hash = {}, {}
+    for _ in range(60):
+        t = [rng.choice(["", " ", "a b c", "d e", "f " * 20, "g", "h " * 55]) for _ in range(rng.randint(1, 60))]
+        strip = [x.strip() for x in t]
+        h = [xxhash.xxh64_intdigest(x.encode()) for x in strip]
+        for start, n, fp, beside, whole, _ in lines.windows_of("\n".join(t)):
+            assert sum(len(x.split()) for x in t[start:start + n]) >= lines.MIN_WORDS
+            assert fp == min(h[start:start + n]) - (1 << 63)
+            content = tuple(strip[start:start + n])
+            assert by_content.setdefault(content, (fp, beside, whole)) == (fp, beside, whole)
+            assert by_hash.setdefault((fp, beside, whole), content) == content
