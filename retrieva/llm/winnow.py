@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is a sequence of words (runs of characters that are not ASCII white space). Each run of K words has a hash; in every
+A text is a sequence of words (runs of characters that are not ASCII white space). A word of more than LONG characters counts as its runs of PIECE
+characters, one from each character on, so that texts without white space have fingerprints too. Each run of K words has a hash; in every
 window of W consecutive hashes the smallest is chosen, the rightmost of equal ones, and its position is kept. Two texts that share
 W + K - 1 consecutive words share a whole window, so they are guaranteed to share a fingerprint.
 
@@ -8,7 +9,7 @@ Hash and position travel as one number, ``hash * 2**24 + (2**24 - 1 - position)`
 rightmost position, so a window's choice is one ``least`` of W numbers, and the work on a text is linear. (Positions
 wrap after 16.8 million words; only a tie across the wrap would then go to the left.)
 
-Cases: a null text is the empty text and has no fingerprints; fewer than K words make one hash of all words; fewer than W
+Cases: every row has fingerprints, whatever its id; a null text is the empty text and has none; fewer than K words make one hash of all words; fewer than W
 hashes make one window; two texts without fingerprints are alike (1.0), one without and one with are not (0.0).
 """
 
@@ -26,10 +27,15 @@ K, W = 3, 5
 #: Bits of the hash and of the position.
 HASH_BITS, POS_BITS = 38, 24
 _POS = (1 << POS_BITS) - 1
+#: Characters of the longest word that is taken whole, and of the pieces of longer ones.
+LONG, PIECE = 32, 8
 
 
 def words(text: str) -> Column:
-    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    t = F.coalesce(F.col(text), F.lit(""))
+    whole = F.array_remove(F.split(t, "[\\x20\\x09-\\x0D]+"), "")
+    pieces = F.transform(whole, lambda x: F.when(F.length(x) > LONG, F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{PIECE}}}))."), F.lit(1))).otherwise(F.array(x)))
+    return F.when(t.rlike(f"[^\\x20\\x09-\\x0D]{{{LONG + 1}}}"), F.flatten(pieces)).otherwise(whole)
 
 
 def winnow(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
@@ -81,35 +87,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return f.select(id_col, hashes("_fp").alias("hashes"), positions("_fp").alias("positions"))
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text), one row for each id that isn't null: of rows that share an id the smallest text counts."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
-    repeated = d.groupBy("doc_id").count().filter("count > 1")
-    return d if repeated.isEmpty() else d.groupBy("doc_id").agg(F.min("text").alias("text"))
+_KEY = ["doc_id", "_th", "_n"]
+
+
+def _same(a: str, b: str) -> Column:
+    """Equal keys of columns named with the prefixes a and b; null ids are equal."""
+    return F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}_th") == F.col(f"{b}_th")) & (F.col(f"{a}_n") == F.col(f"{b}_n"))
+
+
+def _named(prefix: str) -> list[Column]:
+    return [F.col(c).alias(prefix + c) for c in _KEY]
 
 
 def against_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Each document against an edited text of its own and against the next document (ascending id; after the last, the first).
 
     In the edited text the last floor(n / 4) characters are replaced by as many of the next document's first (or all).
-    Output (doc_id, n_chars, edited, fp, edited_fp, near_edited, near_next). A single document is its own next one;
-    rows without an id have no place in the order and are left out.
+    Output (doc_id, n_chars, edited, fp, edited_fp, near_edited, near_next), one row for each row of ``docs``. Rows without an id come first; rows that share
+    an id are ordered by a hash of their text, so of rows equal in both each is the next of the one before it. A single document is its own next one.
 
-    The order is found on ids and lengths alone. The next document's head and hash set then travel to the
-    document; texts are dealt once, by id.
+    The order is found on ids, text hashes and lengths alone. The next document's head and hash set then travel to the
+    document; texts are dealt once, by their key.
     """
-    base = one_per_id(docs)
-    ids = base.select("doc_id", F.length("text").alias("n_chars"), F.lit(1).alias("one"))
-    placed = materialize(ranged(ids, [], ["doc_id"], "one", "winnow-order").select("doc_id", "n_chars", "slot"), "winnow-slots")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_th", F.xxhash64("text")).withColumn("_n", F.length("text").cast("long"))
+    groups = materialize(base.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.lit(1).alias("one")), "winnow-groups")
+    repeated = groups.filter("copies > 1").select(*_named("r"), "copies")
+    some_repeat = not repeated.isEmpty()
+    if some_repeat:  # equal rows are worked on once
+        base = base.groupBy(*_KEY).agg(F.first("text").alias("text"))
+    placed = materialize(ranged(groups.drop("copies"), [], _KEY, "one", "winnow-order").select(*_KEY, "slot"), "winnow-slots")
     n = placed.count()
-    after = placed.select(F.col("doc_id").alias("next_id"), F.pmod(F.col("slot") - 1, F.lit(max(n, 1))).alias("slot"))
-    wanted = materialize(placed.join(after, "slot").select("next_id", F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 4).cast("int").alias("m")), "winnow-next")
-    ahead = winnow(base.join(wanted, base["doc_id"] == wanted["next_id"]), "text", "_fp", k, w)
-    ahead = ahead.select("prev_id", F.substring(F.col("text"), F.lit(1), F.col("m")).alias("head"), hash_set("_fp").alias("next_set"))
-    own = base.join(ahead, base["doc_id"] == ahead["prev_id"]).drop("prev_id")
-    own = own.withColumn("n_chars", F.length("text").cast("long"))
-    kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
-    own = own.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept.cast("int")), F.col("head"))).drop("head")
+    after = placed.select(*_named("x"), F.pmod(F.col("slot") - 1, F.lit(max(n, 1))).alias("slot"))
+    wanted = materialize(placed.join(after, "slot").select(*[f"x{c}" for c in _KEY], *_named("p")), "winnow-next")
+    quarter = F.floor(F.col("p_n") / 4).cast("int")
+    ahead = winnow(base.join(wanted, _same("", "x")), "text", "_fp", k, w)
+    ahead = ahead.select(*[f"p{c}" for c in _KEY], F.substring(F.col("text"), F.lit(1), quarter).alias("head"), hash_set("_fp").alias("next_set"))
+    own = base.join(ahead, _same("", "p")).select(*_KEY, "text", "head", "next_set", F.lit(1).cast("long").alias("_times"))
+    if some_repeat:  # all but the last of equal rows are followed by their own text
+        again = base.join(repeated, _same("", "r")).select(*_KEY, "text", F.substring(F.col("text"), F.lit(1), F.floor(F.col("_n") / 4).cast("int")).alias("head"),
+                                                           F.lit(None).cast("array<int>").alias("next_set"), (F.col("copies") - 1).alias("_times"))
+        own = own.unionByName(again)
+    kept = (F.col("_n") - F.floor(F.col("_n") / 4)).cast("int")
+    own = own.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("head"))).drop("head")
     own = winnow(winnow(own, "text", "fp", k, w), "edited", "edited_fp", k, w)
-    own = own.withColumn("_a", hash_set("fp")).withColumn("_b", hash_set("edited_fp"))
-    return own.select("doc_id", "n_chars", "edited", "fp", "edited_fp", likeness("_a", "_b").alias("near_edited"), likeness("_a", "next_set").alias("near_next"))
+    own = own.withColumn("_a", hash_set("fp")).withColumn("_b", hash_set("edited_fp")).withColumn("_c", F.coalesce("next_set", "_a"))
+    out = own.select("doc_id", F.col("_n").alias("n_chars"), "edited", "fp", "edited_fp", likeness("_a", "_b").alias("near_edited"), likeness("_a", "_c").alias("near_next"), "_times")
+    return (out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).drop("_copy") if some_repeat else out).drop("_times")
