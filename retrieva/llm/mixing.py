@@ -1,13 +1,13 @@
 """Mixing sources to target weights: nested hash thresholds found from histograms.
 
-Every document has a fixed hash of its id. A source that is to give ``r`` times its size gives every document
+Every document has a fixed hash of its id and text. A source that is to give ``r`` times its size gives every document
 ``floor(r)`` times and, once more, the documents whose hash is below a threshold. The threshold comes from sums of
 sizes by (source, hash bucket): walk the buckets up to the budget, then refine *only the boundary bucket* by the next
 hash bits, until it holds one hash value. So nothing is sorted, thresholds for larger budgets contain those for
 smaller ones (a nested family), and reruns agree.
 
-Cases: null text has size 0; a null source is a source of its own, ordered last; rows with equal ids share a hash and
-are taken or left together; a null id hashes like the empty string; an empty table gives an empty result; a source
+Cases: null text has size 0; a null source is a source of its own, ordered last; rows equal in id and text share a hash and
+are taken or left together; rows without an id, or with one id, are told apart by their texts; an empty table gives an empty result; a source
 without words has target 0.
 """
 
@@ -24,8 +24,10 @@ from .common import broadcast_if_small, n_words
 HASH_BITS, LEVEL_BITS = 60, 12
 
 
-def id_hash(c: str) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(c).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def row_hash(id_col: str, text_col: str) -> Column:
+    """Hash of id and text, so that rows without an id, or with one id, are told apart (rows equal in both are taken alike)."""
+    both = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -88,35 +90,35 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
                        .select(F.col("source").alias("__mx_s"), "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below")), "mix-plan")
 
 
-def times(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with __mx_times (0, 1, 2, ...): one join to the few rows of the plan, documents don't move.
+def times(docs: DataFrame, planned: DataFrame, hashed: Column, source_col: str = "source") -> DataFrame:
+    """``docs``, whose hash is ``hashed``, with __mx_times (0, 1, 2, ...): one join to the few rows of the plan, documents don't move.
 
     Rows of ``planned`` may bring more columns along (they must not be in ``docs``)."""
     p = planned.withColumnsRenamed({"passes": "__mx_passes", "below": "__mx_below"})
     out = docs.join(broadcast_if_small(p), F.col(source_col).eqNullSafe(F.col("__mx_s")))
-    again = F.when(id_hash(id_col) < F.col("__mx_below"), 1).otherwise(0)
+    again = F.when(hashed < F.col("__mx_below"), 1).otherwise(0)
     return out.withColumn("__mx_times", F.col("__mx_passes") + again).drop("__mx_s", "__mx_passes", "__mx_below")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs(doc_id, source, text) -> (doc_id, size, source_size, target, taken): how many words the mix takes of each document."""
-    sized = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), id_hash("doc_id").alias("hash")), "mix-sized")
-    out = times(sized, plan(sized, weights, share, most))
+    sized = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), row_hash("doc_id", "text").alias("hash")), "mix-sized")
+    out = times(sized, plan(sized, weights, share, most), F.col("hash"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("__mx_times") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: rows of ``docs`` (doc_id, source, text and any more columns), each as often as it is taken."""
-    sized = materialize(docs.select("source", n_words("text").alias("size"), id_hash("doc_id").alias("hash")), "mix-sized")
+    sized = materialize(docs.select("source", n_words("text").alias("size"), row_hash("doc_id", "text").alias("hash")), "mix-sized")
     planned = plan(sized, weights, share, most).drop("source_size", "target")
-    return times(docs, planned).withColumn("__mx_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mx_times").cast("int")))).select(*docs.columns)
+    return times(docs, planned, row_hash("doc_id", "text")).withColumn("__mx_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mx_times").cast("int")))).select(*docs.columns)
 
 
 #: DuckDB: the same targets and thresholds by running sums over all documents in hash order.
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

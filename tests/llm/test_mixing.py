@@ -51,6 +51,17 @@ def test_equal_hashes_and_empty_tables(spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_rows_without_an_id_or_with_one_id_come_near_the_target(spark):
+    """A third of all rows has no id, a third has id 7: their texts tell them apart."""
+    rows = [([None, 7, i][i % 3], f"text {i} " + "w " * 8, "en", "ab"[i % 2], 1) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows)
+    target = {r.target for r in got}
+    assert abs(sum(r.taken for r in got) - sum(waterfill({"a": 3000, "b": 3000}).values())) <= 2 * 20 and max(target) > min(target)
+    for i in (None, 7):
+        assert len({r.taken for r in got if r.doc_id == i}) == 2
+
+
 def test_documents_are_repeated_as_taken(spark):
     rows = [(i, "w " * 5, "en", "ab"[i % 2], 1) for i in range(300)]
     df = spark.createDataFrame(rows, DOCS)
