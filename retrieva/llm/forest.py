@@ -270,7 +270,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     samples, centres = {}, {}
     for dim, n in tally.items():
         part = classes.filter(F.octet_length("raw") == 8 * dim)
-        chosen = part.filter(F.pmod(F.xxhash64(F.lit(SEED), "raw"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)))
+        chosen = part.filter(F.pmod(F.xxhash64(F.lit(SEED), "raw"), F.lit(1 << 52)) < max(1, int((1 << 52) * min(1.0, sample / n))))
         samples[dim] = np.array([unit(r["raw"]) for r in chosen.select("raw").collect()]).reshape(-1, dim)  # about ``sample`` rows
         found = dense_centres(samples[dim], limit)
         if len(found):

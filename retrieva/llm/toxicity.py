@@ -52,8 +52,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _sampled(id_col: str, n: int, most: int) -> Column:
-    """About ``most`` of ``n`` rows, by hash of the id."""
-    return F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(n, 1)))
+    """About ``most`` of ``n`` rows, by hash of the id (in steps of 2**-52, so that the share isn't 0 in any table)."""
+    return F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 52)) < max(1, int((1 << 52) * min(1.0, most / max(n, 1))))
 
 
 def class_prior(labels: DataFrame) -> float:
