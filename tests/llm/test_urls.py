@@ -26,12 +26,12 @@ def fitting(host, path):
     return best
 
 
-def brute(pages, levels=urls.LEVELS, support=urls.SUPPORT, z=urls.Z, strength=urls.STRENGTH, purity=urls.PURITY):
+def brute(pages, support=urls.SUPPORT, z=urls.Z, strength=urls.STRENGTH, purity=urls.PURITY):
     """pages: (page_id, url, good) -> {index: (host, path, rule, verdict, template)}"""
     rows = [dict(zip(("host", "path"), parts(u)), good=g) for _, u, g in pages]
     for r in rows:
         r["segs"], r["node"] = [s for s in r["path"].split("/") if s], r["host"]
-    for level in range(levels):
+    for level in range(max((len(r["segs"]) for r in rows), default=0)):
         kids = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
         for r in rows:
             if len(r["segs"]) > level:
@@ -56,7 +56,7 @@ def brute(pages, levels=urls.LEVELS, support=urls.SUPPORT, z=urls.Z, strength=ur
         for r in rows:
             r["node"] += r["step"]
     for r in rows:
-        r["template"] = r["node"] + ("/**" if len(r["segs"]) > levels else "")
+        r["template"] = r["node"]
     lab, fine, hl, hf = (defaultdict(int) for _ in range(4))
     for r in rows:
         if r["good"] is not None:
@@ -96,5 +96,15 @@ def test_templates_and_cases(spark):
         assert (r.host, r.path, r["rule"], r.verdict, r.template, round(r.purity, 9)) == want[(r.page_id is None, r.page_id, r.url)]
     by = {r.page_id: r for r in got}
     assert by[0].template == "shop.example.net/spam/*/x" and by[0].verdict == "block" and by[100].verdict == "allow"
-    assert by[306].template == "h/a/b/c/d/**" and by[303]["rule"] == "org/" and by[304]["rule"] == "example.org/es/"
+    assert by[306].template == "h/a/b/c/d/e/f" and by[303]["rule"] == "org/" and by[304]["rule"] == "example.org/es/"
     assert len(got) == len(rows) and urls.judge(df.limit(0)).count() == 0
+
+
+def test_branches_below_the_fourth_segment_are_judged_apart(spark):
+    rows = [(i, f"http://h.net/2024/05/12/news/{'spam' if i % 2 else 'town'}/{i}/x/{'ab'[i % 3 == 0]}/7/end", 1 - i % 2) for i in range(120)]
+    rows += [(500 + i, "http://h.net/" + "/".join(f"s{k}" if k % 9 else str(k) for k in range(400)), 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, good bigint").selectExpr("*", "0.5 AS purity", "'r' AS rule")
+    want = dict(zip([r[0] for r in rows], brute(rows)))
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert all((r.template, r.verdict, round(r.purity, 9)) == (want[i][4], want[i][3], want[i][5]) for i, r in got.items()) and len(got) == len(rows)
+    assert {got[i].verdict for i in range(1, 120, 2)} == {"block"} and {got[i].verdict for i in range(0, 120, 2)} == {"allow"}
