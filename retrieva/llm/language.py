@@ -4,6 +4,7 @@ For each language L the posterior is proportional to
 
     P(text | L) * P(declared | L) * P(markup | L) * P(address suffix | L) * P(L | host).
 
+* Languages: those that MIN_DOCUMENTS documents and a share of MIN_SHARE of the declared ones declare at least, so 1,000 at most.
 * Text: hashed character trigrams, whose counts by declared language come from all documents, with an even share of noise. Trigrams of a text aren't
   independent, so the log-likelihood counts as at most EFFECTIVE trigrams' worth. A class ``und`` with evenly spread
   trigrams stands for what is no language.
@@ -14,8 +15,8 @@ For each language L the posterior is proportional to
 A document is rejected if its best language is ``und`` or its posterior is below MIN_CONFIDENCE.
 
 Cases: null and empty texts, and texts without letters, have no text evidence and no language: they're rejected; null declared
-values, hosts and addresses are no evidence; rows equal in id and text are decided once; a null id is an id like others; an empty table
-returns no rows and trains an even model.
+values, hosts and addresses are no evidence, nor are declared values that are no class; rows equal in id and text are decided once; a null id is an id like others; an empty table
+returns no rows; without any declared language every document is ``und``.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from retrieva.session import materialize, ship_package
 
 from .common import broadcast_if_small, small_batches
 
-LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
-#: Buckets of hashed trigrams: the model has (languages x buckets) numbers, half a MB here.
+#: Documents that must declare a language, and their share of those that declare any, for it to be a class: odd values aren't learnt.
+MIN_DOCUMENTS, MIN_SHARE = 10, 0.001
+#: Buckets of hashed trigrams: the model has (languages x buckets) numbers of 4 bytes, 64 KB for each language, 64 MB at most.
 BUCKETS = 1 << 14
 EFFECTIVE, MIN_CONFIDENCE, UNKNOWN_PRIOR = 60, 0.5, 0.01
 #: Share of a text's trigrams that belong to no language (keys, names, numbers with letters), so that a few don't outweigh the rest.
@@ -43,7 +45,9 @@ RELIABLE = {"declared": 0.9, "markup": 0.9, "suffix": 0.7}
 #: Strength of the priors of domain and of all documents.
 STRENGTH = 20.0
 #: Languages of country suffixes.
-SUFFIXES = {"de": "de", "at": "de", "uk": "en", "us": "en", "au": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "fr": "fr"}
+SUFFIXES = {"de": "de", "at": "de", "uk": "en", "us": "en", "au": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "fr": "fr",
+            "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "se": "sv", "dk": "da", "no": "no", "fi": "fi", "cz": "cs", "hu": "hu",
+            "gr": "el", "tr": "tr", "ru": "ru", "ua": "uk", "jp": "ja", "cn": "zh", "kr": "ko"}
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -58,39 +62,62 @@ def trigrams(text: str) -> np.ndarray:
     return ((h ^ h >> np.uint32(15)) & np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
-def train(docs: DataFrame, text_col: str = "text", declared_col: str = "lang") -> np.ndarray:
+def languages(docs: DataFrame, declared_col: str = "lang", least: int = MIN_DOCUMENTS, share: float = MIN_SHARE) -> list[str]:
+    """The classes, in order: declared languages with enough documents (1 / ``share`` at most reach the driver)."""
+    counts = docs.groupBy(F.col(declared_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).filter(f"trim(lang) != '' AND lang != '{UNKNOWN}'")
+    counts = materialize(counts, "lang-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return sorted(r["lang"] for r in counts.filter(F.col("n") >= max(least, share * total)).collect())
+
+
+def train(docs: DataFrame, classes: list[str], text_col: str = "text", declared_col: str = "lang") -> np.ndarray:
     """Log-probability of each bucket in each language, ``und`` last, from the trigram counts of all documents."""
+    number = {x: i for i, x in enumerate(classes)}
+
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for pdf in it:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
                 if text:
-                    sums[LANGUAGES.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
-        at, bucket = np.nonzero(sums)
-        yield pd.DataFrame({"at": at.astype(np.int32), "bucket": bucket.astype(np.int32), "n": sums[at, bucket]})
-
-    known = docs.select(F.col(declared_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isin(*LANGUAGES))
-    rows = known.mapInPandas(count, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(LANGUAGES), BUCKETS))
-    counts[rows["at"], rows["bucket"]] = rows["n"]
+                    mine = sums.setdefault(number[lang], np.zeros(BUCKETS, np.int64))
+                    mine += np.bincount(trigrams(text), minlength=BUCKETS)
+        for at, mine in sums.items():
+            bucket = np.flatnonzero(mine)
+            yield pd.DataFrame({"at": np.full(len(bucket), at, np.int32), "bucket": bucket.astype(np.int32), "n": mine[bucket]})
+
+    counts = np.zeros((len(classes), BUCKETS))
+    if classes:
+        known = docs.select(F.col(declared_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isin(*classes))
+        rows = known.mapInPandas(count, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        counts[rows["at"], rows["bucket"]] = rows["n"]
     smooth = counts + 0.5 * (counts.sum(0) + 1) / (counts.sum() + BUCKETS) * BUCKETS
     logp = np.log((1 - NOISE) * smooth / smooth.sum(1, keepdims=True) + NOISE / BUCKETS)
     return np.vstack([logp, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
 
 
-def _agrees(kind: str, column: str) -> list[Column]:
-    """log P(column | L) for each class; null or a value that is no known language: no evidence."""
-    right, wrong = np.log(RELIABLE[kind]), np.log((1 - RELIABLE[kind]) / (len(LANGUAGES) - 1))
-    even = np.log(1 / len(LANGUAGES))
-    known = F.col(column).isin(*LANGUAGES)
-    each = [F.when(known, F.when(F.col(column) == x, float(right)).otherwise(float(wrong))).otherwise(0.0) for x in LANGUAGES]
-    return [*each, F.when(known, float(even)).otherwise(0.0)]
+def _agrees(kind: str, column: str, classes: list[str]) -> Column:
+    """log P(column | L) for each class, ``und`` last; null or a value that is no class: no evidence."""
+    none = F.array_repeat(F.lit(0.0), len(classes) + 1)
+    if len(classes) < 2:
+        return none
+    right, wrong = float(np.log(RELIABLE[kind])), float(np.log((1 - RELIABLE[kind]) / (len(classes) - 1)))
+    at = F.array_position(F.array(*[F.lit(x) for x in classes]), F.col(column))
+    each = F.transform(F.sequence(F.lit(1), F.lit(len(classes))), lambda i: F.when(i == at, right).otherwise(wrong))
+    return F.when(at > 0, F.concat(each, F.array(F.lit(float(np.log(1 / len(classes))))))).otherwise(none)
 
 
 def _posterior(logs: Column) -> Column:
     """Normalised from an array of log weights."""
     w = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda s, y: s + y))
+    return F.transform(w, lambda x: x / _total(w))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, y: s + y)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
 
 def domain_of(host: Column) -> Column:
@@ -106,8 +133,9 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
     spark = docs.sparkSession
     ship_package(spark)
     small_batches(spark)
-    model = spark.sparkContext.broadcast(train(docs, text_col, declared_col))
-    classes = len(LANGUAGES) + 1
+    names = languages(docs, declared_col)
+    model = spark.sparkContext.broadcast(train(docs, names, text_col, declared_col))
+    classes = len(names) + 1
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         logp = model.value
@@ -132,32 +160,34 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
     has = F.size("_ll") == classes
     scored = materialize(scored.withColumn("_p", F.when(has, _posterior(F.col("_ll")))), "lang-scored")
 
-    p = [F.coalesce(F.col("_p")[i], F.lit(0.0)) for i in range(classes)]
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(p)]
-    hosts = scored.filter("_host IS NOT NULL").groupBy("_host", "_domain").agg(*sums)
-    domains = hosts.filter("_domain IS NOT NULL").groupBy("_domain").agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in range(classes)])
+    sums = [F.sum(F.col("_p")[i]).alias(f"s{i}") for i in range(classes)]
+
+    def summed(df: DataFrame, name: str) -> DataFrame:
+        """The sums of each class as one array."""
+        return df.withColumn(name, F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(classes)])).drop(*[f"s{i}" for i in range(classes)])
+
+    hosts = materialize(scored.filter("_host IS NOT NULL").groupBy("_host", "_domain").agg(*sums), "lang-host-sums")
+    domains = summed(hosts.filter("_domain IS NOT NULL").groupBy("_domain").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(classes)]), "_d")
     whole = np.array([float(x or 0) for x in scored.agg(*sums).first()]) + 1.0
-    whole[-1] = UNKNOWN_PRIOR * whole[:-1].sum()
+    whole[-1] = UNKNOWN_PRIOR * whole[:-1].sum() or 1.0
     whole /= whole.sum()
-    hosts = hosts.join(domains, "_domain", "left")
+    every = F.array(*[F.lit(float(x)) for x in whole])
 
-    def share(n: str, i: int, towards: Column) -> Column:
-        total = sum((F.coalesce(F.col(f"{n}{j}"), F.lit(0.0)) for j in range(classes)), F.lit(0.0))
-        return (F.coalesce(F.col(f"{n}{i}"), F.lit(0.0)) + STRENGTH * towards) / (total + STRENGTH)
+    def smoothed(values: Column, n: Column, towards: Column) -> Column:
+        return F.zip_with(values, towards, lambda x, t: (x + STRENGTH * t) / (n + STRENGTH))
 
-    hosts = materialize(hosts.select(F.col("_host").alias("_h"), F.array(*[F.col(f"s{i}") for i in range(classes)]).alias("_sums"),
-                                     F.array(*[share("d", i, F.lit(float(whole[i]))) for i in range(classes)]).alias("_near")), "lang-hosts")
+    hosts = summed(hosts, "_sums").join(domains, "_domain", "left").withColumn("_d", F.coalesce("_d", F.array_repeat(F.lit(0.0), classes)))
+    hosts = materialize(hosts.select(F.col("_host").alias("_h"), "_sums", smoothed(F.col("_d"), _total(F.col("_d")), every).alias("_near")), "lang-hosts")
     s = scored.join(broadcast_if_small(hosts), F.col("_host") == F.col("_h"), "left")
-    total = F.aggregate("_sums", F.lit(0.0), lambda a, x: a + x)
-    own = F.when(F.col("_p").isNotNull(), 1.0).otherwise(0.0)
-    prior = [F.when(F.col("_h").isNull(), F.lit(float(whole[i]))).otherwise(
-        F.greatest(F.lit(0.0), (F.col("_sums")[i] - p[i] + STRENGTH * F.col("_near")[i]) / (total - own + STRENGTH))) for i in range(classes)]
-    kinds = [_agrees("declared", "_declared"), _agrees("markup", "_markup"), _agrees("suffix", "_suffix")]
-    logs = F.array(*[F.col("_ll")[i] + F.log(prior[i] + 1e-9) + sum((k[i] for k in kinds), F.lit(0.0)) for i in range(classes)])
+    others = F.zip_with("_sums", "_p", lambda x, y: x - y)
+    prior = F.when(F.col("_h").isNull(), every).otherwise(smoothed(others, _total(F.col("_sums")) - 1, F.col("_near")))
+    logs = _plus(F.col("_ll"), F.transform(prior, lambda x: F.log(F.greatest(F.lit(0.0), x) + 1e-9)))
+    for kind in RELIABLE:
+        logs = _plus(logs, _agrees(kind, f"_{kind}", names))
     s = s.withColumn("_logs", F.when(has, logs)).withColumn("_post", _posterior(F.col("_logs")))
     best = F.array_max(F.transform("_post", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
     s = s.withColumn("_best", best)
-    language = F.coalesce(F.get(F.array(*[F.lit(x) for x in (*LANGUAGES, UNKNOWN)]), -F.col("_best.i")), F.lit(UNKNOWN))
+    language = F.coalesce(F.get(F.array(*[F.lit(x) for x in (*names, UNKNOWN)]), -F.col("_best.i")), F.lit(UNKNOWN))
     s = s.withColumn("language", language).withColumn("confidence", F.coalesce("_best.p", F.lit(0.0)))
     return s.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("confidence") >= MIN_CONFIDENCE)).select("_id", "_th", "language", "confidence", "kept")
 

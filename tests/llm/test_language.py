@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -8,7 +8,9 @@ from retrieva.llm import language, queries
 
 def brute(docs, evidence):
     """docs: (id, text, lang, source); evidence: id -> (markup, host). Returns (language, confidence, kept) for each."""
-    langs, classes = language.LANGUAGES, len(language.LANGUAGES) + 1
+    said = Counter(d[2] for d in docs if d[2])
+    langs = sorted(x for x, n in said.items() if n >= max(language.MIN_DOCUMENTS, language.MIN_SHARE * sum(said.values())))
+    classes = len(langs) + 1
     counts = np.zeros((len(langs), language.BUCKETS))
     for _, text, lang, _ in docs:
         if lang in langs and text:
@@ -63,7 +65,7 @@ def test_op3_equals_brute_force_and_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(d.doc_id, d.text, d.lang, d.source) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     evidence = {r.id: (r.markup, r.host) for r in language.page_evidence(spark, sf).collect()}
-    assert len(evidence) > 50 and {m for m, _ in evidence.values()} <= set(language.LANGUAGES)
+    assert len(evidence) > 50 and {m for m, _ in evidence.values()} <= {"de", "en", "es", "fr"}
     got = {r.doc_id: r for r in queries.op3_language_id(spark, sf).collect()}
     want = dict(zip([d[0] for d in docs], brute(docs, evidence)))
     assert len(got) == len(docs)
@@ -91,3 +93,18 @@ def test_text_outweighs_wrong_declarations_and_cases(spark):
     assert out.filter("doc_id = 0").count() == 2
     empty = df.limit(0)
     assert language.identify(empty).count() == 0 and language.keep_identified(empty, language.identify(empty)).count() == 0
+
+
+def test_classes_come_from_the_declared_languages(spark):
+    text = {"de": "der die und nicht ist ", "en": "the and of was that ", "it": "gli che sono della perch\u00e9 ", "el": "\u03ba\u03b1\u03b9 \u03c4\u03bf \u03b4\u03b5\u03bd \u03b5\u03af\u03bd\u03b1\u03b9 "}
+    rows = [(i, text[x] * 20, x, "h.org") for i, x in enumerate(list(text) * 20)]
+    rows += [(900, text["it"] * 20, "de", "h.it"), (901, text["el"] * 20, None, None), (902, text["en"] * 20, "qq", "h.org")]
+    got = {r._id: r for r in language.identify(spark.createDataFrame([(*r, 1) for r in rows], DOCS)).collect()}
+    want = brute(rows, {})
+    assert all(got[str(r[0])].language == w[0] and abs(got[str(r[0])].confidence - w[1]) < 1e-4 and got[str(r[0])].kept == w[2] for r, w in zip(rows, want))
+    assert all(got[str(i)].kept and got[str(i)].language == x for i, _, x, _ in rows[:80])
+    assert [got[i].language for i in ("900", "901", "902")] == ["it", "el", "en"]
+    bare = spark.createDataFrame([(1, "some words", None, "h", 1), (2, "more words", None, None, 1)], DOCS)
+    assert {(r.language, r.kept) for r in language.identify(bare).collect()} == {("und", False)}
+    one = spark.createDataFrame([(i, text["it"] * 20, "it", "h", 1) for i in range(12)], DOCS)
+    assert {(r.language, r.kept) for r in language.identify(one).collect()} == {("it", True)}
