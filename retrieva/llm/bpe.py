@@ -5,9 +5,10 @@ it. So two scans that share one boundary agree from there on. A long text is cut
 margin; each chunk is scanned in parallel from its own start, and where the scan of chunk ``i`` running into the
 margin and the scan of chunk ``i + 1`` first share a boundary, the pieces are stitched. (The first scan starts at the true
 start, so by induction all stitches are true boundaries.) A stitch must follow a character that is not white space,
-since a run of white space that ends a piece could otherwise be matched differently. Pieces are then encoded in
-parallel and their ids joined in order. A text with a margin in which nothing resynchronises (one pre-token longer than
-the margin) is one piece.
+since a run of white space that ends a piece could otherwise be matched differently. Where nothing in a margin resynchronises
+(a pre-token longer than the margin), the two chunks become one, which is scanned again; the others keep their scans. That is repeated until
+every margin has a stitch, so only the chunks that a long pre-token touches grow together. Pieces are then encoded in
+parallel and their ids joined in order.
 
 Decoding joins the raw bytes of the ids.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,30 +94,62 @@ def boundaries(pattern: str, chunk: str, margin: int, size: int) -> tuple[list[i
     return head, tail
 
 
-def _pieces(long: DataFrame, pattern: str, size: int, margin: int) -> DataFrame:
-    """long(__bpe_row, __bpe_text) -> (__bpe_row, piece, part): the texts cut where neighbouring scans resynchronise."""
-    n = F.ceil(F.length("__bpe_text") / F.lit(size)).cast("int")
-    chunks = (long.select("__bpe_row", "__bpe_text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-              .select("__bpe_row", "chunk", F.substring("__bpe_text", F.col("chunk") * size + 1, F.lit(size + margin)).alias("part")).repartition("__bpe_row", "chunk"))
+def _parts(texts: DataFrame, spans: DataFrame, beyond: int) -> DataFrame:
+    """(__bpe_row, start, stop, part): the text of each span, and ``beyond`` characters after it, dealt to all tasks.
 
+    A text is cut in one pass over its spans; about a megabyte of characters goes into a batch."""
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for row, text, starts, stops in zip(pdf["__bpe_row"], pdf["__bpe_text"], pdf["starts"], pdf["stops"], strict=True):
+                batch, n = [], 0
+                for start, stop in zip(starts, stops, strict=True):
+                    batch.append((row, start, stop, text[start:stop + beyond]))
+                    n += stop - start
+                    if n >= 1 << 20:
+                        yield pd.DataFrame(batch, columns=["__bpe_row", "start", "stop", "part"])
+                        batch, n = [], 0
+                yield pd.DataFrame(batch, columns=["__bpe_row", "start", "stop", "part"])
+
+    listed = spans.groupBy("__bpe_row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")).select(
+        "__bpe_row", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    return (texts.select("__bpe_row", "__bpe_text").join(listed, "__bpe_row").mapInPandas(cut, "__bpe_row long, start long, stop long, part string")
+            .repartition("__bpe_row", "start"))
+
+
+def _scans(texts: DataFrame, spans: DataFrame, pattern: str, margin: int) -> DataFrame:
+    """spans(__bpe_row, start, stop) with the boundaries ``head`` and ``tail`` of each, a written table."""
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            found = [boundaries(pattern, p, margin, size) for p in pdf["part"]]
-            yield pd.DataFrame({"__bpe_row": pdf["__bpe_row"], "chunk": pdf["chunk"], "head": [h for h, _ in found], "tail": [t for _, t in found]})
-
-    scans = materialize(chunks.mapInPandas(scan, "__bpe_row long, chunk int, head array<int>, tail array<int>"), "bpe-scans")
-    shared = (scans.select("__bpe_row", (F.col("chunk") + 1).alias("chunk"), "tail")
-              .join(scans.filter("chunk > 0").select("__bpe_row", "chunk", "head"), ["__bpe_row", "chunk"])
-              .select("__bpe_row", (F.col("chunk") * size + F.array_min(F.array_intersect("head", "tail"))).alias("cut")))
-    # a margin without a shared boundary: no stitch of that text is proven, so it stays whole
-    cuts = shared.groupBy("__bpe_row").agg(F.sort_array(F.collect_list("cut")).alias("cuts"), F.count_if(F.col("cut").isNull()).alias("open"))
-    starts = F.when(F.col("open") == 0, F.concat(F.array(F.lit(0)), F.col("cuts"))).otherwise(F.array(F.lit(0)))
-    cut = long.join(cuts, "__bpe_row", "left").withColumn("starts", F.coalesce(starts, F.array(F.lit(0))))
-    return (cut.select("__bpe_row", "__bpe_text", "starts", F.posexplode("starts").alias("piece", "start"))
-            .select("__bpe_row", "piece", F.when(F.col("piece") + 1 < F.size("starts"), F.substring(
-                "__bpe_text", F.col("start") + 1, F.get("starts", F.col("piece") + 1) - F.col("start")))
-                .otherwise(F.substring("__bpe_text", F.col("start") + 1, F.length("__bpe_text"))).alias("part"))
-            .repartition("__bpe_row", "piece"))
+            found = [boundaries(pattern, p, margin, stop - start) for p, start, stop in zip(pdf["part"], pdf["start"], pdf["stop"], strict=True)]
+            yield pd.DataFrame({"__bpe_row": pdf["__bpe_row"], "start": pdf["start"], "stop": pdf["stop"], "head": [h for h, _ in found], "tail": [t for _, t in found]})
+
+    schema = "__bpe_row long, start long, stop long, head array<int>, tail array<int>"
+    return materialize(_parts(texts, spans, margin).mapInPandas(scan, schema), "bpe-scans")
+
+
+def _pieces(long: DataFrame, pattern: str, size: int, margin: int) -> DataFrame:
+    """long(__bpe_row, __bpe_text) -> (__bpe_row, start, stop, part): the texts cut where neighbouring scans resynchronise."""
+    lengths = long.select("__bpe_row", F.length("__bpe_text").cast("long").alias("n"))
+    spans = lengths.select("__bpe_row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))).alias("start")).select(
+        "__bpe_row", "start", F.least("n", F.col("start") + size).alias("stop"))
+    scans = _scans(long, spans, pattern, margin)
+    here = Window.partitionBy("__bpe_row").orderBy("start")  # the spans of one text: its length / size rows
+    while True:
+        cut = F.col("start") + F.array_min(F.array_intersect("head", F.lag("tail").over(here)))
+        joined = scans.withColumn("cut", F.when(F.col("start") == 0, 0).otherwise(cut))
+        if joined.filter("cut IS NULL").isEmpty():
+            break
+        # spans up to the next one with a cut grow together; those that stay alone keep their scans
+        grown = joined.withColumn("first", F.last(F.when(F.col("cut").isNotNull(), F.col("start")), ignorenulls=True).over(here))
+        grown = grown.groupBy("__bpe_row", F.col("first").alias("start")).agg(
+            F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+        grown = materialize(grown, "bpe-grown")
+        wide = grown.filter("n > 1").select("__bpe_row", "start", "stop")
+        texts = long.join(wide.select("__bpe_row").distinct(), "__bpe_row", "left_semi")
+        scans = materialize(grown.filter("n = 1").drop("n").unionByName(_scans(texts, wide, pattern, margin)), "bpe-scans")
+    # a stitch lies beyond its span's start: the piece before it ends there
+    until = F.coalesce(F.lead("cut").over(here), F.col("stop"))
+    return _parts(long, joined.select("__bpe_row", F.col("cut").alias("start"), until.alias("stop")), 0)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = CHUNK, margin: int = MARGIN) -> DataFrame:
@@ -130,7 +163,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size
     is_long = F.coalesce(F.length(text_col), F.lit(0)) > size
     short = docs.filter(~is_long).select(*others, vocabulary.ids(F.col(text_col)).alias("ids"))
     long = materialize(docs.filter(is_long).withColumn("__bpe_row", F.monotonically_increasing_id()).withColumnRenamed(text_col, "__bpe_text"), "bpe-long")
-    parts = _pieces(long.select("__bpe_row", "__bpe_text"), vocabulary.pattern, size, margin).select("__bpe_row", "piece", vocabulary.ids(F.col("part")).alias("part"))
+    parts = _pieces(long.select("__bpe_row", "__bpe_text"), vocabulary.pattern, size, margin).select("__bpe_row", F.col("start").alias("piece"), vocabulary.ids(F.col("part")).alias("part"))
     in_order = F.sort_array(F.collect_list(F.struct("piece", "part")))
     whole = parts.groupBy("__bpe_row").agg(F.unhex(F.array_join(F.transform(in_order, lambda p: F.hex(p["part"])), "")).alias("ids"))
     return short.unionByName(long.drop("__bpe_text").join(whole, "__bpe_row").select(*others, "ids"))

@@ -44,6 +44,23 @@ def test_chunked_texts_are_stitched_to_the_same_ids(spark):
 
 def test_long_texts_are_cut(spark):
     v = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    long = spark.createDataFrame([(0, "lorem ipsum " * 100), (1, "x" * 1200)], "__bpe_row long, __bpe_text string")
-    n = {r["__bpe_row"]: r["count"] for r in bpe._pieces(long, v.pattern, 128, 40).groupBy("__bpe_row").count().collect()}
-    assert n == {0: 10, 1: 1}
+    texts = ["lorem ipsum " * 100, "x" * 1200, "lorem ipsum " * 50 + "y" * 500 + " lorem ipsum" * 50, "a b " * 100 + "z" * 300 + " c d" * 50 + "w" * 300 + " e" * 100]
+    long = spark.createDataFrame(list(enumerate(texts)), "__bpe_row long, __bpe_text string")
+    got = {}
+    for r in bpe._pieces(long, v.pattern, 128, 40).collect():
+        got.setdefault(r["__bpe_row"], []).append((r.start, r.part))
+    assert {i: "".join(p for _, p in sorted(x)) for i, x in got.items()} == dict(enumerate(texts))
+    assert len(got[0]) == 10 and len(got[1]) == 1
+    # the long word is in one piece with what its chunks hold; the rest stays cut
+    assert len(got[2]) >= 9 and max(len(p) for _, p in got[2]) < 500 + 3 * 128 and len(got[3]) >= 6 and max(len(p) for _, p in got[3]) < 300 + 3 * 128
+
+
+def test_a_word_of_a_million_letters(spark):
+    v = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    enc, rng = library(), random.Random(8)
+    word = "".join(rng.choice("abcdefghij") for _ in range(1_000_000))
+    text = "some words here " * 20000 + word + " and others there" * 20000
+    pieces = [len(r.part) for r in bpe._pieces(spark.createDataFrame([(0, text)], "__bpe_row long, __bpe_text string"), v.pattern, bpe.CHUNK, bpe.MARGIN).collect()]
+    assert sum(pieces) == len(text) and len(pieces) > 15 and max(pieces) < 1_000_000 + 3 * bpe.CHUNK
+    out = bpe.encode(spark.createDataFrame([(1, text, "en", "s", len(text))], DOCS), v).first()
+    assert bytes(out.ids) == np.array(enc.encode_ordinary(text), "<u4").tobytes()
