@@ -11,8 +11,9 @@ segments have exactly 1. The first case is met by keys (segment i exact, key of
 (decoded i, key of j) on one side against (key of i, decoded j) on the other. So the equi-join on these keys finds every
 pair, and each candidate is verified by its bit distance inside the join.
 
-Equal fingerprints are one node with their smallest document id. Neighbours in sorted order are linked first; the join then
-returns only pairs whose ends are not linked yet, so a large group of near copies gives a few links, not all its pairs.
+Equal fingerprints are one node with their smallest document id. Neighbours in sorted order are linked first. Keys whose
+fingerprints are all linked by then are left out of the join, and in any other key the largest group meets only the
+rest, so a large group of near copies costs neither all its pairs as links nor as comparisons.
 """
 
 from __future__ import annotations
@@ -174,19 +175,49 @@ def _sorted_neighbours(nodes: DataFrame, max_bits: int) -> DataFrame:
             .mapInPandas(link, "a long, b long"))
 
 
-def _joined(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Verified links between nodes(fp, group) of different groups, as pairs of groups."""
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(key, side, fp, group) of every join key of nodes(fp, group)."""
     def spread(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             fps, group = pdf["fp"].to_numpy(np.int64), pdf["group"].to_numpy(np.int64)
             rows, keys, sides = join_keys(fps)
             yield pd.DataFrame({"key": keys, "side": sides, "fp": fps[rows], "group": group[rows]})
 
-    keys = nodes.select("fp", "group").mapInPandas(spread, "key long, side byte, fp long, group long")
-    left = keys.filter("side < 2").select("key", F.col("fp").alias("f"), F.col("group").alias("a"))
-    right = keys.filter("side != 1").select("key", F.col("fp").alias("g"), F.col("group").alias("b"))
-    verified = (F.col("f") < F.col("g")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits)
-    return left.join(right, (left["key"] == right["key"]) & verified).select("a", "b").distinct()
+    return nodes.select("fp", "group").mapInPandas(spread, "key long, side byte, fp long, group long")
+
+
+def _shared_keys(nodes: DataFrame) -> DataFrame:
+    """The keys that fingerprints of more than one group have, each row with whether it is of its key's largest group.
+
+    A key of one group only can't give a link, so the keys of a group of any size that is linked already end here.
+    """
+    keys = _keys(nodes)
+    spans = keys.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    open_keys = materialize(spans.filter("lo != hi").select("key"), "simhash-open")
+    shared = materialize(keys.join(open_keys.hint("merge"), "key", "left_semi"), "simhash-shared")
+    by_group = shared.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = materialize(by_group.groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest")), "simhash-largest")
+    return materialize(shared.join(largest.hint("merge"), "key")
+                       .select("key", "side", "fp", "group", (F.col("group") == F.col("largest")).alias("main")), "simhash-keys")
+
+
+def _joined(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Verified links between nodes(fp, group) of different groups, as pairs of groups.
+
+    The largest group of a key meets only the others. The others meet each other too, and no group among them is larger than
+    the largest, so at most as many pairs of one group are looked at as pairs of two groups.
+    """
+    keys = _shared_keys(nodes)
+    left = keys.filter("side < 2").select("key", F.col("fp").alias("f"), F.col("group").alias("a"), "main")
+    right = keys.filter("side != 1").select(F.col("key").alias("at"), F.col("fp").alias("g"), F.col("group").alias("b"), F.col("main").alias("its_main"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits)
+    links = None
+    for l, r in ((True, False), (False, True), (False, False)):
+        met = left.filter(F.col("main") == l).join(
+            right.filter(F.col("its_main") == r).hint("merge"), (F.col("key") == F.col("at")) & near).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = met if links is None else links.unionByName(met)
+    return links.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -81,6 +81,39 @@ def test_components_match_brute_force_on_near_random_fingerprints(spark, monkeyp
     assert {s: got.get(s, s) for s in signed} == want
 
 
+def around(centre, n, rng):
+    found = set()
+    while len(found) < n:
+        f = centre
+        for b in rng.sample(range(64), rng.randint(0, 4)):
+            f ^= 1 << b
+        found.add(f)
+    return np.array(sorted(found), np.uint64).view(np.int64)
+
+
+def test_a_linked_group_of_20000_prints_leaves_no_key_to_compare(spark):
+    fps = around(random.Random(3).getrandbits(64), 20_000, random.Random(4))
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": fps})).selectExpr("fp", "1L AS group")
+    assert simhash._shared_keys(nodes).isEmpty()
+    assert simhash._joined(nodes, 4).isEmpty()
+
+
+def test_the_largest_group_of_a_key_meets_only_the_others(spark):
+    rng = random.Random(6)
+    fps = around(rng.getrandbits(64), 1500, rng)
+    group = np.array([0 if rng.random() < 0.8 else rng.randint(1, 30) for _ in fps])
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": fps, "group": group}))
+    u = fps.view(np.uint64)
+    a, b = np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 4)
+    want = {(group[x], group[y]) for x, y in zip(a, b) if group[x] < group[y]}
+    got = [(r.a, r.b) for r in simhash._joined(nodes, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    keys = simhash._shared_keys(nodes).toPandas()
+    sizes = keys.groupby(["key", "group", "main"]).size().reset_index(name="n")
+    assert (sizes.groupby("key")["group"].nunique() > 1).all() and (sizes.groupby("key")["main"].sum() == 1).all()
+    assert (sizes[sizes.main].set_index("key")["n"] == sizes.groupby("key")["n"].max()).all()
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", "en", "a", 3), (4, "a b c d e f g", "en", "a", 13),
             (4, "a b c d e f g", "en", "a", 13), (5, "A  B c\td e f g", None, "a", 13), (None, "x", "en", None, 1), (7, "word " * 70000, "en", "a", 350000)]
