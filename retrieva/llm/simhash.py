@@ -11,9 +11,9 @@ segments have exactly 1. The first case is met by keys (segment i exact, key of
 (decoded i, key of j) on one side against (key of i, decoded j) on the other. So the equi-join on these keys finds every
 pair, and each candidate is verified by its bit distance inside the join.
 
-Equal fingerprints are one node with their smallest document id. Neighbours in sorted order are linked first. Keys whose
-fingerprints are all linked by then are left out of the join, and in any other key the largest group meets only the
-rest, so a large group of near copies costs neither all its pairs as links nor as comparisons.
+Equal fingerprints are one node with their smallest document id. Neighbours in sorted order are linked first. A key that
+many fingerprints of one group have is left out if it has no other group; else the largest group meets only the rest
+there. So a large group of near copies costs neither all its pairs as links nor as comparisons.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from retrieva.session import materialize, ship_package
 
-from .common import shuffle_partitions, small_batches
+from .common import broadcast_if_small, shuffle_partitions, small_batches
 from .graph import components
 
 #: Contract of op1, also used by the pipeline.
@@ -41,6 +41,8 @@ WIDTHS = (22, 21, 21)
 GENERATOR, LENGTH, PARITY = 0b101011100011, 23, 11
 #: Shingles hashed at a time in a long text.
 PIECE = 1 << 16
+#: Fingerprints of one group that meet in a key before the key is split by group.
+CROWD = 64
 
 
 @cache
@@ -186,38 +188,51 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", "group").mapInPandas(spread, "key long, side byte, fp long, group long")
 
 
-def _shared_keys(nodes: DataFrame) -> DataFrame:
+def _crowded_keys(nodes: DataFrame) -> DataFrame:
+    """Keys that more than CROWD fingerprints of one group have. Only groups of more fingerprints are looked at."""
+    large = materialize(nodes.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("group"), "simhash-large")
+    members = nodes.join(large.hint("merge"), "group", "left_semi")
+    counts = _keys(members).groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counts.filter(F.col("n") > CROWD).select("key").distinct(), "simhash-crowds")
+
+
+def _split_keys(keys: DataFrame) -> DataFrame:
     """The keys that fingerprints of more than one group have, each row with whether it is of its key's largest group.
 
     A key of one group only can't give a link, so the keys of a group of any size that is linked already end here.
     """
-    keys = _keys(nodes)
-    spans = keys.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
-    open_keys = materialize(spans.filter("lo != hi").select("key"), "simhash-open")
-    shared = materialize(keys.join(open_keys.hint("merge"), "key", "left_semi"), "simhash-shared")
-    by_group = shared.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = materialize(by_group.groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest")), "simhash-largest")
-    return materialize(shared.join(largest.hint("merge"), "key")
+    by_group = materialize(keys.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")), "simhash-sizes")
+    largest = materialize(by_group.groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest"), F.count(F.lit(1)).alias("groups"))
+                          .filter("groups > 1").select("key", "largest"), "simhash-largest")
+    return materialize(keys.join(largest.hint("merge"), "key")
                        .select("key", "side", "fp", "group", (F.col("group") == F.col("largest")).alias("main")), "simhash-keys")
 
 
+def _met(keys: DataFrame, others: DataFrame, max_bits: int) -> DataFrame:
+    """Verified links (a, b), a < b, between groups in ``keys`` as left and groups in ``others`` as right side."""
+    left = keys.filter("side < 2").select("key", F.col("fp").alias("f"), F.col("group").alias("a"))
+    right = others.filter("side != 1").select(F.col("key").alias("at"), F.col("fp").alias("g"), F.col("group").alias("b"))
+    verified = (F.col("f") < F.col("g")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits)
+    return left.join(right.hint("merge"), (F.col("key") == F.col("at")) & verified).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _joined(nodes: DataFrame, max_bits: int) -> DataFrame:
     """Verified links between nodes(fp, group) of different groups, as pairs of groups.
 
-    The largest group of a key meets only the others. The others meet each other too, and no group among them is larger than
-    the largest, so at most as many pairs of one group are looked at as pairs of two groups.
+    In a key without a crowd a fingerprint meets at most CROWD of its own group. In a crowded key the largest group meets only the others;
+    these meet each other too, and none of them is larger than the largest, so no more pairs of one group are looked at than pairs
+    of two groups.
     """
-    keys = _shared_keys(nodes)
-    left = keys.filter("side < 2").select("key", F.col("fp").alias("f"), F.col("group").alias("a"), "main")
-    right = keys.filter("side != 1").select(F.col("key").alias("at"), F.col("fp").alias("g"), F.col("group").alias("b"), F.col("main").alias("its_main"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits)
-    links = None
-    for l, r in ((True, False), (False, True), (False, False)):
-        met = left.filter(F.col("main") == l).join(
-            right.filter(F.col("its_main") == r).hint("merge"), (F.col("key") == F.col("at")) & near).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = met if links is None else links.unionByName(met)
-    return links.distinct()
+    keys, crowds = _keys(nodes), _crowded_keys(nodes)
+    if crowds.isEmpty():
+        return _met(keys, keys, max_bits).distinct()
+    few = broadcast_if_small(crowds)
+    split = _split_keys(materialize(keys.join(few, "key", "left_semi"), "simhash-crowded"))
+    main, others = split.filter("main"), split.filter("NOT main")
+    rest = keys.join(few, "key", "left_anti")
+    return (_met(rest, rest, max_bits).unionByName(_met(main, others, max_bits))
+            .unionByName(_met(others, main, max_bits)).unionByName(_met(others, others, max_bits)).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -94,7 +94,10 @@ def around(centre, n, rng):
 def test_a_linked_group_of_20000_prints_leaves_no_key_to_compare(spark):
     fps = around(random.Random(3).getrandbits(64), 20_000, random.Random(4))
     nodes = spark.createDataFrame(pd.DataFrame({"fp": fps})).selectExpr("fp", "1L AS group")
-    assert simhash._shared_keys(nodes).isEmpty()
+    crowds = simhash._crowded_keys(nodes)
+    keys = simhash._keys(nodes)
+    assert simhash._split_keys(keys.join(crowds, "key", "left_semi")).isEmpty()
+    assert keys.join(crowds, "key", "left_anti").groupBy("key").count().agg({"count": "max"}).first()[0] <= simhash.CROWD
     assert simhash._joined(nodes, 4).isEmpty()
 
 
@@ -108,7 +111,8 @@ def test_the_largest_group_of_a_key_meets_only_the_others(spark):
     want = {(group[x], group[y]) for x, y in zip(a, b) if group[x] < group[y]}
     got = [(r.a, r.b) for r in simhash._joined(nodes, 4).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    keys = simhash._shared_keys(nodes).toPandas()
+    assert not simhash._crowded_keys(nodes).isEmpty()
+    keys = simhash._split_keys(simhash._keys(nodes)).toPandas()
     sizes = keys.groupby(["key", "group", "main"]).size().reset_index(name="n")
     assert (sizes.groupby("key")["group"].nunique() > 1).all() and (sizes.groupby("key")["main"].sum() == 1).all()
     assert (sizes[sizes.main].set_index("key")["n"] == sizes.groupby("key")["n"].max()).all()
