@@ -203,3 +203,29 @@ def test_stream_equals_batch(spark):
     assert streamed == sorted([*batch, (4, "FOUR"), (5, None)]) and calls == [2, 1, 2]
     aside = sorted(r.line for r in spark.read.parquet(os.path.join(d_out, "broken")).collect())
     assert aside == sorted(["{broken", '{"text": "no id"}', "[1]"])
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Files in folders: written, listed and read by tasks, the same rows as by Spark's sources; no plan holds a list of them."""
+    from pyspark.sql import functions as F
+
+    from retrieva.sources import io
+    monkeypatch.setattr(io, "READ_FILES", 3)
+    cells = [[None, "x,y"], ["", 'a "b"'], ["line\nbreak", "é"]]
+    rows = spark.createDataFrame([(f"doc {d}", p, i, c) for d in range(7) for p in (1, 2) for i, c in enumerate(cells)], "doc_id string, page_no int, row_no long, cells array<string>")
+    texts = spark.createDataFrame([(f"t{i}.txt", f"text {i} é") for i in range(20)], "name string, content string")
+    flat, deep = f"file:{tmp_path}/flat", f"file:{tmp_path}/deep"
+    for path, folders in ((flat, 0), (deep, 4)):
+        assert io.write_table_csvs(rows, path, folders).count() == 14 and io.write_files(texts, path, folders).count() == 20
+    (tmp_path / "deep" / "_hidden_table1.csv").write_text("a,b")
+    assert sorted(p.name for p in (tmp_path / "deep").iterdir() if p.is_dir()) == [f"{i:05d}" for i in range(4)]
+    want = sorted(io.read_table_csvs(spark, flat).select("doc_id", "page_no", "row_no", "cells").collect(), key=str)
+    read = io.read_table_csvs(spark, deep, in_tasks=True)
+    assert len(want) == 42 and sorted(read.select("doc_id", "page_no", "row_no", "cells").collect(), key=str) == [r for r in want]
+    assert sorted(io.read_table_csvs(spark, flat, in_tasks=True).select("doc_id", "page_no", "row_no", "cells").collect(), key=str) == want
+    assert sorted(r.text for r in io.read_text_files(spark, deep, in_tasks=True).collect()) == sorted(f"text {i} é" for i in range(20))
+    assert {r.doc_id for r in io.read_text_files(spark, deep, in_tasks=True).collect()} == {r.doc_id for r in io.read_text_files(spark, flat).collect()}
+    assert "binaryFile" not in read._jdf.queryExecution().executedPlan().toString()
+    sizes = io.list_files(spark, deep, "*.txt").select(F.sum("length"), F.count(F.lit(1))).first()
+    assert sizes[1] == 20 and sizes[0] == sum(len(f"text {i} é".encode()) for i in range(20))
+    assert io.list_files(spark, f"{deep}/00000", "*.nothing").count() == 0
