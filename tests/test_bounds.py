@@ -50,6 +50,32 @@ def test_bm25_blocks_with_negative_and_zero_idf(spark):
     assert sparse.bm25_top_blocks(empty, q, 4)[0].count() == 0 and sparse.bm25_top_blocks(index, q.limit(0), 4)[0].count() == 0
 
 
+def test_bm25_blocks_move_postings_and_pairs_only(spark, texts, tmp_path, monkeypatch):
+    """The saved bounds are made without a shuffle, in several pieces; no (query, document) row is shuffled, and null query and document ids keep their hits."""
+    docs, q = texts
+    docs = docs.unionByName(spark.createDataFrame([(None, "w0 rare w1")], docs.schema))
+    q = q.unionByName(spark.createDataFrame([(None, "w0 rare w2")], q.schema))
+    monkeypatch.setattr(sparse, "BOUND_ROWS", 50)
+    monkeypatch.setattr(sparse, "SCORE_BLOCK", 16)
+    built = sparse.build_bm25_index(docs)
+    plan = sparse.block_bounds(built)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Exchange hashpartitioning" not in plan
+    io.save_index(str(tmp_path / "b"), built, rows_per_part=3000)
+    index = io.load_index(spark, str(tmp_path / "b"))
+    most = index.postings.withColumn("block", index.block()).groupBy("term", "block").agg(F.max(index.gain()).alias("m"))
+    saved = index.blocks.groupBy("term", "block").agg(F.max("most").alias("s"))
+    assert most.join(saved, ["term", "block"], "full_outer").filter("NOT (abs(m - s) < 1e-12) OR m IS NULL OR s IS NULL").isEmpty()
+    assert index.blocks.count() > most.count()  # pieces
+    top, _ = sparse.bm25_top_blocks(index, q, 4)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sum(" not in plan and "SortMergeJoin" not in plan
+    key = lambda df: sorted(((r.query_id or -1, r["rank"], r.doc_id or -1, round(r.score, 6)) for r in df.collect()))
+    want = key(sparse.bm25_top(sparse.bm25_search(built, q, first=4), 4))
+    assert key(top) == want and -1 in {r[0] for r in want} and -1 in {r[2] for r in want}
+    monkeypatch.setattr(sparse, "MAX_SENT_QUERY_TERMS", 5)  # terms that aren't sent
+    assert key(sparse.bm25_top_blocks(index, q, 4)[0]) == want
+
+
 def test_term_ranges_bound_every_part(spark):
     stats = spark.createDataFrame([(f"t{i:03d}", 1 + i % 7) for i in range(300)] + [("hot", 1000)], "term string, df long")
     r = sparse.term_ranges(stats, 50)
